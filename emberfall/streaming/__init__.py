@@ -1,0 +1 @@
+"""The workload is batch only (complete daily records), so no stream jobs live here."""
