@@ -47,14 +47,14 @@ def cut_bins(value: Column, breaks: Sequence[float]) -> Column:
 def class_breaks(value: Column, breaks: Sequence[float], limits: tuple[float, float]) -> Column:
     """Number of the break class of a value (1-based); NULL outside the limits.
 
-    Breaks at or beyond a limit bound no class of their own. A value on a break
-    belongs to the class above it.
+    Classes are right-closed and the lowest limit is included. Breaks at or beyond
+    a limit bound no class of their own.
     """
     low, high = limits
     inner = [b for b in sorted(breaks) if low < b < high]
     number = F.lit(1)
     for b in inner:
-        number = number + (value >= b).cast("int")
+        number = number + (value > b).cast("int")
     return F.when((value >= low) & (value <= high), number)
 
 

@@ -59,7 +59,7 @@ def clean_observations(raw: DataFrame) -> DataFrame:
     """Type the four raw columns. Rows without a date (footer, junk) drop out."""
     typed = raw.select(
         F.col("ID").try_cast("int").alias("ID"),
-        F.try_to_timestamp(F.col("date_raw"), F.lit("yyyyMMdd")).cast("date").alias("date"),
+        F.try_to_date(F.col("date_raw"), "yyyyMMdd").alias("date"),
         max_temperature(F.col("TA")).alias("TA"),
         rain_depth(F.col("RN")).alias("RN"),
     )

@@ -14,15 +14,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_FALLBACK: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="emberfall-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="emberfall-")
+    return _FALLBACK[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
