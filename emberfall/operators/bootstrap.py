@@ -2,8 +2,9 @@
 
 Draw ``k`` of replicate ``b`` takes one of the group's values by a hash of (seed,
 group, b, k), so a lost task draws the same again. Values are numbered within
-their group, draws are spread over all tasks before they are expanded, and both
-meet in an equi-join on (group, number): a hot group is spread like any other.
+their group, replicates are spread over all tasks before their draws are expanded,
+and both meet in an equi-join on (group, number): a hot group is spread like any
+other.
 """
 
 from __future__ import annotations
@@ -49,8 +50,10 @@ def _numbered_values(positions: DataFrame, value: str, by: list[str]) -> DataFra
 def _draws(sizes: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
     pairs = F.floor((F.col("n") + 1) / 2)
     plan = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    plan = plan.withColumn("pairs", pairs).withColumn("block", F.explode(_blocks(F.col("pairs"))))
-    plan = plan.repartition(*by, "replicate", "block")
+    # A fixed number: adaptive coalescing would judge the few rows before they expand.
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = plan.repartition(tasks, *by, "replicate").withColumn("pairs", pairs)
+    plan = plan.withColumn("block", F.explode(_blocks(F.col("pairs"))))
     plan = plan.withColumn("pair", F.explode(_items(F.col("pairs"), F.col("block"))))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *by, "replicate", "pair"))
     n = F.col("n")

@@ -8,6 +8,7 @@ the totals of the blocks before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,25 +70,51 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
 
 def percent_rank_of(n_less: Column, n_group: Column) -> Column:
     """(minimum rank - 1) / (n - 1) on the 0 to 100 scale; NULL for a single value."""
-    return F.try_divide(n_less * 100.0, n_group - 1)
+    return F.try_divide(n_less, n_group - 1) * 100
 
 
-def percent_rank_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Percent rank (0 to 100) of every distinct value, over all rows or per group."""
-    positions = value_positions(df, value, by)
-    return materialise(
+@dataclass(frozen=True)
+class RankTable:
+    """Percent ranks of the distinct values of one measure.
+
+    ``table`` holds the group columns, ``value``, ``n_equal`` and ``percent_rank``;
+    ``rows`` is the number of rows ranked.
+    """
+
+    table: DataFrame
+    rows: int
+
+
+def percent_rank_tables(
+    df: DataFrame, values: Sequence[str], by: Sequence[str] = ()
+) -> dict[str, RankTable]:
+    """Percent ranks (0 to 100) of several measures from one pass over ``df``."""
+    by = list(by)
+    cells = [
+        F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value"))
+        for v in values
+    ]
+    long = df.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*")
+    positions = value_positions(long, "value", ["measure", *by])
+    ranked = materialise(
         positions.select(
+            "measure",
             *by,
-            value,
+            "value",
             "n_equal",
             percent_rank_of(F.col("n_less"), F.col("n_group")).alias("percent_rank"),
         ),
         "ranks",
     )
+    sizes = dict(ranked.groupBy("measure").agg(F.sum("n_equal")).collect())
+    return {
+        v: RankTable(ranked.filter(F.col("measure") == v).drop("measure"), sizes.get(v, 0))
+        for v in values
+    }
 
 
 def attach_percent_rank(
-    df: DataFrame, ranks: DataFrame, value: str, name: str, by: Sequence[str] = ()
+    df: DataFrame, ranks: RankTable, value: str, name: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Look up the rank of ``value`` for every row; NULL values get NULL.
 
@@ -96,12 +123,10 @@ def attach_percent_rank(
     the join with the remaining values.
     """
     by = list(by)
-    total = ranks.agg(F.sum("n_equal")).first()[0] or 0
-    key = ranks.columns[len(by)]
-    table = ranks.withColumnRenamed(key, value).select(
-        *by, value, "n_equal", F.struct("percent_rank").alias("_found")
+    table = ranks.table.select(
+        *by, F.col("value").alias(value), "n_equal", F.struct("percent_rank").alias("_found")
     )
-    is_hot = F.col("n_equal") * HOT_SHARE > total
+    is_hot = F.col("n_equal") * HOT_SHARE > ranks.rows
     hot = table.filter(is_hot).drop("n_equal").withColumnRenamed("_found", "_hot")
     cold = table.filter(~is_hot).drop("n_equal").withColumn("_lane", F.lit(0))
     keys = [*by, value]
@@ -116,13 +141,6 @@ def attach_percent_rank(
     )
 
 
-def with_percent_rank(
-    df: DataFrame, value: str, name: str, by: Sequence[str] = ()
-) -> DataFrame:
-    """Add the percent rank of ``value`` within its group (all rows if ``by`` is empty)."""
-    return attach_percent_rank(df, percent_rank_table(df, value, by), value, name, by)
-
-
 def exact_quantiles(
     df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:

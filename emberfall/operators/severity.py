@@ -15,10 +15,10 @@ from emberfall.functions.measures import (
 )
 from emberfall.operators.coincidence import with_season
 from emberfall.operators.ranks import (
+    RankTable,
     attach_percent_rank,
     exact_quantiles,
-    percent_rank_table,
-    with_percent_rank,
+    percent_rank_tables,
 )
 
 # Fixed percentile breaks of the intensity matrix.
@@ -26,7 +26,7 @@ MATRIX_BREAKS = (50, 60, 70, 80, 90, 100)
 
 
 def with_forward_percentile(
-    df: DataFrame, rain_ranks: DataFrame, by: Sequence[str] = ()
+    df: DataFrame, rain_ranks: RankTable, by: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``Pmax_7day``, the largest rain percentile of the rows ahead.
 
@@ -43,11 +43,10 @@ def severity_events(days: DataFrame) -> DataFrame:
     The percentiles rank over all days of all stations. Only compound days are
     joined to the rank tables.
     """
-    heat_ranks = percent_rank_table(days, "TA")
-    rain_ranks = percent_rank_table(days, "RN")
+    ranks = percent_rank_tables(days, ["TA", "RN"])
     events = days.filter(F.col("hw_pluvial") == 1)
-    events = attach_percent_rank(events, heat_ranks, "TA", "Tmax_percentile")
-    events = with_forward_percentile(events, rain_ranks)
+    events = attach_percent_rank(events, ranks["TA"], "TA", "Tmax_percentile")
+    events = with_forward_percentile(events, ranks["RN"])
     return with_season(events).select(
         "ID",
         "date",
@@ -70,26 +69,30 @@ def severity_events(days: DataFrame) -> DataFrame:
 def same_day_events(days: DataFrame, breaks: Sequence[float] = MATRIX_BREAKS) -> DataFrame:
     """Compound days with percentiles per station of the day's own heat and rain, binned."""
     keep = days.select("ID", "date", "TA", "RN", "year", "hw_pluvial")
-    heat_ranks = percent_rank_table(keep, "TA", ["ID"])
-    rain_ranks = percent_rank_table(keep, "RN", ["ID"])
+    ranks = percent_rank_tables(keep, ["TA", "RN"], ["ID"])
     events = keep.filter(F.col("hw_pluvial") == 1).drop("hw_pluvial")
-    events = attach_percent_rank(events, heat_ranks, "TA", "Tmax_percentile", ["ID"])
-    events = attach_percent_rank(events, rain_ranks, "RN", "P_percentile", ["ID"])
+    events = attach_percent_rank(events, ranks["TA"], "TA", "Tmax_percentile", ["ID"])
+    events = attach_percent_rank(events, ranks["RN"], "RN", "P_percentile", ["ID"])
     return events.withColumn("Tmax_bin", cut_bins(F.col("Tmax_percentile"), breaks)).withColumn(
         "P_bin", cut_bins(F.col("P_percentile"), breaks)
     )
 
 
+def with_percentiles(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every day with its heat and rain percentile, over all rows or per group."""
+    ranks = percent_rank_tables(days, ["TA", "RN"], by)
+    ranked = attach_percent_rank(days, ranks["TA"], "TA", "Tmax_percentile", by)
+    return attach_percent_rank(ranked, ranks["RN"], "RN", "P_percentile", by)
+
+
 def station_percent_ranks(days: DataFrame) -> DataFrame:
     """Every day with its heat and rain percentile within the station."""
-    ranked = with_percent_rank(days, "TA", "Tmax_percentile", ["ID"])
-    return with_percent_rank(ranked, "RN", "P_percentile", ["ID"])
+    return with_percentiles(days, ["ID"])
 
 
 def pooled_percent_ranks(days: DataFrame) -> DataFrame:
     """Every day with its heat and rain percentile over all stations."""
-    ranked = with_percent_rank(days, "TA", "Tmax_percentile")
-    return with_percent_rank(ranked, "RN", "P_percentile")
+    return with_percentiles(days)
 
 
 def _binned(events: DataFrame) -> DataFrame:

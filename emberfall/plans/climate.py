@@ -17,7 +17,7 @@ from emberfall.operators.rows import land_observations, number_rows
 from emberfall.operators.thresholds import hot_thresholds, wet_thresholds
 from emberfall.plans.settings import KOREA, Settings
 from emberfall.sources.stations import with_coordinates
-from emberfall.workspace import materialise
+from emberfall.workspace import materialise, materialise_together
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,8 @@ def derive_thresholds(obs: DataFrame, settings: Settings = KOREA) -> Thresholds:
         numbered, settings.climatology, settings.hot_quantile, settings.rolling_rows
     )
     wet = wet_thresholds(numbered, settings.climatology, settings.wet_quantile)
-    return Thresholds(numbered, materialise(hot, "hot"), materialise(wet, "wet"))
+    hot, wet = materialise_together(hot=hot, wet=wet)
+    return Thresholds(numbered, hot, wet)
 
 
 def flagged_days(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
@@ -70,5 +71,5 @@ def station_year_rates(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
 
 
 def season_counts(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
-    """Seasonal counts, written once: all frequency reports start from them."""
-    return materialise(seasonal_counts(monthly_counts(flagged_days(obs, settings))), "seasons")
+    """Seasonal counts per station, the start of all frequency reports."""
+    return seasonal_counts(monthly_counts(flagged_days(obs, settings)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,10 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_together(**frames: DataFrame) -> list[DataFrame]:
+    """Write independent frames as concurrent jobs, so that neither waits for the
+    last tasks of the other."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda item: materialise(item[1], item[0]), frames.items()))
