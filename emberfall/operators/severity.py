@@ -100,13 +100,13 @@ def _binned(events: DataFrame) -> DataFrame:
 
 
 def intensity_matrix(events: DataFrame) -> DataFrame:
-    """Mean same-day intensity per pair of percentile bins."""
+    """Mean same-day intensity per pair of percentile bins; the label rounds half to even."""
     intensity = event_intensity(F.col("Tmax_percentile"), F.col("P_percentile"))
     return (
         _binned(events)
         .groupBy("P_bin", "Tmax_bin")
         .agg(F.avg(intensity).alias("compound_intensity"))
-        .withColumn("label", F.round("compound_intensity", 2))
+        .withColumn("label", F.bround("compound_intensity", 2))
     )
 
 

@@ -428,7 +428,7 @@ def same_day_events(spark, sf):
 
 @query("intensity_matrix")
 def intensity_matrix(spark, sf):
-    return severity.intensity_matrix(_same_day(spark, sf)).drop("label")
+    return severity.intensity_matrix(_same_day(spark, sf))
 
 
 @query("matrix_stations")

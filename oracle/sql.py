@@ -755,7 +755,9 @@ def build() -> dict[str, str]:
         f"""SELECT ID, date, {r9('TA')}, RN, CAST(yr AS INT) AS year, {ranks}, Tmax_bin, P_bin, Long, Lat FROM sameday""",
     )
     out["intensity_matrix"] = chain(
-        "matrix", f"SELECT P_bin, Tmax_bin, {r9('compound_intensity')} FROM matrix"
+        "matrix",
+        f"""SELECT P_bin, Tmax_bin, {r9('compound_intensity')}, ROUND_EVEN(compound_intensity, 2) AS label
+ FROM matrix""",
     )
     out["matrix_stations"] = chain(
         "sameday matrix",
