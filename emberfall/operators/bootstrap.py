@@ -1,69 +1,100 @@
 """Repeatable bootstrap confidence intervals.
 
-Draw ``k`` of replicate ``b`` takes one of the group's values by a hash of (seed,
-group, b, k), so a lost task draws the same again. Values are numbered within
-their group, replicates are spread over all tasks before their draws are expanded,
-and both meet in an equi-join on (group, number): a hot group is spread like any
-other.
+Every replicate of a group draws from its own random stream, seeded by a hash of
+(seed, group, replicate, block), so a lost task draws the same again. Values are
+numbered within their group, replicates are spread over all tasks before their
+draws are expanded, and both meet in an equi-join on the number: a hot group is
+spread like any other.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberfall.functions.measures import is_finite
 from emberfall.operators.ranks import value_positions
 from emberfall.workspace import materialise
 
-# Draws (and copies of a repeated value) expanded from one row at a time.
-BLOCK = 4096
-# One md5 gives two draws of 15 hexadecimal digits (60 bits) each.
+# Draws of one seed, and copies of a repeated value, expanded from one row.
+BLOCK = 1024
+# Replicates expanded from one row.
+REPLICATE_BLOCK = 64
+# One md5 gives two seeds of 15 hexadecimal digits each.
 HEX_DIGITS = 15
+# Moduli and multipliers of L'Ecuyer's combined generator (1988).
+MODULI = (2147483563, 2147483399)
+MULTIPLIERS = (40014, 40692)
+OUTPUTS = MODULI[0] - 1
+# A value's number is kept below this within its group.
+SLOT_BITS = 36
 
 
-def _blocks(count: Column) -> Column:
+def _blocks(count: Column, size: int) -> Column:
     """0 to the number of the last block of ``count`` items."""
-    return F.sequence(F.lit(0), F.floor((count - 1) / BLOCK))
+    return F.sequence(F.lit(0), F.floor((count - 1) / size))
 
 
-def _items(count: Column, block: Column) -> Column:
+def _items(count: Column, block: Column, size: int) -> Column:
     """Item numbers of one block."""
-    first = block * BLOCK
-    return F.sequence(first, F.least(first + BLOCK - 1, count - 1))
+    first = block * size
+    return F.sequence(first, F.least(first + size - 1, count - 1))
 
 
-def _draw(digest: Column, start: int, size: Column) -> Column:
+def _slot(group: Column, pick: Column) -> Column:
+    return F.shiftleft(group.cast("bigint"), SLOT_BITS) + pick
+
+
+def _jumps(draws: int) -> Column:
+    """For each draw, the powers that take both generators to its two outputs."""
+    steps, state = [], [1, 1]
+    for _ in range(draws):
+        jump = []
+        for _ in range(2):
+            state = [x * a % m for x, a, m in zip(state, MULTIPLIERS, MODULI)]
+            jump += state
+        steps.append(jump)
+    return F.from_json(F.lit(json.dumps(steps)), "array<array<bigint>>")
+
+
+def _seed(digest: Column, start: int, modulus: int) -> Column:
     part = F.conv(F.substring(digest, start, HEX_DIGITS), 16, 10).cast("bigint")
-    return F.pmod(part, size)
+    return 1 + F.pmod(part, F.lit(modulus - 1))
 
 
-def _numbered_values(positions: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """One row per original value with its 0-based number in the ordered group."""
-    copies = positions.withColumn("block", F.explode(_blocks(F.col("n_equal"))))
-    copies = copies.withColumn("copy", F.explode(_items(F.col("n_equal"), F.col("block"))))
-    return copies.select(*by, (F.col("n_less") + F.col("copy")).alias("pick"), value)
+def _output(jump: Column, first: int) -> Column:
+    one = F.col("seed_1") * jump[first] % MODULI[0]
+    two = F.col("seed_2") * jump[first + 1] % MODULI[1]
+    return F.pmod(one - two, F.lit(OUTPUTS))
 
 
-def _draws(sizes: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    pairs = F.floor((F.col("n") + 1) / 2)
-    plan = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+def _draws(groups: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """One row per draw: group number, replicate, slot of the value drawn."""
+    total = F.lit(replicates)
+    plan = groups.withColumn("block", F.explode(_blocks(total, REPLICATE_BLOCK)))
     # A fixed number: adaptive coalescing would judge the few rows before they expand.
-    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = plan.repartition(tasks, *by, "replicate").withColumn("pairs", pairs)
-    plan = plan.withColumn("block", F.explode(_blocks(F.col("pairs"))))
-    plan = plan.withColumn("pair", F.explode(_items(F.col("pairs"), F.col("block"))))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *by, "replicate", "pair"))
-    n = F.col("n")
-    picks = F.array(_draw(F.col("digest"), 1, n), _draw(F.col("digest"), 17, n))
-    last_is_odd = 2 * F.col("pair") + 1 >= n
-    return plan.withColumn("digest", digest).select(
-        *by,
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = plan.repartition(tasks, "group", "block")
+    plan = plan.withColumn(
+        "replicate", F.explode(_items(total, F.col("block"), REPLICATE_BLOCK))
+    )
+    plan = plan.withColumn("block", F.explode(_blocks(F.col("n"), BLOCK)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *by, "replicate", "block"))
+    plan = plan.withColumn("digest", digest).select(
+        "group",
+        "n",
         "replicate",
-        F.explode(F.when(last_is_odd, F.slice(picks, 1, 1)).otherwise(picks)).alias("pick"),
+        F.least(F.col("n") - F.col("block") * BLOCK, F.lit(BLOCK)).cast("int").alias("items"),
+        _seed(F.col("digest"), 1, MODULI[0]).alias("seed_1"),
+        _seed(F.col("digest"), 17, MODULI[1]).alias("seed_2"),
     )
+    drawn = plan.withColumn("jump", F.explode(F.slice(_jumps(BLOCK), F.lit(1), F.col("items"))))
+    jump = F.col("jump")
+    pick = (_output(jump, 0) * OUTPUTS + _output(jump, 2)) % F.col("n")
+    return drawn.select("group", "replicate", _slot(F.col("group"), pick).alias("slot"))
 
 
 def bootstrap_ci(
@@ -84,19 +115,30 @@ def bootstrap_ci(
         raise ValueError(f"stat must be 'sum' or 'mean', not {stat!r}")
     by = list(by)
     usable = df.select(*by, F.when(is_finite(F.col(value)), F.col(value)).alias(value))
-    positions = materialise(value_positions(usable, value, by), "positions")
-    sizes = positions.groupBy(*by).agg(F.max("n_group").alias("n"))
-    enough = sizes.filter(F.col("n") >= min_n)
-    numbered = _numbered_values(positions, value, by)
-    drawn = _draws(enough, by, replicates, seed).join(numbered, [*by, "pick"])
+    positions = value_positions(usable, value, by)
+    sizes = positions.groupBy(*by).agg(F.max("n_group").alias("n")).filter(F.col("n") >= min_n)
+    # One row per group, not per value.
+    numbering = Window.partitionBy(F.lit(0)).orderBy(*by)
+    groups = materialise(sizes.withColumn("group", F.row_number().over(numbering)), "groups")
+    copies = positions.join(groups.select(*by, "group"), by)
+    copies = copies.withColumn("block", F.explode(_blocks(F.col("n_equal"), BLOCK)))
+    copies = copies.withColumn("copy", F.explode(_items(F.col("n_equal"), F.col("block"), BLOCK)))
+    slot = _slot(F.col("group"), F.col("n_less") + F.col("copy"))
+    values = materialise(copies.select(slot.alias("slot"), value), "values")
+
+    drawn = _draws(groups, by, replicates, seed).join(values, "slot")
     summary = F.sum(value) if stat == "sum" else F.avg(value)
-    resampled = drawn.groupBy(*by, "replicate").agg(summary.cast("double").alias("stat"))
+    resampled = drawn.groupBy("group", "replicate").agg(summary.cast("double").alias("stat"))
     tail = (1 - level) / 2
-    bounds = resampled.groupBy(*by).agg(
-        F.percentile("stat", F.lit(tail)).alias("ci_lower"),
-        F.percentile("stat", F.lit(1 - tail)).alias("ci_upper"),
+    bounds = resampled.groupBy("group").agg(
+        F.percentile("stat", F.array(F.lit(tail), F.lit(1 - tail))).alias("bounds")
+    )
+    intervals = groups.join(bounds, "group").select(
+        *by,
+        F.col("bounds")[0].alias("ci_lower"),
+        F.col("bounds")[1].alias("ci_upper"),
     )
-    return df.select(*by).distinct().join(bounds, by, "left")
+    return df.select(*by).distinct().join(intervals, by, "left")
 
 
 def with_interval(series: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -382,13 +382,38 @@ def bootstrap_parts(name: str, source: str, value: str, summary: str, min_n: int
  COUNT(*) OVER (PARTITION BY year_season, season) AS n FROM {source}""",
     )
     part(
-        f"{name}_draw",
+        "jumps",
+        "",
+        """SELECT 1 AS step, 40014::BIGINT AS p1, 40692::BIGINT AS p2
+ UNION ALL SELECT step + 1, p1 * 40014 % 2147483563, p2 * 40692 % 2147483399 FROM jumps WHERE step < 2048""",
+    )
+    part(
+        "outputs",
+        "jumps",
+        """SELECT (a.step - 1) // 2 AS item, a.p1 AS a1, a.p2 AS a2, b.p1 AS b1, b.p2 AS b2
+ FROM jumps a JOIN jumps b ON b.step = a.step + 1 WHERE a.step % 2 = 1""",
+    )
+    part(
+        f"{name}_block",
         f"{name}_val",
-        f"""SELECT year_season, season, replicate, ('0x' || SUBSTR(MD5('42|' || year_season || '|' || season || '|'
- || replicate || '|' || (k // 2)), CASE WHEN k % 2 = 0 THEN 1 ELSE 17 END, 15))::BIGINT % n AS pick
- FROM (SELECT year_season, season, n, replicate, UNNEST(RANGE(0, n)) AS k FROM
- (SELECT year_season, season, n, UNNEST(RANGE(1, 201)) AS replicate FROM
- (SELECT DISTINCT year_season, season, n FROM {name}_val WHERE n >= {min_n})))""",
+        f"""SELECT year_season, season, n, replicate, UNNEST(RANGE(0, (n - 1) // 1024 + 1)) AS block FROM
+ (SELECT year_season, season, n, UNNEST(RANGE(0, 200)) AS replicate FROM
+ (SELECT DISTINCT year_season, season, n FROM {name}_val WHERE n >= {min_n}))""",
+    )
+    part(
+        f"{name}_seed",
+        f"{name}_block",
+        f"""SELECT *, 1 + ('0x' || SUBSTR(digest, 1, 15))::BIGINT % 2147483562 AS s1,
+ 1 + ('0x' || SUBSTR(digest, 17, 15))::BIGINT % 2147483398 AS s2 FROM (SELECT *,
+ MD5('42|' || year_season || '|' || season || '|' || replicate || '|' || block) AS digest FROM {name}_block)""",
+    )
+    part(
+        f"{name}_draw",
+        f"{name}_seed outputs",
+        f"""SELECT year_season, season, replicate,
+ (((s1 * a1 % 2147483563 - s2 * a2 % 2147483399 + 2147483562) % 2147483562) * 2147483562
+ + (s1 * b1 % 2147483563 - s2 * b2 % 2147483399 + 2147483562) % 2147483562) % n AS pick
+ FROM {name}_seed JOIN outputs ON item < LEAST(n - block * 1024, 1024)""",
     )
     part(
         f"{name}_stat",
