@@ -29,8 +29,10 @@ HEX_DIGITS = 15
 MODULI = (2147483563, 2147483399)
 MULTIPLIERS = (40014, 40692)
 OUTPUTS = MODULI[0] - 1
-# A value's number is kept below this within its group.
+# A value's number is kept below this many bits within its group.
 SLOT_BITS = 36
+# Up to this many numbered values (16 bytes each) are joined by broadcast.
+BROADCAST_VALUES = 2_000_000
 
 
 def _blocks(count: Column, size: int) -> Column:
@@ -57,7 +59,10 @@ def _jumps(draws: int) -> Column:
             state = [x * a % m for x, a, m in zip(state, MULTIPLIERS, MODULI)]
             jump += state
         steps.append(jump)
-    return F.from_json(F.lit(json.dumps(steps)), "array<array<bigint>>")
+    names = ("a_1", "a_2", "b_1", "b_2")
+    rows = [dict(zip(names, jump)) for jump in steps]
+    kind = ", ".join(f"{name}: bigint" for name in names)
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
 
 
 def _seed(digest: Column, start: int, modulus: int) -> Column:
@@ -65,10 +70,10 @@ def _seed(digest: Column, start: int, modulus: int) -> Column:
     return 1 + F.pmod(part, F.lit(modulus - 1))
 
 
-def _output(jump: Column, first: int) -> Column:
-    one = F.col("seed_1") * jump[first] % MODULI[0]
-    two = F.col("seed_2") * jump[first + 1] % MODULI[1]
-    return F.pmod(one - two, F.lit(OUTPUTS))
+def _output(jump: str) -> Column:
+    one = F.col("seed_1") * F.col(f"{jump}_1") % MODULI[0]
+    two = F.col("seed_2") * F.col(f"{jump}_2") % MODULI[1]
+    return (one - two + OUTPUTS) % OUTPUTS
 
 
 def _draws(groups: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
@@ -91,9 +96,15 @@ def _draws(groups: DataFrame, by: list[str], replicates: int, seed: int) -> Data
         _seed(F.col("digest"), 1, MODULI[0]).alias("seed_1"),
         _seed(F.col("digest"), 17, MODULI[1]).alias("seed_2"),
     )
-    drawn = plan.withColumn("jump", F.explode(F.slice(_jumps(BLOCK), F.lit(1), F.col("items"))))
-    jump = F.col("jump")
-    pick = (_output(jump, 0) * OUTPUTS + _output(jump, 2)) % F.col("n")
+    drawn = plan.select(
+        "group",
+        "n",
+        "replicate",
+        "seed_1",
+        "seed_2",
+        F.inline(F.slice(_jumps(BLOCK), F.lit(1), F.col("items"))),
+    )
+    pick = (_output("a") * OUTPUTS + _output("b")) % F.col("n")
     return drawn.select("group", "replicate", _slot(F.col("group"), pick).alias("slot"))
 
 
@@ -126,7 +137,14 @@ def bootstrap_ci(
     slot = _slot(F.col("group"), F.col("n_less") + F.col("copy"))
     values = materialise(copies.select(slot.alias("slot"), value), "values")
 
-    drawn = _draws(groups, by, replicates, seed).join(values, "slot")
+    # The planner sizes the draws by the few rows they expand from and would broadcast
+    # them, so the side is chosen here: the values while they are few, else neither.
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    drawn = _draws(groups, by, replicates, seed)
+    if total <= BROADCAST_VALUES:
+        drawn = drawn.join(F.broadcast(values), "slot")
+    else:
+        drawn = drawn.hint("merge").join(values, "slot")
     summary = F.sum(value) if stat == "sum" else F.avg(value)
     resampled = drawn.groupBy("group", "replicate").agg(summary.cast("double").alias("stat"))
     tail = (1 - level) / 2

@@ -133,7 +133,12 @@ def kde_1d(
         .groupBy(*by, F.col("share.knot").alias("knot"))
         .agg(F.sum("share.weight").alias("weight"))
     )
-    grid = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn(
+    # The grid is laid out after the join: a side that still has to expand looks small
+    # to the planner and could be broadcast.
+    spots = weights.join(groups, by).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(last)))
+    )
+    spots = spots.withColumn(
         "x", F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / last
     )
     at = (F.col("x") - F.col("first")) / F.col("delta")
@@ -144,11 +149,7 @@ def kde_1d(
         return _normal_density((knot_at - F.col("knot")) * F.col("delta"), F.col("bw"))
 
     share = F.col("weight") * ((1 - ahead) * kernel(left) + ahead * kernel(left + 1))
-    return (
-        grid.join(weights, by)
-        .groupBy(*by, "i", "x")
-        .agg((F.sum(share) / F.max("n")).alias("density"))
-    )
+    return spots.groupBy(*by, "i", "x").agg((F.sum(share) / F.max("n")).alias("density"))
 
 
 def _grid_sums(by: list[str], points: int):
@@ -310,13 +311,20 @@ def loess_curve(
         F.sum("m").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
     )
     near = F.floor(F.col("n") * span + 1e-5)
-    grid = ranges.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
+    at = reduced.join(ranges, by).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    )
+    spot = F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (points - 1)
+    at = at.withColumn("x0", spot).select(
         *by,
         "i",
-        (F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (points - 1)).alias("x0"),
+        "x",
+        "m",
+        "y_sum",
+        "x0",
+        F.abs(F.col("x") - F.col("x0")).alias("distance"),
         F.greatest(near, F.lit(1)).alias("near"),
     )
-    at = grid.join(reduced, by).withColumn("distance", F.abs(F.col("x") - F.col("x0")))
     point = Window.partitionBy(*by, "i")
     reached = F.sum("m").over(point.orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
     at = at.withColumn("reached", reached)

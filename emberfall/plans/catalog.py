@@ -710,6 +710,13 @@ def event_density_2d(spark, sf):
     )
 
 
+@query("severity_density_2d")
+def severity_density_2d(spark, sf):
+    return distribution.kde_2d(
+        materialise(_events(spark, sf), "events"), "T_anom_rel", "intensity", ["season"]
+    )
+
+
 @query("count_box_stats")
 def count_box_stats(spark, sf):
     return distribution.box_stats(_comparison(spark, sf), "cdh_ave", ["season", "Period"])

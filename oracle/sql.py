@@ -512,45 +512,45 @@ def density_sql(source: str, value: str, keys: str, range_key: str) -> str:
     )
 
 
-def density_2d_sql(source: str) -> str:
-    tag = f"d2_{source}"
+def density_2d_sql(source: str, y: str = "P_excess_rel", keys: str = "season, Period") -> str:
+    tag = f"d2_{source}_{y}"
     part(
         f"{tag}_v",
         source,
-        f"""SELECT season, Period, T_anom_rel AS x, P_excess_rel AS y, MIN(T_anom_rel) OVER () AS xl,
- MAX(T_anom_rel) OVER () AS xh, MIN(P_excess_rel) OVER () AS yl, MAX(P_excess_rel) OVER () AS yh
- FROM {source} WHERE T_anom_rel IS NOT NULL AND P_excess_rel IS NOT NULL""",
+        f"""SELECT {keys}, T_anom_rel AS x, {y} AS y, MIN(T_anom_rel) OVER () AS xl,
+ MAX(T_anom_rel) OVER () AS xh, MIN({y}) OVER () AS yl, MAX({y}) OVER () AS yh
+ FROM {source} WHERE T_anom_rel IS NOT NULL AND {y} IS NOT NULL""",
     )
     part(
         f"{tag}_g",
         f"{tag}_v",
-        f"""SELECT season, Period, COUNT(*) AS n, ANY_VALUE(xl) AS xl, ANY_VALUE(xh) AS xh, ANY_VALUE(yl) AS yl,
+        f"""SELECT {keys}, COUNT(*) AS n, ANY_VALUE(xl) AS xl, ANY_VALUE(xh) AS xh, ANY_VALUE(yl) AS yl,
  ANY_VALUE(yh) AS yh,
  1.06 * LEAST(STDDEV_SAMP(x), (QUANTILE_CONT(x, 0.75) - QUANTILE_CONT(x, 0.25)) / 1.34) * POW(COUNT(*), -0.2) AS hx,
  1.06 * LEAST(STDDEV_SAMP(y), (QUANTILE_CONT(y, 0.75) - QUANTILE_CONT(y, 0.25)) / 1.34) * POW(COUNT(*), -0.2) AS hy
- FROM {tag}_v GROUP BY season, Period HAVING COUNT(*) >= 2""",
+ FROM {tag}_v GROUP BY {keys} HAVING COUNT(*) >= 2""",
     )
     part(
         f"{tag}_x",
         f"{tag}_g {tag}_v",
-        f"""SELECT v.season, v.Period, v.x AS px, v.y AS py, i, EXP(-POW((g.xl + (g.xh - g.xl) * i / 99.0 - v.x) / hx, 2) / 2) AS kx
- FROM {tag}_v v JOIN {tag}_g g USING (season, Period) CROSS JOIN (SELECT UNNEST(RANGE(0, 100)) AS i)
+        f"""SELECT {keys}, v.x AS px, v.y AS py, i, EXP(-POW((g.xl + (g.xh - g.xl) * i / 99.0 - v.x) / hx, 2) / 2) AS kx
+ FROM {tag}_v v JOIN {tag}_g g USING ({keys}) CROSS JOIN (SELECT UNNEST(RANGE(0, 100)) AS i)
  WHERE hx > 0 AND hy > 0""",
     )
     part(
         f"{tag}_d",
         f"{tag}_x",
-        f"""SELECT season, Period, i AS ix, j AS iy, g.xl + (g.xh - g.xl) * i / 99.0 AS x,
+        f"""SELECT {keys}, i AS ix, j AS iy, g.xl + (g.xh - g.xl) * i / 99.0 AS x,
  g.yl + (g.yh - g.yl) * j / 99.0 AS y,
  SUM(kx * EXP(-POW((g.yl + (g.yh - g.yl) * j / 99.0 - py) / hy, 2) / 2))
  / (2 * PI() * ANY_VALUE(n) * ANY_VALUE(hx) * ANY_VALUE(hy)) AS density
- FROM {tag}_x JOIN {tag}_g g USING (season, Period) CROSS JOIN (SELECT UNNEST(RANGE(0, 100)) AS j)
- GROUP BY 1, 2, 3, 4, 5, 6""",
+ FROM {tag}_x JOIN {tag}_g g USING ({keys}) CROSS JOIN (SELECT UNNEST(RANGE(0, 100)) AS j)
+ GROUP BY {keys}, i, j, g.xl, g.xh, g.yl, g.yh""",
     )
     return chain(
         f"{tag}_d",
-        f"""SELECT season, Period, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, {r9("x", "y", "density")},
- ROUND(density / MAX(density) OVER (PARTITION BY season, Period), 9) AS ndensity FROM {tag}_d""",
+        f"""SELECT {keys}, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, {r9("x", "y", "density")},
+ ROUND(density / MAX(density) OVER (PARTITION BY {keys}), 9) AS ndensity FROM {tag}_d""",
     )
 
 
@@ -911,6 +911,7 @@ def build() -> dict[str, str]:
     out["heat_anomaly_density"] = density_sql("rep", "T_anom_rel", "season, Period", "1")
     out["representative_density_2d"] = density_2d_sql("rep")
     out["event_density_2d"] = density_2d_sql("jper")
+    out["severity_density_2d"] = density_2d_sql("ev", "intensity", "season")
     box_parts()
     out["count_box_stats"] = chain(
         "boxed",
