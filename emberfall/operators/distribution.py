@@ -199,15 +199,33 @@ def kde_2d(
     pairs = df.filter(is_finite(F.col(x)) & is_finite(F.col(y))).select(
         *by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
-    groups = None
-    for axis in ("x", "y"):
-        narrow = F.least("sd", F.col("iqr") / IQR_TO_SD)
-        h = RULE_2D * narrow * F.pow(F.col("n"), F.lit(-0.2))
-        rule = _spread(pairs, axis, by).select(*by, F.col("n").alias(f"n_{axis}"), h.alias(f"h{axis}"))
-        groups = rule if groups is None else groups.join(rule, by)
-        groups = _with_range(groups, pairs, axis, range_by, f"{axis}_low", f"{axis}_high")
-    groups = groups.filter((F.col("hx") > 0) & (F.col("hy") > 0))
-    groups = materialise(groups.withColumnRenamed("n_x", "n").drop("n_y"), "axes")
+    axes = pairs.select(
+        *by,
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in ("x", "y")]
+            )
+        ).alias("cell"),
+    ).select(*by, "cell.*")
+    narrow = F.least("sd", F.col("iqr") / IQR_TO_SD)
+    rules = _spread(axes, "value", [*by, "axis"]).withColumn(
+        "h", RULE_2D * narrow * F.pow(F.col("n"), F.lit(-0.2))
+    )
+    rules = _with_range(rules, axes, "value", [*range_by, "axis"], "low", "high")
+
+    def of_axis(axis: str, name: str) -> Column:
+        return F.max(F.when(F.col("axis") == axis, F.col(name)))
+
+    groups = rules.groupBy(*by).agg(
+        F.max("n").alias("n"),
+        of_axis("x", "h").alias("hx"),
+        of_axis("y", "h").alias("hy"),
+        of_axis("x", "low").alias("x_low"),
+        of_axis("x", "high").alias("x_high"),
+        of_axis("y", "low").alias("y_low"),
+        of_axis("y", "high").alias("y_high"),
+    )
+    groups = materialise(groups.filter((F.col("hx") > 0) & (F.col("hy") > 0)), "axes")
 
     source = pairs.join(groups, by)
     keys = [source.schema[c] for c in by]

@@ -77,13 +77,18 @@ def spread_chunks(numbered: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS)
     """Add ``chunk`` and ``is_home``; rows near a cut appear in both chunks."""
     if halo >= chunk_rows:
         raise ValueError("chunk_rows must exceed halo")
-    home = F.floor(F.col("row_no") / chunk_rows)
+    home = F.expr(f"row_no div {chunk_rows}")
     place = F.col("row_no") % chunk_rows
-    before = F.when((place < halo) & (home > 0), home - 1)
-    after = F.when(place >= chunk_rows - halo, home + 1)
-    copies = F.array_compact(F.array(home, before, after))
+    early = (place < halo) & (home > 0)
+    late = place >= chunk_rows - halo
+    copies = (
+        F.when(early & late, F.array(home, home - 1, home + 1))
+        .when(early, F.array(home, home - 1))
+        .when(late, F.array(home, home + 1))
+        .otherwise(F.array(home))
+    )
     return numbered.withColumn("chunk", F.explode(copies)).withColumn(
-        "is_home", F.col("chunk") == F.floor(F.col("row_no") / chunk_rows)
+        "is_home", F.col("chunk") == home
     )
 
 

@@ -693,6 +693,19 @@ def heat_anomaly_density(spark, sf):
     )
 
 
+@query("rain_excess_density")
+def rain_excess_density(spark, sf):
+    return distribution.kde_1d(
+        _representatives(spark, sf), "P_excess_rel", ["season", "Period"]
+    )
+
+
+@query("seasonal_mean_density")
+def seasonal_mean_density(spark, sf):
+    means = frequency.count_means(_seasons(spark, sf), ["ID", "season"])
+    return distribution.kde_1d(materialise(means, "means"), "cdh_ave", ["season"])
+
+
 @query("representative_density_2d")
 def representative_density_2d(spark, sf):
     return distribution.kde_2d(

@@ -15,7 +15,7 @@ from emberfall.operators.coincidence import (
 )
 from emberfall.operators.rows import land_observations, number_rows
 from emberfall.operators.thresholds import hot_thresholds, wet_thresholds
-from emberfall.plans.settings import KOREA, Settings
+from emberfall.plans.settings import STANDARD, Settings
 from emberfall.sources.stations import with_coordinates
 from emberfall.workspace import materialise, materialise_together
 
@@ -29,12 +29,12 @@ class Thresholds:
     wet: DataFrame
 
 
-def number_observations(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
+def number_observations(obs: DataFrame, settings: Settings = STANDARD) -> DataFrame:
     """Land observations and number the rows of the eligible stations."""
     return number_rows(land_observations(obs), settings.first_year_max)
 
 
-def derive_thresholds(obs: DataFrame, settings: Settings = KOREA) -> Thresholds:
+def derive_thresholds(obs: DataFrame, settings: Settings = STANDARD) -> Thresholds:
     """Both thresholds, written so that their joins are sized from files."""
     numbered = number_observations(obs, settings)
     hot = hot_thresholds(
@@ -45,7 +45,7 @@ def derive_thresholds(obs: DataFrame, settings: Settings = KOREA) -> Thresholds:
     return Thresholds(numbered, hot, wet)
 
 
-def flagged_days(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
+def flagged_days(obs: DataFrame, settings: Settings = STANDARD) -> DataFrame:
     """All station days with their flags, not yet written."""
     t = derive_thresholds(obs, settings)
     return flag_days(
@@ -53,7 +53,7 @@ def flagged_days(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
     )
 
 
-def compound_days(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
+def compound_days(obs: DataFrame, settings: Settings = STANDARD) -> DataFrame:
     """All station days with their flags, written once for the aggregates above it."""
     return materialise(flagged_days(obs, settings), "days")
 
@@ -63,13 +63,13 @@ def climate_fact(days: DataFrame, stations: DataFrame) -> DataFrame:
     return with_coordinates(with_station_year_rate(days), stations)
 
 
-def station_year_rates(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
+def station_year_rates(obs: DataFrame, settings: Settings = STANDARD) -> DataFrame:
     """Heatwave days, compound days and their ratio per station and year."""
     return coincidence_rate(
         flagged_days(obs, settings), "heatwave", "hw_pluvial", ["ID", "year"]
     )
 
 
-def season_counts(obs: DataFrame, settings: Settings = KOREA) -> DataFrame:
+def season_counts(obs: DataFrame, settings: Settings = STANDARD) -> DataFrame:
     """Seasonal counts per station, the start of all frequency reports."""
     return seasonal_counts(monthly_counts(flagged_days(obs, settings)))

@@ -1,4 +1,4 @@
-"""Parameters of an analysis; the defaults are those of the Korean station study."""
+"""Parameters of an analysis; the defaults fit records from 1986 to 2025."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ class Settings:
         return f"{self.target[0]}-{self.target[1]}"
 
 
-KOREA = Settings()
+STANDARD = Settings()
 
 # The trade tables run from 1995 to 2001.
 TRADE = Settings(

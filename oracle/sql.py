@@ -909,6 +909,8 @@ def build() -> dict[str, str]:
     out["count_density"] = density_sql("comp", "cdh_ave", "season, Period", "season")
     out["annual_count_density"] = density_sql("yearmean", "cdh_ave", "scope", "scope")
     out["heat_anomaly_density"] = density_sql("rep", "T_anom_rel", "season, Period", "1")
+    out["rain_excess_density"] = density_sql("rep", "P_excess_rel", "season, Period", "1")
+    out["seasonal_mean_density"] = density_sql("allmean", "cdh_ave", "season", "1")
     out["representative_density_2d"] = density_2d_sql("rep")
     out["event_density_2d"] = density_2d_sql("jper")
     out["severity_density_2d"] = density_2d_sql("ev", "intensity", "season")
