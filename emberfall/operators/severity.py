@@ -44,7 +44,9 @@ def severity_events(days: DataFrame) -> DataFrame:
     joined to the rank tables.
     """
     ranks = percent_rank_tables(days, ["TA", "RN"])
-    events = days.filter(F.col("hw_pluvial") == 1)
+    events = days.filter(F.col("hw_pluvial") == 1).select(
+        "ID", "date", "TA", "RN", "hw_thrsld", "pl_thrsld", "rain_ahead", "year", "month"
+    )
     events = attach_percent_rank(events, ranks["TA"], "TA", "Tmax_percentile")
     events = with_forward_percentile(events, ranks["RN"])
     return with_season(events).select(
