@@ -77,8 +77,9 @@ def percent_rank_of(n_less: Column, n_group: Column) -> Column:
 class RankTable:
     """Percent ranks of the distinct values of one measure.
 
-    ``table`` holds the group columns, ``value``, ``n_equal`` and ``percent_rank``;
-    ``rows`` is the number of rows ranked.
+    ``table`` holds the group columns, ``value``, ``n_equal``, ``percent_rank`` and
+    ``lane``, a written zero: as a literal the optimizer would take it out of the join
+    keys. ``rows`` is the number of rows ranked.
     """
 
     table: DataFrame
@@ -103,6 +104,7 @@ def percent_rank_tables(
             "value",
             "n_equal",
             percent_rank_of(F.col("n_less"), F.col("n_group")).alias("percent_rank"),
+            F.lit(0).alias("lane"),
         ),
         "ranks",
     )
@@ -124,11 +126,15 @@ def attach_percent_rank(
     """
     by = list(by)
     table = ranks.table.select(
-        *by, F.col("value").alias(value), "n_equal", F.struct("percent_rank").alias("_found")
+        *by,
+        F.col("value").alias(value),
+        "n_equal",
+        F.col("lane").alias("_lane"),
+        F.struct("percent_rank").alias("_found"),
     )
     is_hot = F.col("n_equal") * HOT_SHARE > ranks.rows
-    hot = table.filter(is_hot).drop("n_equal").withColumnRenamed("_found", "_hot")
-    cold = table.filter(~is_hot).drop("n_equal").withColumn("_lane", F.lit(0))
+    hot = table.filter(is_hot).drop("n_equal", "_lane").withColumnRenamed("_found", "_hot")
+    cold = table.filter(~is_hot).drop("n_equal")
     keys = [*by, value]
     done = F.col("_hot").isNotNull() | F.col(value).isNull()
     lane = F.when(done, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))).otherwise(0)

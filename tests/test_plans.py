@@ -71,5 +71,20 @@ def test_draws_are_never_the_broadcast_side(spark, monkeypatch):
     assert sorted(small.collect()) == sorted(large.collect())
 
 
+def test_rows_of_hot_values_are_scattered(spark):
+    df = spark.range(3000).selectExpr(
+        "id", "IF(id % 3 = 0, 0D, id / 10D) AS RN", "CAST(id % 7 AS double) AS TA"
+    )
+    small = {r.id: r.P_percentile for r in severity.with_percentiles(df).collect()}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = severity.with_percentiles(df)
+        assert re.search(r"SortMergeJoin \[[^\]]*RN[^\]]*, _lane#\d+\]", plan(ranked))
+        assert {r.id: r.P_percentile for r in ranked.collect()} == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_catalog_names_are_plain():
     assert all(re.fullmatch(r"[a-z][a-z0-9_]*", name) for name in REGISTRY)
