@@ -1,6 +1,8 @@
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 
 from emberfall.operators import bootstrap, trend
@@ -92,11 +94,35 @@ def test_bootstrap_repeats_and_brackets_the_sum(spark):
     assert runs[0].ci_upper == pytest.approx(total + 78, abs=15)
 
 
-def test_bootstrap_blocks_do_not_change_results(spark, monkeypatch):
+def resampled_means(values, group, replicates, seed, block_size):
+    """The same draws by plain loops."""
+    m1, m2 = bootstrap.MODULI
+    a1, a2 = bootstrap.MULTIPLIERS
+    values, out = sorted(values), []
+    for replicate in range(replicates):
+        drawn = []
+        for block in range(0, (len(values) - 1) // block_size + 1):
+            digest = hashlib.md5(f"{seed}|{group}|{replicate}|{block}".encode()).hexdigest()
+            x1 = 1 + int(digest[:15], 16) % (m1 - 1)
+            x2 = 1 + int(digest[16:31], 16) % (m2 - 1)
+            for _ in range(min(block_size, len(values) - block * block_size)):
+                pair = []
+                for _ in range(2):
+                    x1, x2 = x1 * a1 % m1, x2 * a2 % m2
+                    pair.append((x1 - x2) % (m1 - 1))
+                drawn.append(values[(pair[0] * (m1 - 1) + pair[1]) % len(values)])
+        out.append(sum(drawn) / len(drawn))
+    return out
+
+
+@pytest.mark.parametrize("block_size", [8, 1024])
+def test_bootstrap_against_plain_loops(spark, monkeypatch, block_size):
+    monkeypatch.setattr(bootstrap, "BLOCK", block_size)
     df = spark.range(90).selectExpr("'a' AS g", "id % 4 AS v")
-    one = bootstrap.bootstrap_ci(df, "v", ["g"], "mean", 40).first()
-    monkeypatch.setattr(bootstrap, "BLOCK", 8)
-    assert bootstrap.bootstrap_ci(df, "v", ["g"], "mean", 40).first() == one
+    row = bootstrap.bootstrap_ci(df, "v", ["g"], "mean", 70, seed=3).first()
+    means = resampled_means([i % 4 for i in range(90)], "a", 70, 3, block_size)
+    assert row.ci_lower == pytest.approx(np.quantile(means, 0.025), abs=1e-12)
+    assert row.ci_upper == pytest.approx(np.quantile(means, 0.975), abs=1e-12)
 
 
 def test_unknown_statistic(spark):
