@@ -19,20 +19,32 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a ``local`` master, whose tasks all
+    share it; on a cluster that would scatter the parts, so it is an error there.
+    """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
-        return folder
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(
+            f"set {CHECKPOINT_SETTING} to a folder that every executor of {master} can reach"
+        )
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="emberfall-")
     return _FALLBACK[app]
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table of this application."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -48,3 +60,10 @@ def materialise_together(**frames: DataFrame) -> list[DataFrame]:
     last tasks of the other."""
     with ThreadPoolExecutor(len(frames)) as pool:
         return list(pool.map(lambda item: materialise(item[1], item[0]), frames.items()))
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no frame reads them any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
