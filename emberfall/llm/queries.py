@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfall.llm import bpe_codec, url_filter
+from emberfall.llm import bpe_codec, pii, quality, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +69,97 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score_texts(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def _pii_kind_sql(name: str, rank: int, pattern: str, fits: str) -> str:
+    """(doc, start, rank, end, kind) of one kind's confirmed matches."""
+    return f"""
+SELECT n, {rank} AS rank, '{name}' AS kind, start, start + length(m) AS stop FROM (
+  SELECT n, unnest(ms) AS m, unnest(list_transform(ms, lambda x, i:
+           list_sum(list_transform(ps[1:i], lambda y: length(y)))
+           + coalesce(list_sum(list_transform(ms[1:i - 1], lambda y: length(y))), 0))) AS start
+  FROM (SELECT n, regexp_extract_all(text, '{pattern}') AS ms,
+               string_split_regex(text, '{pattern}') AS ps FROM texts) WHERE len(ms) > 0)
+WHERE {fits}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_IBAN = "replace(m, ' ', '')"
+PII_SQL = (
+    "WITH texts AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS text FROM documents), base AS ("
+    + " UNION ALL ".join(
+        _pii_kind_sql(*kind)
+        for kind in [
+            ("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+            (
+                "ip",
+                1,
+                r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3"
+                " AND coalesce(try_cast(ltrim(p, '0') AS int), 0) <= 255))",
+            ),
+            (
+                "card",
+                2,
+                r"[0-9]([\x20-]?[0-9])+",
+                f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''),"
+                " lambda d, i: CASE WHEN i % 2 = 1 THEN d::int WHEN d::int < 5 THEN d::int * 2 ELSE d::int * 2 - 9 END)) % 10 = 0",
+            ),
+            ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+        ]
+    )
+    + "), added AS ("
+    + _pii_kind_sql(
+        "iban",
+        4,
+        r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        f"length({_IBAN}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split("
+        f"substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55"
+        " ELSE ascii(c) - 48 END), lambda r, v: ((CASE WHEN v > 9 THEN r * 100 ELSE r * 10 END) + v) % 97) = 1",
+    )
+    + """
+), whole AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+listed AS (
+  SELECT n, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM whole GROUP BY n)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (n)"""
+)
+
+
+@query("op7_pii", PII_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts by base kind, digest of base spans, all spans."""
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), into="spans")
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE))
+    counts = [pii.count_of(F.col("spans"), kind.name).alias(f"n_{kind.name}") for kind in pii.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
 @query("op10_bpe_codec")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of their decoding."""

@@ -126,5 +126,9 @@ def judge_urls(
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Rules given as (host, path, verdict)."""
-    return spark.createDataFrame(rules, RULES_SCHEMA)
+    """A few rules given as (host, path, verdict), as literals of the plan."""
+    if not rules:
+        return spark.createDataFrame([], RULES_SCHEMA)
+    values = ", ".join(f"(:h{i}, :p{i}, :v{i})" for i in range(len(rules)))
+    named = {f"{k}{i}": x for i, rule in enumerate(rules) for k, x in zip("hpv", rule)}
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(rule_host, rule_path, verdict)", args=named)
