@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfall.llm import bpe_codec, pii, quality, sharding, url_filter
+from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +89,50 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+DECONTAMINATION_SQL = f"""
+WITH dw AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iwin AS (
+  SELECT item_id, l, array_to_string(w[s + 1 : s + l], ' ') AS win FROM (
+    SELECT item_id, w, least(len(w), 10) AS l, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s
+    FROM iw WHERE len(w) > 0)),
+dwin AS (
+  SELECT n, s, l, array_to_string(w[s + 1 : s + l], ' ') AS win FROM (
+    SELECT n, w, l, unnest(range(0, len(w) - l + 1)) AS s
+    FROM dw, (SELECT DISTINCT l FROM iwin) WHERE len(w) >= l)),
+met AS (SELECT DISTINCT n, s, l, item_id FROM dwin JOIN iwin USING (win, l)),
+hits AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(s, s + l)) AS p FROM met) GROUP BY n),
+items AS (
+  SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS item FROM met WHERE item_id IS NOT NULL) GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (n) LEFT JOIN items USING (n)
+"""
+
+
+@query("op6_benchmark_decontamination", DECONTAMINATION_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in ten-word windows of benchmark items."""
+    met = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return met.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op3_license_scans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and signatures in every text."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def _pii_kind_sql(name: str, rank: int, pattern: str, fits: str) -> str:
     """(doc, start, rank, end, kind) of one kind's confirmed matches."""
     return f"""
