@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, sharding, url_filter
+from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, sharding, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,6 +204,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = simhash.near_duplicates(docs, shingle=3, bits=64, radius=3, blocks=1)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query("op10_bpe_codec")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of their decoding."""
