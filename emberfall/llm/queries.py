@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, sharding, simhash, url_filter
+from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, sharding, simhash, url_filter, voronoi_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +127,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOP_K_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, o.vec_id, CAST(list_inner_product(q.v, o.v) AS BIGINT) AS score
+  FROM whole q JOIN whole o ON q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op2_voronoi_topk", TOP_K_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return voronoi_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op3_license_scans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and signatures in every text."""
