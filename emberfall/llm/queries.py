@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, sharding, simhash, url_filter, voronoi_topk
+from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, repeated_spans, sharding, simhash, url_filter, voronoi_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -232,6 +232,44 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (
+  SELECT n, doc_id, s, md5(substr(x, 2 * s + 1, 100)) AS win
+  FROM (SELECT n, doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS s FROM d WHERE len(x) >= 100)),
+hit AS (
+  SELECT n, s FROM (SELECT n, s, doc_id, min(doc_id) OVER (PARTITION BY win) AS least FROM w)
+  WHERE doc_id > least OR (doc_id IS NULL AND least IS NOT NULL)),
+marked AS (SELECT n, s, max(s) OVER (PARTITION BY n ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM hit),
+runs AS (SELECT n, s, sum(CASE WHEN p IS NULL OR s > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY s) AS r FROM marked),
+spans AS (SELECT n, r, min(s) AS a, max(s) + 50 AS b FROM runs GROUP BY n, r),
+parts AS (
+  SELECT n, a, b, lag(b, 1, 0) OVER (PARTITION BY n ORDER BY a) AS before FROM spans),
+cut AS (
+  SELECT n, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+         string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM parts JOIN d USING (n) GROUP BY n)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (n)
+"""
+
+
+@query("op9_suffix_dedup", REPEATS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that repeat fifty bytes of an earlier document."""
+    cut = repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op10_bpe_codec")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of their decoding."""
