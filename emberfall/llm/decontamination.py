@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfall.llm.words import KEYS, row_key, words_of
+from emberfall.llm.words import KEYS, row_key, word_count, words_of
 from emberfall.workspace import materialise
 
 WINDOW = 10
@@ -112,7 +112,7 @@ def hit_words(starts: Column) -> Column:
     )
 
 
-def decontaminate(
+def marked_windows(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
@@ -121,14 +121,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, items), one row per row of ``docs``.
-
-    ``n_hit``: words inside any occurrence of a window of an item; ``items``: sorted ids,
-    as strings, of the items with such a window. NULL and empty texts have no words and
-    no windows; items without words count for nothing; items without an id mark words but
-    are not listed. Repeated rows and ids keep a row each; repeated items count once. Empty
-    tables give no rows (no documents) or no hits (no items). Other columns are not carried.
-    """
+    """(key_id, key_text, n_hit, items) of the documents with a hit, written down."""
     items = materialise(
         benchmark.select(
             F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")
@@ -172,7 +165,9 @@ def decontaminate(
         )
     )
     tried = (
-        texts.join(met, KEYS)
+        # Texts and what met move once, by key, at every size alike.
+        texts.hint("merge")
+        .join(met, KEYS)
         .groupBy(*KEYS)
         .agg(F.any_value("row_text").alias("row_text"), F.any_value("met").alias("met"))
         .select(*KEYS, words_of(F.col("row_text")).alias("words"), places.alias("places"))
@@ -203,14 +198,46 @@ def decontaminate(
             F.array_sort(F.array_distinct(F.flatten("hit_items"))).alias("items"),
         )
     )
+    return materialise(hits, "hits")
+
+
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, n_words, n_hit, items), one row per row of ``docs``.
+
+    ``n_hit``: words inside any occurrence of a window of an item; ``items``: sorted ids,
+    as strings, of the items with such a window. NULL and empty texts have no words and
+    no windows; items without words count for nothing; items without an id mark words but
+    are not listed. Repeated rows and ids keep a row each; repeated items count once. Empty
+    tables give no rows (no documents) or no hits (no items). Other columns are not carried.
+    """
+    hits = marked_windows(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
     rows = docs.select(
         F.col(id_col).alias("row_id"),
         *row_key(id_col, text_col),
-        F.size(words_of(F.col(text_col))).cast("long").alias("n_words"),
+        word_count(F.col(text_col)).alias("n_words"),
     )
-    return rows.join(materialise(hits, "hits"), KEYS, "left").select(
+    return rows.join(hits, KEYS, "left").select(
         F.col("row_id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without a hit, all columns as they are."""
+    hits = marked_windows(docs, benchmark, window, id_col, text_col)
+    hits = hits.select(*[F.col(k).alias(f"hit_{k}") for k in KEYS])
+    keyed = docs.select("*", *[k.alias(f"own_{name}") for k, name in zip(row_key(id_col, text_col), KEYS)])
+    met = (F.col("own_key_id") == F.col("hit_key_id")) & (F.col("own_key_text") == F.col("hit_key_text"))
+    return keyed.join(hits, met, "left_anti").drop(*[f"own_{name}" for name in KEYS])
