@@ -99,7 +99,7 @@ METHOD = [
     Kind(
         "iban",
         "[A-Z]{2}[0-9]{2}",
-        r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
         iban_fits,
         0.75,
         "iban|bank|account|transfer|konto",

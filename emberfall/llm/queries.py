@@ -194,7 +194,7 @@ PII_SQL = (
     + _pii_kind_sql(
         "iban",
         4,
-        r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
         f"length({_IBAN}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split("
         f"substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55"
         " ELSE ascii(c) - 48 END), lambda r, v: ((CASE WHEN v > 9 THEN r * 100 ELSE r * 10 END) + v) % 97) = 1",
