@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-LEVEL = 1
+LEVEL = 3
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -39,16 +39,18 @@ from emberfall.workspace import materialise
 
 WINDOW = 50
 GRAM = 24
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 HOT_SHARE = 100_000
 HOT_LEAST = 1000
-PLACE_BITS = 21
+PLACE_BITS = 17
 PIECE = (1 << PLACE_BITS) - WINDOW
 VOID = np.iinfo(np.int64).max
 _BASE = 0xD1342543DE82EF95
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWERS = np.cumprod(np.append(np.ones(1, np.uint64), np.full(PIECE, _BASE, np.uint64)))
+_INVERSES = np.cumprod(np.append(np.ones(1, np.uint64), np.full(PIECE, pow(_BASE, -1, 1 << 64), np.uint64)))
 ROUTED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("cell", pa.binary())])
 
 
@@ -58,22 +60,38 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     while True:
         if left & 1:
             if whole is None:
-                whole, length = made.copy(), size
+                whole, length = made, size
             else:
-                tail = np.zeros_like(made)
-                tail[: len(made) - length] = made[length:]
-                whole = whole * np.uint64(pow(_BASE, size, 1 << 64)) + tail
+                # Both are shorter than the data by what no longer fits.
+                n = len(data) - length - size + 1
+                whole = whole[:n] * _power(size)
+                whole += made[length : length + n]
                 length += size
         left >>= 1
         if not left:
             break
-        tail = np.zeros_like(made)
-        tail[: len(made) - size] = made[size:]
-        made = made * np.uint64(pow(_BASE, size, 1 << 64)) + tail
-        size *= 2
+        n = len(made) - size
+        grown = made[:n] * _power(size)
+        grown += made[size:]
+        made, size = grown, size * 2
     whole ^= whole >> np.uint64(29)
     whole *= _MIX
-    return whole ^ (whole >> np.uint64(32))
+    whole ^= whole >> np.uint64(32)
+    return np.append(whole, np.zeros(len(data) - len(whole), np.uint64))
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_BASE, n, 1 << 64))
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end that does not depend on the place."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * _POWERS[: len(data)], out=sums[1:])
+    found = (sums[end] - sums[start]) * _INVERSES[start]
+    found ^= found >> np.uint64(31)
+    found *= _MIX
+    return found ^ (found >> np.uint64(29)) ^ (end - start).astype(np.uint64)
 
 
 def least_of(keys: np.ndarray, span: int) -> np.ndarray:
@@ -90,12 +108,13 @@ def least_of(keys: np.ndarray, span: int) -> np.ndarray:
         if not left:
             return whole
         grown = made.copy()
-        np.minimum(grown[: len(made) - size], made[size:], out=grown[: len(made) - size])
+        np.minimum(made[:-size], made[size:], out=grown[:-size])
         made, size = grown, size * 2
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, gram hash, first window, last window, gram's place), by batches of pieces.
+    """(text, gram hash, first window, last window, piece's bytes, place of the first window
+    in them), by batches of pieces.
 
     Windows first to last, all of one text, have their smallest gram at the same place.
     Texts longer than a piece are cut into overlapping ones at fixed places.
@@ -135,7 +154,7 @@ def _anchors(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     piece = np.searchsorted(starts, windows[first], side="right") - 1
     shift = np.array([a for _, a, _ in held])[piece] - starts[piece]
     text = np.array([i for i, _, _ in held])[piece]
-    return text, hashes[at[first]], windows[first] + shift, windows[last] + shift, at[first] + shift
+    return text, hashes[at[first]], windows[first] + shift, windows[last] + shift, data, windows[first]
 
 
 def slice_of(ids: np.ndarray, slices: int) -> np.ndarray:
@@ -193,41 +212,53 @@ def unpack_texts(cells: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def ask_grams(batch: pa.RecordBatch, slices: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Kind 0: grams of a bucket that one id of the batch has, and how often the others
-    occur. Kind 1: places of grams that several ids of the batch have, by slice."""
+    """Kind 0: grams of a bucket that one id of the texts has, and how often the others
+    occur. Kind 1: places of grams that several ids of the texts have, by slice."""
     ids, _, texts = rows_of(batch)
-    found = [(t, h, f) for t, h, f, _, _ in anchors(texts)]
+    out, at, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            out += _ask_grams(ids[at : i + 1], texts[at : i + 1], slices, buckets)
+            at, size = i + 1, 0
+    return out
+
+
+def _ask_grams(ids: np.ndarray, texts: list[bytes], slices: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    by_id = np.argsort(ids, kind="stable")
+    ids, texts = ids[by_id], [texts[i] for i in by_id]
+    found = [(t, h, f) for t, h, f, *_ in anchors(texts)]
     if not found:
         return []
     text, gram, first = (np.concatenate(x) for x in zip(*found))
+    # Places come by id, then by place, and stay so below.
     owner = ids[text]
     bucket = (gram % np.uint64(buckets)).astype(np.int64)
     short = (gram // np.uint64(buckets)).astype(np.uint32)
-    order = np.lexsort((first, owner, short, bucket))
-    bucket, short, owner, first = bucket[order], short[order], owner[order], first[order]
-    fresh = np.ones(len(short), bool)
-    fresh[1:] = (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])
+    key = bucket.astype(np.uint64) << np.uint64(32) | short
+    order = np.argsort(key)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[order][1:] != key[order][:-1]
     starts = np.flatnonzero(fresh)
-    group = np.cumsum(fresh) - 1
-    several = np.maximum.reduceat(owner, starts) != np.minimum.reduceat(owner, starts)
-    counts = np.diff(np.append(starts, len(short)))
-    alone = ~several[group]
-    out = []
-    told = starts[several]
-    tell = {b: at for b, at in runs(bucket[told])}
-    known = counts[several]
-    single = np.flatnonzero(alone)
-    # Within a bucket by id, so that neighbouring numbers are alike.
-    single = single[np.lexsort((first[single], owner[single], bucket[single]))]
+    sorted_owner = owner[order]
+    several = np.maximum.reduceat(sorted_owner, starts) != np.minimum.reduceat(sorted_owner, starts)
+    counts = np.diff(np.append(starts, len(key)))
+    shared = np.zeros(len(key), bool)
+    shared[order] = several[np.cumsum(fresh) - 1]
+    told, known = key[order[starts[several]]], counts[several]
+    tell = {b: at for b, at in runs((told >> np.uint64(32)).astype(np.int64))}
+    single = np.flatnonzero(~shared)
+    single = single[np.argsort(bucket[single].astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")]
     ask = {b: at for b, at in runs(bucket[single])}
+    out = []
     for b in sorted(tell.keys() | ask.keys()):
         one, more = single[ask.get(b, slice(0, 0))], tell.get(b, slice(0, 0))
         steps = np.diff(owner[one], prepend=np.int64(0))
         cell = blobs.pack(
-            short[one], steps, first[one].astype(np.uint32), short[told[more]], known[more].astype(np.uint32)
+            short[one], steps, first[one].astype(np.uint32), told[more].astype(np.uint32), known[more].astype(np.uint32)
         )
         out.append((0, b, cell))
-    return out + to_slices(owner[~alone], first[~alone], slices)
+    return out + to_slices(owner[shared], first[shared], slices)
 
 
 def to_slices(ids: np.ndarray, first: np.ndarray, slices: int) -> list[tuple[int, int, bytes]]:
@@ -265,7 +296,7 @@ def answer_grams(cells: pa.Table, slices: int, hot_from: int) -> pa.Table:
 
 
 def ask_windows(
-    left: pa.Table, right: pa.Table, slices: int, buckets: int, gram_buckets: int, hot: dict[int, np.ndarray]
+    left: pa.Table, right: pa.Table, slices: int, buckets: int, hot: dict[int, np.ndarray]
 ) -> pa.Table:
     """Kind 0: strings of windows, each once with its smallest id here, by bucket of the
     gram (very common grams: window by window, by bucket of the bytes). Kind 1: intervals
@@ -273,93 +304,136 @@ def ask_windows(
     if not left.num_rows or not right.num_rows:
         return ROUTED.empty_table()
     ids, keys, _, _, texts = unpack_texts(left["cell"].to_pylist())
+    by_id = np.argsort(ids, kind="stable")
+    ids, keys, texts = ids[by_id], keys[by_id], [texts[i] for i in by_id]
     asked = [blobs.unpack(c) for c in right["cell"].to_pylist()]
     wanted_ids = np.concatenate([np.cumsum(a[0]) for a in asked])
     wanted_first = np.concatenate([a[1] for a in asked]).astype(np.int64)
     known = np.unique(wanted_ids)
-    wanted = np.unique(np.searchsorted(known, wanted_ids) << 40 | wanted_first)
-    seen: dict[tuple[int, bytes], list] = {}
-    late: list[tuple[int, int, int, int]] = []
-
-    def meet(bucket: int, string: bytes, owner: int, key: int, at: int) -> None:
-        entry = seen.get((bucket, string))
-        if entry is None:
-            seen[(bucket, string)] = [owner, [(key, at)]]
-        elif owner > entry[0]:
-            late.append((owner, key, at, at + len(string)))
-        elif owner == entry[0]:
-            entry[1].append((key, at))
-        else:
-            late.extend((entry[0], k, a, a + len(string)) for k, a in entry[1])
-            entry[0], entry[1] = owner, [(key, at)]
-
-    for text, gram, first, last, _ in anchors(texts):
+    wanted = np.unique(np.searchsorted(known, wanted_ids) << 32 | wanted_first)
+    found = []
+    for text, gram, first, last, data, place in anchors(texts):
         at = np.searchsorted(known, ids[text])
         at[at == len(known)] = 0
-        code = at << 40 | first
+        code = at << 32 | first
         spot = np.searchsorted(wanted, code)
         spot[spot == len(wanted)] = 0
         chosen = np.flatnonzero((known[at] == ids[text]) & (wanted[spot] == code))
-        of_gram = (gram[chosen] % np.uint64(gram_buckets)).astype(np.int64)
-        short = (gram[chosen] // np.uint64(gram_buckets)).astype(np.uint32)
+        text, gram, first, last, place = (x[chosen] for x in (text, gram, first, last, place))
+        bucket = (gram % np.uint64(buckets)).astype(np.int64)
         common = np.zeros(len(chosen), bool)
-        for b in np.intersect1d(of_gram, list(hot)).tolist() if hot else []:
-            common |= (of_gram == b) & np.isin(short, hot[b])
-        target = (gram[chosen] % np.uint64(buckets)).astype(np.int64)
-        for t, a, b, bucket, split in zip(
-            text[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), target.tolist(), common.tolist()
-        ):
-            owner, key = int(ids[t]), int(keys[t])
-            if not split:
-                meet(bucket, texts[t][a : b + WINDOW], owner, key, a)
-                continue
-            for s in range(a, b + 1):
-                string = texts[t][s : s + WINDOW]
-                ends = int.from_bytes(string[:8], "big") * _BASE ^ int.from_bytes(string[-8:], "big") * int(_MIX)
-                meet((ends >> 7) % buckets, string, owner, key, s)
-
-    by_bucket: dict[int, list] = {}
-    for (bucket, string), (owner, spots) in seen.items():
-        by_bucket.setdefault(bucket, []).append((string, owner, spots))
+        for b in np.intersect1d(bucket, list(hot)).tolist() if hot else []:
+            common |= (bucket == b) & np.isin((gram // np.uint64(buckets)).astype(np.uint32), hot[b])
+        size = last - first + WINDOW
+        if common.any():
+            # One string per window instead, each to the bucket of its own bytes.
+            times = np.where(common, size - WINDOW + 1, 1)
+            of = np.repeat(np.arange(len(chosen)), times)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            text, bucket, split = text[of], bucket[of], common[of]
+            first, place, size = first[of] + step, place[of] + step, np.where(split, WINDOW, size[of])
+            mark = string_hashes(data, place, place + size)
+            bucket = np.where(split, (mark % np.uint64(buckets)).astype(np.int64), bucket)
+        else:
+            mark = string_hashes(data, place, place + size)
+        found.append((text, first, size, bucket, mark))
+    text, first, size, bucket, mark = (np.concatenate(x) for x in zip(*found))
+    if not len(text):
+        return ROUTED.empty_table()
+    body = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    start = (np.cumsum(lengths) - lengths)[text] + first
+    owner = ids[text]
+    # Places come by id, then by place; so the head of equal strings has the smallest id.
+    order = np.argsort(mark, kind="stable")
+    text, first, size, bucket, mark, start, owner = (x[order] for x in (text, first, size, bucket, mark, start, owner))
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = mark[1:] != mark[:-1]
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    # Equal hashes may hide other bytes; such a string stands for itself.
+    same = (size == size[head]) & (bucket == bucket[head])
+    check = np.flatnonzero(same & ~fresh)
+    for c in range(2 * WINDOW - GRAM):
+        inside = check[c < size[check]]
+        same[inside] &= body[start[inside] + c] == body[start[head[inside]] + c]
+    late = same & (owner > owner[head])
+    heads = np.flatnonzero(~same | fresh)
+    heads = heads[np.argsort(bucket[heads], kind="stable")]
+    number = np.zeros(len(text), np.int64)
+    number[heads] = np.arange(len(heads))
+    open_ = np.flatnonzero(~late)
+    of_entry = np.where(same[open_], number[head[open_]], number[open_])
+    by_entry = np.argsort(of_entry, kind="stable")
+    open_, of_entry = open_[by_entry], of_entry[by_entry]
     out = []
-    for bucket, entries in by_bucket.items():
-        spots = [(i, k, a) for i, (_, _, found) in enumerate(entries) for k, a in found]
-        entry, key, at = (np.array(x, np.int64) for x in zip(*spots))
+    for part, at in runs(bucket[heads]):
+        mine = heads[at]
+        total = np.cumsum(size[mine])
+        bytes_at = np.repeat(start[mine] - (total - size[mine]), size[mine]) + np.arange(total[-1])
+        low, high = np.searchsorted(of_entry, [at.start, at.stop])
+        spots = open_[low:high]
         cell = blobs.pack(
-            np.frombuffer(b"".join(e[0] for e in entries), np.uint8),
-            np.array([len(e[0]) for e in entries], np.int32),
-            np.array([e[1] for e in entries], np.int64),
-            entry.astype(np.int32),
-            key,
-            at.astype(np.int64),
+            body[bytes_at],
+            size[mine].astype(np.int32),
+            owner[mine],
+            (of_entry[low:high] - at.start).astype(np.int32),
+            keys[text[spots]],
+            first[spots].astype(np.uint32),
         )
-        out.append((0, bucket, cell))
-    if late:
-        out += spans_to_slices(*(np.array(x, np.int64) for x in zip(*late)), slices)
+        out.append((0, part, cell))
+    gone = np.flatnonzero(late)
+    if len(gone):
+        out += spans_to_slices(owner[gone], keys[text[gone]], first[gone], first[gone] + size[gone], slices)
     return routed(out)
 
 
 def spans_to_slices(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, slices: int) -> list:
+    """Intervals by slice; those of a row that touch are one."""
     own = slice_of(ids, slices)
     order = np.lexsort((start, keys, ids, own))
+    own, ids, keys, start, end = (x[order] for x in (own, ids, keys, start, end))
+    row = np.zeros(len(ids), np.int64)
+    row[1:] = np.cumsum((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))
+    # The furthest end so far within the row: rows are set far apart on one line.
+    far = np.int64(1) << 32
+    reach = np.maximum.accumulate(end + row * far)
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (start + row * far)[1:] > reach[:-1]
+    head = np.flatnonzero(fresh)
+    last = reach[np.append(head[1:], len(ids)) - 1] - row[head] * far
+    own, ids, keys, start = own[head], ids[head], keys[head], start[head]
     return [
-        (1, part, blobs.pack(*(x[order[at]] for x in (ids, keys, start, end)))) for part, at in runs(own[order])
+        (1, part, blobs.pack(ids[at], keys[at], start[at].astype(np.uint32), last[at].astype(np.uint32)))
+        for part, at in runs(own)
     ]
 
 
-def previous_factors(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def previous_factors(words: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
     """Whether each suffix, cut after a window, has an equal one of a smaller id.
 
-    ``words``: the bytes as big-endian numbers, one row per suffix. In suffix order, ties
-    by id, a run of equal suffixes starts with its smallest id.
+    ``words``: the bytes as big-endian numbers, first bytes first. In suffix order, ties
+    by id, a run of equal suffixes starts with its smallest id: the previous smaller place
+    within the run's common prefix. Suffixes whose hash is alone are not sorted.
     """
-    order = np.lexsort((ids, *[words[:, c] for c in range(words.shape[1] - 1, -1, -1)]))
-    sorted_words, sorted_ids = words[order], ids[order]
+    found = np.zeros(len(ids), bool)
+    mark = words[0] * _MIX
+    for i, word in enumerate(words[1:], 2):
+        mark ^= mark >> np.uint64(32)
+        mark += word * _power(i)
+    by_mark = np.argsort(mark)
+    equal = mark[by_mark][1:] == mark[by_mark][:-1]
+    partner = np.append(equal, False) | np.append(False, equal)
+    some = by_mark[partner]
+    words, ids = [w[some] for w in words], ids[some]
+    order = np.lexsort((ids, *words[::-1]))
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (sorted_words[1:] != sorted_words[:-1]).any(axis=1)
-    least = sorted_ids[fresh][np.cumsum(fresh) - 1]
-    found = np.zeros(len(order), bool)
-    found[order] = least < sorted_ids
+    fresh[1:] = False
+    for word in words:
+        ordered = word[order]
+        fresh[1:] |= ordered[1:] != ordered[:-1]
+    ids = ids[order]
+    if len(ids):
+        found[some[order]] = ids[fresh][np.cumsum(fresh) - 1] < ids
     return found
 
 
@@ -376,17 +450,19 @@ def answer_windows(cells: pa.Table, slices: int) -> pa.Table:
         owners.append(owner)
         entry.append(of.astype(np.int64) + n)
         key.append(k)
-        at.append(a)
+        at.append(a.astype(np.int64))
         n += len(size)
     data, lengths, owners, entry, key, at = (np.concatenate(x) for x in (data, lengths, owners, entry, key, at))
     windows = lengths.astype(np.int64) - WINDOW + 1
     begin = np.cumsum(lengths) - lengths
     of_entry = np.repeat(np.arange(n), windows)
     offset = np.arange(len(of_entry)) - np.repeat(np.cumsum(windows) - windows, windows)
-    width = -(-WINDOW // 8) * 8
-    raw = np.zeros((len(of_entry), width), np.uint8)
-    raw[:, :WINDOW] = data[(begin[of_entry] + offset)[:, None] + np.arange(WINDOW)[None, :]]
-    repeated = previous_factors(raw.view(">u8").astype(np.uint64), owners[of_entry])
+    first = begin[of_entry] + offset
+    raw = data.tobytes()
+    eight = np.ndarray((max(len(raw) - 7, 0),), ">u8", raw, 0, (1,))
+    # Eight bytes at a time; the last ones overlap the ones before.
+    words = [eight[first + c].astype(np.uint64) for c in (*range(0, WINDOW - 7, 8), WINDOW - 8)]
+    repeated = previous_factors(words, owners[of_entry])
     hit = np.flatnonzero(repeated)
     if not len(hit):
         return ROUTED.empty_table()
@@ -494,7 +570,7 @@ def remove_repeats(
     hot = {r.part: blobs.unpack(bytes(r.cell))[0] for r in grams.filter("kind = 2").collect()}
 
     def strings(left: pa.Table, right: pa.Table) -> pa.Table:
-        return ask_windows(left, right, slices, buckets, buckets, hot)
+        return ask_windows(left, right, slices, buckets, hot)
 
     def matched(cells: pa.Table) -> pa.Table:
         return answer_windows(cells, slices)

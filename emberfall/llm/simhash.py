@@ -33,7 +33,7 @@ from emberfall.workspace import materialise
 
 SEED = 42
 FAN_OUT = 8
-PAIRS_AT_ONCE = 1 << 20
+NODES_AT_ONCE = 1 << 14
 CODES_IN_GROUP = 128_000
 FEWEST_GROUPS, MOST_GROUPS = 8, 1024
 # Odd factors that turn one shingle hash into further independent ones.
@@ -128,31 +128,32 @@ def near_pairs(
     """Positions of codes of a and b that differ in at most ``reach`` bits, in batches;
     of one tree with itself (``same``) each pair once."""
     top = max(len(a.both), len(b.both)) - 1
+
+    def kept(level: int, i: np.ndarray, j: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        (both_a, any_a), (both_b, any_b) = a.level(level), b.level(level)
+        near = apart(both_a[i], any_a[i], both_b[j], any_b[j]) <= reach
+        if same:
+            near &= i <= j
+        return level, i[near], j[near]
+
     n_a, n_b = len(a.level(top)[0]), len(b.level(top)[0])
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(n_a), np.arange(n_b), indexing="ij"))
-    stack = [(top, i, j)]
+    stack = [kept(top, np.repeat(np.arange(n_a), n_b), np.tile(np.arange(n_b), n_a))]
     while stack:
         level, i, j = stack.pop()
-        if len(i) > PAIRS_AT_ONCE:
-            half = len(i) // 2
-            stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
-            continue
-        (both_a, any_a), (both_b, any_b) = a.level(level), b.level(level)
-        kept = apart(both_a[i], any_a[i], both_b[j], any_b[j]) <= reach
-        if same:
-            kept &= i <= j
-        i, j = i[kept], j[kept]
         if not len(i):
             continue
         if level == 0:
             yield i, j
             continue
+        if len(i) > NODES_AT_ONCE:
+            stack.append((level, i[NODES_AT_ONCE:], j[NODES_AT_ONCE:]))
+            i, j = i[:NODES_AT_ONCE], j[:NODES_AT_ONCE]
         step_a = FAN_OUT if level < len(a.both) else 1
         step_b = FAN_OUT if level < len(b.both) else 1
         child_a = (i[:, None] * step_a + np.arange(step_a)).repeat(step_b, axis=1).ravel()
         child_b = np.tile(j[:, None] * step_b + np.arange(step_b), (1, step_a)).ravel()
         inside = (child_a < len(a.level(level - 1)[0])) & (child_b < len(b.level(level - 1)[0]))
-        stack.append((level - 1, child_a[inside], child_b[inside]))
+        stack.append(kept(level - 1, child_a[inside], child_b[inside]))
 
 
 def join_forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
