@@ -18,6 +18,7 @@ def significance(p: Column) -> Column:
 
 def rank_label(percentile: Column, is_record: Column) -> Column:
     """Class of a percentile; a record overrides it."""
+    # The class texts and their limits.
     rank = (
         F.when(percentile >= 99, F.lit("Extremely High (>99th)"))
         .when(percentile >= 95, F.lit("Very High (>95th)"))

@@ -19,35 +19,47 @@ RANK_BITS = 31
 
 
 def _fit(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
+    """Sums of one fit per group; inner columns start with an underscore, so that group
+    columns may have any other name."""
     complete = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
     sums = complete.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_r2(y, x).alias("r2"),
-        F.regr_sxx(y, x).alias("sxx"),
+        F.count("*").alias("_n"),
+        F.regr_slope(y, x).alias("_slope"),
+        F.regr_intercept(y, x).alias("_intercept"),
+        F.regr_r2(y, x).alias("_r2"),
+        F.regr_sxx(y, x).alias("_sxx"),
+        F.regr_syy(y, x).alias("_syy"),
         F.greatest(
             F.lit(0.0),
             F.regr_syy(y, x) - F.regr_slope(y, x) * F.regr_sxy(y, x),
-        ).alias("sse"),
-        F.avg(x).alias("x_mean"),
-        F.min(x).alias("x_low"),
-        F.max(x).alias("x_high"),
+        ).alias("_sse"),
+        F.avg(x).alias("_x_mean"),
+        F.min(x).alias("_x_low"),
+        F.max(x).alias("_x_high"),
     )
-    return sums.withColumn("df", (F.col("n") - 2).cast("int")).withColumn(
-        "s", F.sqrt(F.when(F.col("df") > 0, F.col("sse") / F.col("df")))
+    return sums.withColumn("_df", (F.col("_n") - 2).cast("int")).withColumn(
+        "_s", F.sqrt(F.when(F.col("_df") > 0, F.col("_sse") / F.col("_df")))
     )
 
 
 def linear_trend(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
-    """Slope, intercept, two-sided p-value of the slope and R squared per group."""
-    error = F.col("s") / F.sqrt("sxx")
-    t = F.try_divide(F.col("slope"), error)
-    p = F.when(F.col("sse") == 0, F.when(F.col("df") > 0, F.lit(0.0))).otherwise(
-        student_two_sided(t, F.col("df"))
-    )
+    """Slope, intercept, two-sided p-value of the slope and R squared per group.
+
+    A flat series has no p-value and no R squared (both NULL), nor has one of fewer than
+    three points a p-value; with a single x there is no slope either.
+    """
+    error = F.col("_s") / F.sqrt("_sxx")
+    t = F.try_divide(F.col("_slope"), error)
+    varied = (F.col("_sxx") > 0) & (F.col("_syy") > 0)
+    p = F.when(varied & (F.col("_df") >= 1), F.when(F.col("_sse") == 0, F.lit(0.0)).otherwise(
+        student_two_sided(t, F.col("_df"))
+    ))
     return _fit(df, y, x, by).select(
-        *by, "slope", "intercept", p.alias("p_value"), "r2"
+        *by,
+        F.col("_slope").alias("slope"),
+        F.col("_intercept").alias("intercept"),
+        p.alias("p_value"),
+        F.when(varied, F.col("_r2")).alias("r2"),
     )
 
 
@@ -55,18 +67,19 @@ def trend_line(
     df: DataFrame, y: str, x: str, by: Sequence[str], points: int = 80, level: float = 0.95
 ) -> DataFrame:
     """Fitted line on an even grid over the x range, with the confidence band of the mean."""
-    fit = _fit(df, y, x, by).withColumn("t", student_quantile(level, F.col("df")))
-    step = (F.col("x_high") - F.col("x_low")) / (points - 1)
-    grid = fit.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-        "x", F.col("x_low") + F.col("i") * step
+    fit = _fit(df, y, x, by).withColumn("_t", student_quantile(level, F.col("_df")))
+    step = (F.col("_x_high") - F.col("_x_low")) / (points - 1)
+    grid = fit.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+        "_x", F.col("_x_low") + F.col("_i") * step
     )
-    offset = F.col("x") - F.col("x_mean")
-    half = F.col("t") * F.col("s") * F.sqrt(1 / F.col("n") + offset * offset / F.col("sxx"))
-    line = F.col("intercept") + F.col("slope") * F.col("x")
+    offset = F.col("_x") - F.col("_x_mean")
+    spread = F.sqrt(1 / F.col("_n") + F.try_divide(offset * offset, F.col("_sxx")))
+    half = F.col("_t") * F.col("_s") * spread
+    line = F.col("_intercept") + F.col("_slope") * F.col("_x")
     return grid.select(
         *by,
-        "i",
-        "x",
+        F.col("_i").alias("i"),
+        F.col("_x").alias("x"),
         line.alias("fit"),
         (line - half).alias("lower"),
         (line + half).alias("upper"),
@@ -79,52 +92,61 @@ def mann_kendall(series: DataFrame, y: str, t: str, by: Sequence[str]) -> DataFr
     No pairs of rows are formed. Two values compare at the highest bit in which
     their ranks differ: among rows equal above that bit, each row counts the earlier
     rows with the other bit. The work is n rows times the bits of the largest rank.
+
+    A series has one row per time step, so a group is as long as the record has years; the
+    windows hold one group each. A constant series has no z, tau, p-value or significance.
     """
     by = list(by)
-    values = series.filter(F.col(y).isNotNull()).select(*by, y, t)
+    values = series.filter(F.col(y).isNotNull()).select(
+        *by, F.col(y).alias("_y"), F.col(t).alias("_time")
+    )
     ranked = values.withColumn(
-        "rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(y)) - 1
-    ).withColumn("top", F.max("rank").over(Window.partitionBy(*by)))
-    bits = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(RANK_BITS - 1))))
-    bits = bits.filter(F.expr("shiftright(top, bit) > 0")).selectExpr(
+        "_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy("_y")) - 1
+    ).withColumn("_top", F.max("_rank").over(Window.partitionBy(*by)))
+    bits = ranked.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(RANK_BITS - 1))))
+    bits = bits.filter(F.expr("shiftright(_top, _bit) > 0")).select(
         *by,
-        t,
-        "bit",
-        "shiftright(rank, bit + 1) AS prefix",
-        "shiftright(rank, bit) & 1 AS one",
+        "_time",
+        "_bit",
+        F.expr("shiftright(_rank, _bit + 1) AS _prefix"),
+        F.expr("shiftright(_rank, _bit) & 1 AS _one"),
     )
     earlier = (
-        Window.partitionBy(*by, "bit", "prefix")
-        .orderBy(t)
+        Window.partitionBy(*by, "_bit", "_prefix")
+        .orderBy("_time")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    lower = F.coalesce(F.sum(1 - F.col("one")).over(earlier), F.lit(0))
-    higher = F.coalesce(F.sum("one").over(earlier), F.lit(0))
-    score = bits.withColumn("gain", F.when(F.col("one") == 1, lower).otherwise(-higher))
-    score = score.groupBy(*by).agg(F.sum("gain").alias("gained"))
+    lower = F.coalesce(F.sum(1 - F.col("_one")).over(earlier), F.lit(0))
+    higher = F.coalesce(F.sum("_one").over(earlier), F.lit(0))
+    score = bits.withColumn("_gain", F.when(F.col("_one") == 1, lower).otherwise(-higher))
+    score = score.groupBy(*by).agg(F.sum("_gain").alias("_gained"))
 
-    m = F.col("m")
-    ties = values.groupBy(*by, y).agg(F.count("*").alias("m"))
+    m = F.col("_m")
+    ties = values.groupBy(*by, "_y").agg(F.count("*").alias("_m"))
     sizes = ties.groupBy(*by).agg(
-        F.sum("m").alias("n"),
-        F.sum(m * (m - 1) * (2 * m + 5)).alias("tie_variance"),
-        F.sum(m * (m - 1) / 2).alias("tie_pairs"),
+        F.sum("_m").alias("_n"),
+        F.sum(m * (m - 1) * (2 * m + 5)).alias("_tie_variance"),
+        F.sum(m * (m - 1) / 2).alias("_tie_pairs"),
     )
-    n = F.col("n")
+    n = F.col("_n")
     pairs = n * (n - 1) / 2
-    s = F.coalesce(F.col("gained"), F.lit(0))
+    s = F.coalesce(F.col("_gained"), F.lit(0))
     table = sizes.join(score, by, "left").select(
         *by,
-        "n",
-        s.alias("S"),
-        ((n * (n - 1) * (2 * n + 5) - F.col("tie_variance")) / 18).alias("varS"),
-        F.sqrt(pairs * (pairs - F.col("tie_pairs"))).alias("tau_scale"),
+        "_n",
+        s.alias("_s"),
+        ((n * (n - 1) * (2 * n + 5) - F.col("_tie_variance")) / 18).alias("_variance"),
+        F.sqrt(pairs * (pairs - F.col("_tie_pairs"))).alias("_tau_scale"),
     )
-    z = F.try_divide(F.col("S") - F.signum("S"), F.sqrt("varS"))
-    return (
-        table.withColumn("z", z)
-        .withColumn("tau", F.try_divide(F.col("S"), F.col("tau_scale")))
-        .withColumn("p_value", normal_two_sided(F.col("z")))
-        .withColumn("significance", significance(F.col("p_value")))
-        .drop("tau_scale")
+    z = F.try_divide(F.col("_s") - F.signum("_s"), F.sqrt("_variance"))
+    tested = table.withColumn("_z", z).withColumn("_p", normal_two_sided(F.col("_z")))
+    return tested.select(
+        *by,
+        F.col("_n").alias("n"),
+        F.col("_s").alias("S"),
+        F.col("_variance").alias("varS"),
+        F.col("_z").alias("z"),
+        F.try_divide(F.col("_s"), F.col("_tau_scale")).alias("tau"),
+        F.col("_p").alias("p_value"),
+        significance(F.col("_p")).alias("significance"),
     )

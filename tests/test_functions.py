@@ -102,3 +102,21 @@ def test_student_tail_and_quantile(spark, df):
         assert p == pytest.approx(1 - student_by_integration(t, df), abs=1e-10)
     quantile = spark.range(1).select(special.student_quantile(0.95, F.lit(df))).first()[0]
     assert student_by_integration(quantile, df) == pytest.approx(0.95, abs=1e-7)
+
+
+def test_far_tails(spark):
+    z = [3.0, 5.0, 9.0, -9.0, 30.0, None]
+    got = values(spark, special.normal_two_sided(F.col("z")), [(x,) for x in z], "z double")
+    for x, p in zip(z[:-1], got):
+        assert p == pytest.approx(math.erfc(abs(x) / math.sqrt(2)), rel=1e-10)
+    assert got[2] == pytest.approx(2.2571768e-19, rel=1e-6) and got[-1] is None
+    got = values(spark, special.student_two_sided(F.col("t"), F.col("d")), [(1e6, 1), (1e4, 2), (50.0, 7), (None, 3), (1.0, 0)], "t double, d int")
+    assert got[0] == pytest.approx(2 / math.pi * math.atan(1e-6), rel=1e-10)
+    assert got[1] == pytest.approx(1e-8, rel=1e-7)
+    assert 0 < got[2] < 1e-9 and got[3:] == [None, None]
+
+
+def test_quantile_has_no_ceiling(spark):
+    for level, df, want in ((0.9995, 1, 1273.239), (0.999999, 1, 636619.77), (0.9999, 2, 99.9925)):
+        got = spark.range(1).select(special.student_quantile(level, F.lit(df))).first()[0]
+        assert got == pytest.approx(want, rel=1e-5)

@@ -67,7 +67,29 @@ def test_mann_kendall_against_pairs(spark, seed):
 
 def test_mann_kendall_of_a_constant(spark):
     row = trend.mann_kendall(series(spark, [2, 2, 2]), "v", "year", ["season"]).first()
-    assert (row.S, row.z, row.tau) == (0, None, None)
+    assert (row.S, row.z, row.tau, row.p_value, row.significance) == (0, None, None, None, None)
+
+
+def test_undefined_p_values(spark):
+    rows = [("flat", x, 4.0) for x in range(30)] + [("two", 1, 1.1), ("two", 2, 2.3), ("one x", 1, 1.0)]
+    rows += [("one x", 1, 2.0), ("one x", 1, 4.0), ("exact", 1, 1.0), ("exact", 2, 2.0), ("exact", 3, 3.0)]
+    df = spark.createDataFrame(rows, "s string, x int, y double")
+    got = {r.s: r for r in trend.linear_trend(df, "y", "x", ["s"]).collect()}
+    assert (got["flat"].slope, got["flat"].p_value, got["flat"].r2) == (0.0, None, None)
+    assert got["two"].slope == pytest.approx(1.2) and got["two"].p_value is None
+    assert (got["one x"].slope, got["one x"].p_value, got["one x"].r2) == (None, None, None)
+    assert (got["exact"].slope, got["exact"].p_value, got["exact"].r2) == (1.0, 0.0, 1.0)
+
+
+@pytest.mark.parametrize("key", ["s", "n", "df", "t", "bit", "rank", "prefix", "one", "m", "slope", "group", "block"])
+def test_group_columns_keep_their_values(spark, key):
+    df = spark.createDataFrame([(7, y, float(y * y % 5)) for y in range(9)], f"{key} int, year int, v double")
+    for found in (trend.linear_trend(df, "v", "year", [key]), trend.trend_line(df, "v", "year", [key], 3)):
+        if key != "slope":
+            assert {r[key] for r in found.collect()} == {7}
+    if key != "n":
+        assert {r[key] for r in trend.mann_kendall(df, "v", "year", [key]).collect()} == {7}
+    assert {r[key] for r in bootstrap.bootstrap_ci(df, "v", [key], "sum", 5).collect()} == {7}
 
 
 def test_bootstrap_of_a_constant(spark):
