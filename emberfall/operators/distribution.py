@@ -24,8 +24,12 @@ from emberfall.workspace import materialise
 RULE_1D = 0.9
 RULE_2D = 1.06
 IQR_TO_SD = 1.34
-# Points per matrix product and groups held by one task in the 2-D density.
-GROUPS_HELD = 64
+# The bin width of an axis of one value, and the share of a width by which a
+# value may exceed an edge.
+FLAT_WIDTH = 0.1
+EDGE_SLACK = 1e-8
+# Tasks that may share the points of one group in the 2-D density.
+SALTS = 16
 
 
 def _with_range(groups: DataFrame, points: DataFrame, value: str, range_by: Sequence[str],
@@ -44,44 +48,50 @@ def histogram(
 ) -> DataFrame:
     """Equal-width bins over the axis range with counts and densities; empty bins included.
 
-    The highest value belongs to the last bin.
+    The first bin is centred on the lowest value and the last on the highest, so the width
+    is the range over ``bins - 1``. Bins are closed on the right; a value that exceeds an
+    edge by rounding alone counts below it. A single bin covers the range itself. An axis
+    of one value has bins of width ``FLAT_WIDTH``, the first around the value.
     """
     by = list(by)
-    points = df.filter(is_finite(F.col(value))).select(*by, value)
-    groups = points.groupBy(*by).agg(F.count("*").alias("n"))
-    groups = materialise(_with_range(groups, points, value, range_by, "low", "high"), "ranges")
-    width = (F.col("high") - F.col("low")) / bins
-    place = F.floor(F.try_divide(F.col(value) - F.col("low"), width)) + 1
-    number = F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int")
+    points = df.filter(is_finite(F.col(value))).select(*by, F.col(value).alias("_v"))
+    groups = points.groupBy(*by).agg(F.count("*").alias("_n"))
+    groups = _with_range(groups, points, "_v", range_by, "_low", "_high")
+    reach = F.col("_high") - F.col("_low")
+    width = F.when(reach == 0, F.lit(FLAT_WIDTH)).otherwise(reach / max(bins - 1, 1))
+    start = F.col("_low") - F.when((reach > 0) & F.lit(bins == 1), 0.0).otherwise(F.col("_w") / 2)
+    groups = groups.withColumn("_w", width).withColumn("_start", start)
+    groups = materialise(groups.select(*by, "_n", "_w", "_start"), "ranges")
+    place = F.ceil((F.col("_v") - F.col("_start")) / F.col("_w") - EDGE_SLACK)
     filled = (
         points.join(groups, by)
-        .withColumn("bin", number)
+        .withColumn("bin", F.greatest(F.least(place, F.lit(bins)), F.lit(1)).cast("int"))
         .groupBy(*by, "bin")
-        .agg(F.count("*").alias("count"))
+        .agg(F.count("*").alias("_count"))
     )
     frame = groups.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    count = F.coalesce(F.col("count"), F.lit(0))
+    count = F.coalesce(F.col("_count"), F.lit(0))
     return frame.join(filled, [*by, "bin"], "left").select(
         *by,
         "bin",
-        (F.col("low") + (F.col("bin") - 1) * width).alias("bin_low"),
-        (F.col("low") + F.col("bin") * width).alias("bin_high"),
+        (F.col("_start") + (F.col("bin") - 1) * F.col("_w")).alias("bin_low"),
+        (F.col("_start") + F.col("bin") * F.col("_w")).alias("bin_high"),
         count.alias("count"),
-        F.try_divide(count.cast("double"), F.col("n") * width).alias("density"),
+        (count.cast("double") / (F.col("_n") * F.col("_w"))).alias("density"),
     )
 
 
 def _spread(points: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, deviation and interquartile range of a measure per group of two or more."""
-    quartiles = exact_quantiles(points, value, {"q25": 0.25, "q75": 0.75}, by)
+    quartiles = exact_quantiles(points, value, {"_q25": 0.25, "_q75": 0.75}, by, "_n")
     moments = points.groupBy(*by).agg(
-        F.stddev_samp(value).alias("sd"), F.max(F.abs(F.col(value))).alias("size")
+        F.stddev_samp(value).alias("_sd"), F.max(F.abs(F.col(value))).alias("_size")
     )
     return (
         quartiles.join(moments, by)
-        .withColumn("iqr", F.col("q75") - F.col("q25"))
-        .filter(F.col("n") >= 2)
-        .select(*by, "n", "sd", "iqr", "size")
+        .withColumn("_iqr", F.col("_q75") - F.col("_q25"))
+        .filter(F.col("_n") >= 2)
+        .select(*by, "_n", "_sd", "_iqr", "_size")
     )
 
 
@@ -107,31 +117,31 @@ def kde_1d(
     last = points - 1
     values = df.filter(is_finite(F.col(value))).select(*by, value)
     spread = _spread(values, value, by)
-    narrow = F.least("sd", F.col("iqr") / IQR_TO_SD)
+    narrow = F.least("_sd", F.col("_iqr") / IQR_TO_SD)
     scale = (
         F.when(narrow > 0, narrow)
-        .when(F.col("sd") > 0, F.col("sd"))
-        .when(F.col("size") > 0, F.col("size"))
+        .when(F.col("_sd") > 0, F.col("_sd"))
+        .when(F.col("_size") > 0, F.col("_size"))
         .otherwise(F.lit(1.0))
     )
-    groups = spread.withColumn("bw", RULE_1D * scale * F.pow(F.col("n"), F.lit(-0.2)))
-    groups = _with_range(groups, values, value, range_by, "low", "high")
-    groups = groups.withColumn("first", F.col("low") - 4 * F.col("bw")).withColumn(
-        "delta", (F.col("high") - F.col("low") + 8 * F.col("bw")) / last
+    groups = spread.withColumn("_bw", RULE_1D * scale * F.pow(F.col("_n"), F.lit(-0.2)))
+    groups = _with_range(groups, values, value, range_by, "_low", "_high")
+    groups = groups.withColumn("_first", F.col("_low") - 4 * F.col("_bw")).withColumn(
+        "_delta", (F.col("_high") - F.col("_low") + 8 * F.col("_bw")) / last
     )
-    groups = materialise(groups.select(*by, "n", "bw", "low", "high", "first", "delta"), "axes")
+    groups = materialise(groups.select(*by, "_n", "_bw", "_low", "_high", "_first", "_delta"), "axes")
 
-    place = (F.col(value) - F.col("first")) / F.col("delta")
+    place = (F.col(value) - F.col("_first")) / F.col("_delta")
     knot = F.floor(place).cast("int")
     shares = F.array(
-        F.struct(knot.alias("knot"), (1 - (place - knot)).alias("weight")),
-        F.struct((knot + 1).alias("knot"), (place - knot).alias("weight")),
+        F.struct(knot.alias("_knot"), (1 - (place - knot)).alias("_weight")),
+        F.struct((knot + 1).alias("_knot"), (place - knot).alias("_weight")),
     )
     weights = (
         values.join(groups, by)
-        .select(*by, F.explode(shares).alias("share"))
-        .groupBy(*by, F.col("share.knot").alias("knot"))
-        .agg(F.sum("share.weight").alias("weight"))
+        .select(*by, F.explode(shares).alias("_share"))
+        .groupBy(*by, F.col("_share._knot").alias("_knot"))
+        .agg(F.sum("_share._weight").alias("_weight"))
     )
     # The grid is laid out after the join: a side that still has to expand looks small
     # to the planner and could be broadcast.
@@ -139,17 +149,17 @@ def kde_1d(
         "i", F.explode(F.sequence(F.lit(0), F.lit(last)))
     )
     spots = spots.withColumn(
-        "x", F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / last
+        "x", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("i") / last
     )
-    at = (F.col("x") - F.col("first")) / F.col("delta")
+    at = (F.col("x") - F.col("_first")) / F.col("_delta")
     left = F.floor(at)
     ahead = at - left
 
     def kernel(knot_at: Column) -> Column:
-        return _normal_density((knot_at - F.col("knot")) * F.col("delta"), F.col("bw"))
+        return _normal_density((knot_at - F.col("_knot")) * F.col("_delta"), F.col("_bw"))
 
-    share = F.col("weight") * ((1 - ahead) * kernel(left) + ahead * kernel(left + 1))
-    return spots.groupBy(*by, "i", "x").agg((F.sum(share) / F.max("n")).alias("density"))
+    share = F.col("_weight") * ((1 - ahead) * kernel(left) + ahead * kernel(left + 1))
+    return spots.groupBy(*by, "i", "x").agg((F.sum(share) / F.max("_n")).alias("density"))
 
 
 def _grid_sums(by: list[str], points: int):
@@ -162,22 +172,24 @@ def _grid_sums(by: list[str], points: int):
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
+        # Rows come sorted by group, so one grid is held at a time.
+        held, total = None, None
         for batch in batches:
-            for key, rows in batch.groupby(by, sort=False):
+            for key, rows in batch.groupby(by, sort=False, dropna=False):
                 first = rows.iloc[0]
-                gx = np.linspace(first["x_low"], first["x_high"], points)
-                gy = np.linspace(first["y_low"], first["y_high"], points)
-                zx = (gx[:, None] - rows["x"].to_numpy()) / first["hx"]
-                zy = (gy[:, None] - rows["y"].to_numpy()) / first["hy"]
+                gx = np.linspace(first["_x_low"], first["_x_high"], points)
+                gy = np.linspace(first["_y_low"], first["_y_high"], points)
+                zx = (gx[:, None] - rows["_x"].to_numpy()) / first["_hx"]
+                zy = (gy[:, None] - rows["_y"].to_numpy()) / first["_hy"]
                 part = np.exp(-zx * zx / 2) @ np.exp(-zy * zy / 2).T
-                held[key] = held[key] + part if key in held else part
-            if len(held) >= GROUPS_HELD:
-                for key, total in held.items():
-                    yield emit(key, total, by)
-                held = {}
-        for key, total in held.items():
-            yield emit(key, total, by)
+                if held == key:
+                    total += part
+                    continue
+                if held is not None:
+                    yield emit(held, total, by)
+                held, total = key, part
+        if held is not None:
+            yield emit(held, total, by)
 
     return run
 
@@ -193,39 +205,42 @@ def kde_2d(
     """Gaussian product-kernel density on a square grid; ``ndensity`` has maximum 1.
 
     The kernel sum of a batch is one matrix product of two grid-by-points tables,
-    so a task adds its points up in numpy and only grid sums are shuffled.
+    so a task adds its points up in numpy and only grid sums are shuffled. Points are dealt
+    by group and salt: a task holds one grid at a time and gives one per group it meets,
+    and a large group is shared by several tasks. Groups without spread in either
+    measure have no density and do not appear.
     """
     by = list(by)
     pairs = df.filter(is_finite(F.col(x)) & is_finite(F.col(y))).select(
-        *by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+        *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
     axes = pairs.select(
         *by,
         F.explode(
             F.array(
-                *[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in ("x", "y")]
+                *[F.struct(F.lit(a).alias("_axis"), F.col(a).alias("_value")) for a in ("_x", "_y")]
             )
         ).alias("cell"),
     ).select(*by, "cell.*")
-    narrow = F.least("sd", F.col("iqr") / IQR_TO_SD)
-    rules = _spread(axes, "value", [*by, "axis"]).withColumn(
-        "h", RULE_2D * narrow * F.pow(F.col("n"), F.lit(-0.2))
+    narrow = F.least("_sd", F.col("_iqr") / IQR_TO_SD)
+    rules = _spread(axes, "_value", [*by, "_axis"]).withColumn(
+        "_h", RULE_2D * narrow * F.pow(F.col("_n"), F.lit(-0.2))
     )
-    rules = _with_range(rules, axes, "value", [*range_by, "axis"], "low", "high")
+    rules = _with_range(rules, axes, "_value", [*range_by, "_axis"], "_low", "_high")
 
     def of_axis(axis: str, name: str) -> Column:
-        return F.max(F.when(F.col("axis") == axis, F.col(name)))
+        return F.max(F.when(F.col("_axis") == axis, F.col(name)))
 
     groups = rules.groupBy(*by).agg(
-        F.max("n").alias("n"),
-        of_axis("x", "h").alias("hx"),
-        of_axis("y", "h").alias("hy"),
-        of_axis("x", "low").alias("x_low"),
-        of_axis("x", "high").alias("x_high"),
-        of_axis("y", "low").alias("y_low"),
-        of_axis("y", "high").alias("y_high"),
+        F.max("_n").alias("_n"),
+        of_axis("_x", "_h").alias("_hx"),
+        of_axis("_y", "_h").alias("_hy"),
+        of_axis("_x", "_low").alias("_x_low"),
+        of_axis("_x", "_high").alias("_x_high"),
+        of_axis("_y", "_low").alias("_y_low"),
+        of_axis("_y", "_high").alias("_y_high"),
     )
-    groups = materialise(groups.filter((F.col("hx") > 0) & (F.col("hy") > 0)), "axes")
+    groups = materialise(groups.filter((F.col("_hx") > 0) & (F.col("_hy") > 0)), "axes")
 
     source = pairs.join(groups, by)
     keys = [source.schema[c] for c in by]
@@ -238,18 +253,20 @@ def kde_2d(
         ]
     )
     sums = (
-        source.select(*by, "x", "y", "hx", "hy", "x_low", "x_high", "y_low", "y_high")
+        source.select(*by, "_x", "_y", "_hx", "_hy", "_x_low", "_x_high", "_y_low", "_y_high")
+        .repartition(*by, F.pmod(F.xxhash64("_x", "_y"), F.lit(SALTS)))
+        .sortWithinPartitions(*by)
         .mapInPandas(_grid_sums(by, points), schema)
         .groupBy(*by, "ix", "iy")
         .agg(F.sum("part").alias("total"))
     )
-    density = F.col("total") / (2 * math.pi * F.col("n") * F.col("hx") * F.col("hy"))
+    density = F.col("total") / (2 * math.pi * F.col("_n") * F.col("_hx") * F.col("_hy"))
     placed = sums.join(groups, by).select(
         *by,
         "ix",
         "iy",
-        (F.col("x_low") + (F.col("x_high") - F.col("x_low")) * F.col("ix") / (points - 1)).alias("x"),
-        (F.col("y_low") + (F.col("y_high") - F.col("y_low")) * F.col("iy") / (points - 1)).alias("y"),
+        (F.col("_x_low") + (F.col("_x_high") - F.col("_x_low")) * F.col("ix") / (points - 1)).alias("x"),
+        (F.col("_y_low") + (F.col("_y_high") - F.col("_y_low")) * F.col("iy") / (points - 1)).alias("y"),
         density.alias("density"),
     )
     peak = F.max("density").over(Window.partitionBy(*by))

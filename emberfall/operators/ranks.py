@@ -79,11 +79,11 @@ class RankTable:
 
     ``table`` holds the group columns, ``value``, ``n_equal``, ``percent_rank`` and
     ``lane``, a written zero: as a literal the optimizer would take it out of the join
-    keys. ``rows`` is the number of rows ranked.
+    keys. ``rows`` is the number of rows ranked, as a scalar of the plan.
     """
 
     table: DataFrame
-    rows: int
+    rows: Column
 
 
 def percent_rank_tables(
@@ -108,11 +108,11 @@ def percent_rank_tables(
         ),
         "ranks",
     )
-    sizes = dict(ranked.groupBy("measure").agg(F.sum("n_equal")).collect())
-    return {
-        v: RankTable(ranked.filter(F.col("measure") == v).drop("measure"), sizes.get(v, 0))
-        for v in values
-    }
+    found = {}
+    for v in values:
+        table = ranked.filter(F.col("measure") == v).drop("measure")
+        found[v] = RankTable(table, table.select(F.sum("n_equal")).scalar())
+    return found
 
 
 def attach_percent_rank(
@@ -148,15 +148,19 @@ def attach_percent_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    quantiles: dict[str, float],
+    by: Sequence[str] = (),
+    size_as: str = "n",
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``quantiles``.
 
-    Also returns ``n``, the number of values of the group.
+    Also returns the number of values of the group, named ``size_as``.
     """
     by = list(by)
     positions = value_positions(df, value, by)
-    size = F.max("n_group").alias("n")
+    size = F.max("n_group").alias(size_as)
     picks = [size]
     for name, q in quantiles.items():
         rank = (F.col("n_group") - 1) * q
@@ -168,8 +172,8 @@ def exact_quantiles(
     found = positions.groupBy(*by).agg(*picks)
     columns = [F.col(c) for c in by]
     for name, q in quantiles.items():
-        rank = (F.col("n") - 1) * q
+        rank = (F.col(size_as) - 1) * q
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         step = F.coalesce(high, low) - low
         columns.append((low + (rank - F.floor(rank)) * step).alias(name))
-    return found.select(*columns, "n")
+    return found.select(*columns, size_as)

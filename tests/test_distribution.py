@@ -12,13 +12,21 @@ def points(spark, groups):
     return spark.createDataFrame(rows, "g string, v double")
 
 
+def test_histogram_bins_are_centred_on_the_ends_and_closed_right(spark):
+    got = distribution.histogram(points(spark, {"a": range(11)}), "v", ["g"], 5).orderBy("bin").collect()
+    assert [r["count"] for r in got] == [2, 2, 3, 2, 2]
+    assert [r.bin_low for r in got] + [got[-1].bin_high] == [-1.25, 1.25, 3.75, 6.25, 8.75, 11.25]
+    edges = distribution.histogram(points(spark, {"a": [0, 1, 1, 2, 4]}), "v", ["g"], 3).orderBy("bin").collect()
+    assert [r.bin_high for r in edges] == [1.0, 3.0, 5.0] and [r["count"] for r in edges] == [3, 1, 1]
+
+
 def test_histogram_integrates_to_one_and_keeps_empty_bins(spark):
     df = points(spark, {"a": [0, 0, 1, 10], "b": [5, 5, 5]})
     got = distribution.histogram(df, "v", ["g"], 5).collect()
     assert len(got) == 10
     a = sorted((r.bin, r["count"], r.density) for r in got if r.g == "a")
     assert [c for _, c, _ in a] == [3, 0, 0, 0, 1]
-    assert sum(d for _, _, d in a) * 2 == pytest.approx(1)
+    assert sum(d for _, _, d in a) * 2.5 == pytest.approx(1)
     assert [r["count"] for r in got if r.g == "b" and r.bin == 3] == [3]
 
 
@@ -28,10 +36,12 @@ def test_histogram_range_per_panel(spark):
     assert got == {("a", 1): 1, ("a", 2): 1, ("b", 1): 1, ("b", 2): 1}
 
 
-def test_histogram_of_one_value(spark):
+def test_histogram_of_one_value_and_of_one_bin(spark):
     got = distribution.histogram(points(spark, {"a": [3, 3]}), "v", ["g"], 4).orderBy("bin").collect()
     assert [r["count"] for r in got] == [2, 0, 0, 0]
-    assert got[0].density is None
+    assert (got[0].bin_low, got[0].bin_high) == (pytest.approx(2.95), pytest.approx(3.05))
+    one = distribution.histogram(points(spark, {"a": [3, 5]}), "v", ["g"], 1).collect()
+    assert [(r.bin_low, r.bin_high, r["count"], r.density) for r in one] == [(3.0, 5.0, 2, 0.5)]
 
 
 def nrd0(v):
@@ -72,15 +82,21 @@ def test_density_2d_against_the_kernel_sum(spark):
     assert max(r.ndensity for r in got) == 1.0
 
 
-def test_density_2d_flushes_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(distribution, "GROUPS_HELD", 2)
-    df = spark.range(300).select(
-        (F.col("id") % 10).alias("g"),
+def test_density_2d_holds_one_grid_per_group_and_salt(spark, monkeypatch):
+    monkeypatch.setattr(distribution, "SALTS", 3)
+    df = spark.range(20000).select(
+        (F.col("id") % 400).alias("n"),
         (F.col("id") * 7 % 31).cast("double").alias("x"),
-        (F.col("id") * 11 % 37).cast("double").alias("y"),
+        (F.col("id") * 11 % 37).cast("double").alias("h"),
     )
-    got = distribution.kde_2d(df, "x", "y", ["g"], points=4)
-    assert got.count() == 160
+    frames = [f[f.x.notna()] for f in [df.toPandas()]]
+    by_key = frames[0].sort_values("n").rename(columns={"x": "_x", "h": "_y"})
+    by_key = by_key.assign(_hx=1.0, _hy=1.0, _x_low=0.0, _x_high=31.0, _y_low=0.0, _y_high=37.0)
+    cut = [by_key.iloc[a : a + 3000] for a in range(0, len(by_key), 3000)]
+    emitted = list(distribution._grid_sums(["n"], 4)(iter(cut)))
+    assert len(emitted) == 400 and all(len(e) == 16 for e in emitted)
+    got = distribution.kde_2d(df, "x", "h", ["n"], points=4)
+    assert got.count() == 400 * 16
 
 
 def test_box(spark):
