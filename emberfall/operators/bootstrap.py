@@ -2,8 +2,8 @@
 
 Every replicate of a group draws from its own random stream, seeded by a hash of
 (seed, group, replicate, block), so a lost task draws the same again. Values are
-numbered within their group, replicates are spread over all tasks before their
-draws are expanded, and both meet in an equi-join on the number: a hot group is
+numbered within their group, blocks of replicates and of draws are spread over all tasks
+before they are expanded, and both meet in an equi-join on group and number: a hot group is
 spread like any other.
 """
 
@@ -29,10 +29,6 @@ HEX_DIGITS = 15
 MODULI = (2147483563, 2147483399)
 MULTIPLIERS = (40014, 40692)
 OUTPUTS = MODULI[0] - 1
-# A value's number is kept below this many bits within its group.
-SLOT_BITS = 36
-# Up to this many numbered values (16 bytes each) are joined by broadcast.
-BROADCAST_VALUES = 2_000_000
 
 
 def _blocks(count: Column, size: int) -> Column:
@@ -46,10 +42,6 @@ def _items(count: Column, block: Column, size: int) -> Column:
     return F.sequence(first, F.least(first + size - 1, count - 1))
 
 
-def _slot(group: Column, pick: Column) -> Column:
-    return F.shiftleft(group.cast("bigint"), SLOT_BITS) + pick
-
-
 def _jumps(draws: int) -> Column:
     """For each draw, the powers that take both generators to its two outputs."""
     steps, state = [], [1, 1]
@@ -77,35 +69,35 @@ def _output(jump: str) -> Column:
 
 
 def _draws(groups: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """One row per draw: group number, replicate, slot of the value drawn."""
+    """One row per draw: group number, replicate, number of the value drawn."""
     total = F.lit(replicates)
-    plan = groups.withColumn("block", F.explode(_blocks(total, REPLICATE_BLOCK)))
+    plan = groups.withColumn("_part", F.explode(_blocks(total, REPLICATE_BLOCK)))
+    plan = plan.withColumn("_block", F.explode(_blocks(F.col("_n"), BLOCK)))
     # A fixed number: adaptive coalescing would judge the few rows before they expand.
     tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = plan.repartition(tasks, "group", "block")
+    plan = plan.repartition(tasks, "_group", "_part", "_block")
     plan = plan.withColumn(
-        "replicate", F.explode(_items(total, F.col("block"), REPLICATE_BLOCK))
+        "_replicate", F.explode(_items(total, F.col("_part"), REPLICATE_BLOCK))
     )
-    plan = plan.withColumn("block", F.explode(_blocks(F.col("n"), BLOCK)))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *by, "replicate", "block"))
-    plan = plan.withColumn("digest", digest).select(
-        "group",
-        "n",
-        "replicate",
-        F.least(F.col("n") - F.col("block") * BLOCK, F.lit(BLOCK)).cast("int").alias("items"),
-        _seed(F.col("digest"), 1, MODULI[0]).alias("seed_1"),
-        _seed(F.col("digest"), 17, MODULI[1]).alias("seed_2"),
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *by, "_replicate", "_block"))
+    plan = plan.withColumn("_digest", digest).select(
+        "_group",
+        "_n",
+        "_replicate",
+        F.least(F.col("_n") - F.col("_block") * BLOCK, F.lit(BLOCK)).cast("int").alias("_items"),
+        _seed(F.col("_digest"), 1, MODULI[0]).alias("seed_1"),
+        _seed(F.col("_digest"), 17, MODULI[1]).alias("seed_2"),
     )
     drawn = plan.select(
-        "group",
-        "n",
-        "replicate",
+        "_group",
+        "_n",
+        "_replicate",
         "seed_1",
         "seed_2",
-        F.inline(F.slice(_jumps(BLOCK), F.lit(1), F.col("items"))),
+        F.inline(F.slice(_jumps(BLOCK), F.lit(1), F.col("_items"))),
     )
-    pick = (_output("a") * OUTPUTS + _output("b")) % F.col("n")
-    return drawn.select("group", "replicate", _slot(F.col("group"), pick).alias("slot"))
+    pick = (_output("a") * OUTPUTS + _output("b")) % F.col("_n")
+    return drawn.select("_group", "_replicate", pick.alias("_pick"))
 
 
 def bootstrap_ci(
@@ -125,36 +117,32 @@ def bootstrap_ci(
     if stat not in ("sum", "mean"):
         raise ValueError(f"stat must be 'sum' or 'mean', not {stat!r}")
     by = list(by)
-    usable = df.select(*by, F.when(is_finite(F.col(value)), F.col(value)).alias(value))
-    positions = value_positions(usable, value, by)
-    sizes = positions.groupBy(*by).agg(F.max("n_group").alias("n")).filter(F.col("n") >= min_n)
+    usable = df.select(*by, F.when(is_finite(F.col(value)), F.col(value)).alias("_value"))
+    positions = value_positions(usable, "_value", by)
+    sizes = positions.groupBy(*by).agg(F.max("n_group").alias("_n")).filter(F.col("_n") >= min_n)
     # One row per group, not per value.
     numbering = Window.partitionBy(F.lit(0)).orderBy(*by)
-    groups = materialise(sizes.withColumn("group", F.row_number().over(numbering)), "groups")
-    copies = positions.join(groups.select(*by, "group"), by)
-    copies = copies.withColumn("block", F.explode(_blocks(F.col("n_equal"), BLOCK)))
-    copies = copies.withColumn("copy", F.explode(_items(F.col("n_equal"), F.col("block"), BLOCK)))
-    slot = _slot(F.col("group"), F.col("n_less") + F.col("copy"))
-    values = materialise(copies.select(slot.alias("slot"), value), "values")
-
-    # The planner sizes the draws by the few rows they expand from and would broadcast
-    # them, so the side is chosen here: the values while they are few, else neither.
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    drawn = _draws(groups, by, replicates, seed)
-    if total <= BROADCAST_VALUES:
-        drawn = drawn.join(F.broadcast(values), "slot")
-    else:
-        drawn = drawn.hint("merge").join(values, "slot")
-    summary = F.sum(value) if stat == "sum" else F.avg(value)
-    resampled = drawn.groupBy("group", "replicate").agg(summary.cast("double").alias("stat"))
+    groups = materialise(sizes.withColumn("_group", F.row_number().over(numbering)), "groups")
+    copies = positions.join(groups.select(*by, "_group"), by)
+    copies = copies.withColumn("_block", F.explode(_blocks(F.col("n_equal"), BLOCK)))
+    copies = copies.withColumn("_copy", F.explode(_items(F.col("n_equal"), F.col("_block"), BLOCK)))
+    values = copies.select("_group", (F.col("n_less") + F.col("_copy")).alias("_pick"), "_value")
+    values = materialise(values, "values")
+
+    # Every number drawn exists, so left is inner; but of a left join only the values can be
+    # broadcast, and their size is known from their files. The draws look small to the
+    # planner, which sizes them by the few rows they expand from.
+    drawn = _draws(groups, by, replicates, seed).join(values, ["_group", "_pick"], "left")
+    summary = F.sum("_value") if stat == "sum" else F.avg("_value")
+    resampled = drawn.groupBy("_group", "_replicate").agg(summary.cast("double").alias("_stat"))
     tail = (1 - level) / 2
-    bounds = resampled.groupBy("group").agg(
-        F.percentile("stat", F.array(F.lit(tail), F.lit(1 - tail))).alias("bounds")
+    bounds = resampled.groupBy("_group").agg(
+        F.percentile("_stat", F.array(F.lit(tail), F.lit(1 - tail))).alias("_bounds")
     )
-    intervals = groups.join(bounds, "group").select(
+    intervals = groups.join(bounds, "_group").select(
         *by,
-        F.col("bounds")[0].alias("ci_lower"),
-        F.col("bounds")[1].alias("ci_upper"),
+        F.col("_bounds")[0].alias("ci_lower"),
+        F.col("_bounds")[1].alias("ci_upper"),
     )
     return df.select(*by).distinct().join(intervals, by, "left")
 

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from emberfall.operators import bootstrap, coincidence, distribution, joint, rows, severity, thresholds
@@ -61,14 +63,26 @@ def test_no_cross_joins(spark, flagged):
         assert "BroadcastNestedLoopJoin" not in plan(frame)
 
 
-def test_draws_are_never_the_broadcast_side(spark, monkeypatch):
+def test_draws_are_never_the_broadcast_side(spark):
     df = spark.range(200).selectExpr("id % 3 AS g", "id * id % 17 AS v")
     small = bootstrap.bootstrap_ci(df, "v", ["g"], "sum", 40)
-    assert re.search(r"BroadcastHashJoin \[slot#\d+L\], \[slot#\d+L\], Inner, BuildRight", plan(small))
-    monkeypatch.setattr(bootstrap, "BROADCAST_VALUES", 0)
-    large = bootstrap.bootstrap_ci(df, "v", ["g"], "sum", 40)
-    assert re.search(r"SortMergeJoin \[slot#\d+L\], \[slot#\d+L\]", plan(large))
-    assert sorted(small.collect()) == sorted(large.collect())
+    keys = r"\[_group#\d+, _pick#\d+L\], \[_group#\d+, _pick#\d+L\]"
+    assert re.search(rf"BroadcastHashJoin {keys}, LeftOuter, BuildRight", plan(small))
+    rows = sorted(small.collect())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = bootstrap.bootstrap_ci(df, "v", ["g"], "sum", 40)
+        assert re.search(rf"SortMergeJoin {keys}, LeftOuter", plan(large))
+        assert sorted(large.collect()) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_draws_of_one_group_use_all_tasks(spark):
+    groups = spark.createDataFrame([("a", 50_000, 1)], "g string, _n long, _group int")
+    used = bootstrap._draws(groups, ["g"], 200, 1).select(F.spark_partition_id().alias("p")).distinct()
+    assert used.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_rows_of_hot_values_are_scattered(spark):
