@@ -4,55 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from emberfall.functions.measures import is_finite
 
 # Fixed values of the raw daily file: 0-based positions of the four used columns.
 FILE_COLUMNS = {"date_raw": 0, "ID": 1, "TA": 11, "RN": 38}
 FILE_WIDTH = 39
 FILE_PATTERN = "asos*"
 HEADER_MARK = "#"
+# A comma with blanks around it, or a run of blanks.
+SEPARATOR = r"\s*,\s*|\s+"
 
 # Fixed sentinel values: no rain is written -9, a missing temperature -99.
 NO_RAIN = -9.0
 MISSING_TEMPERATURE = -99.0
 
 
-def _file_schema() -> T.StructType:
-    return T.StructType(
-        [T.StructField(f"c{i}", T.StringType()) for i in range(FILE_WIDTH)]
-    )
-
-
 def read_raw_observations(
-    spark: SparkSession, path: str, sep: str = ",", pattern: str = FILE_PATTERN
+    spark: SparkSession, path: str, sep: str = SEPARATOR, pattern: str = FILE_PATTERN
 ) -> DataFrame:
     """All station files under ``path`` as one scan of four text columns.
 
-    Header lines start with ``#``. Short lines are padded with NULL. Files stay
-    splittable: no row is chosen by its position in the file.
+    ``sep`` is a pattern: the default takes commas and runs of blanks alike, so files with
+    either layout, or with columns aligned by blanks, give the same rows. Header lines
+    start with ``#``. Short lines are padded with NULL. Files stay splittable: no row is
+    chosen by its position in the file.
     """
-    raw = spark.read.csv(
-        path,
-        schema=_file_schema(),
-        sep=sep,
-        comment=HEADER_MARK,
-        pathGlobFilter=pattern,
-        mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
+    lines = spark.read.text(path, pathGlobFilter=pattern).select(F.trim("value").alias("line"))
+    cells = F.split("line", sep, FILE_WIDTH + 1)
+    return lines.filter(~F.startswith("line", F.lit(HEADER_MARK)) & (F.col("line") != "")).select(
+        *[F.nullif(F.trim(F.get(cells, F.lit(i))), F.lit("")).alias(name) for name, i in FILE_COLUMNS.items()]
     )
-    return raw.select(*[F.col(f"c{i}").alias(name) for name, i in FILE_COLUMNS.items()])
+
+
+def finite_number(text: Column) -> Column:
+    """Text as a number; NULL for text that is no number, ``NaN`` and infinities."""
+    number = text.try_cast("double")
+    return F.when(is_finite(number), number)
 
 
 def rain_depth(rn: Column) -> Column:
-    """Rain as a number; text that is no number is NULL, the sentinel is 0."""
-    number = rn.try_cast("double")
+    """Rain as a finite number or NULL; the sentinel is 0."""
+    number = finite_number(rn)
     return F.when(number == NO_RAIN, F.lit(0.0)).otherwise(number)
 
 
 def max_temperature(ta: Column) -> Column:
-    """Temperature as a number; text that is no number and the sentinel are NULL."""
-    return F.nullif(ta.try_cast("double"), F.lit(MISSING_TEMPERATURE))
+    """Temperature as a finite number; anything else and the sentinel are NULL."""
+    return F.nullif(finite_number(ta), F.lit(MISSING_TEMPERATURE))
 
 
 def clean_observations(raw: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def read_observations(
     path: str,
     start: str | None = None,
     end: str | None = None,
-    sep: str = ",",
+    sep: str = SEPARATOR,
     pattern: str = FILE_PATTERN,
 ) -> DataFrame:
     """Cleaned observations (ID, date, TA, RN), optionally bounded by date."""

@@ -5,10 +5,23 @@ from emberfall.sources.stations import read_stations, with_coordinates
 from emberfall.sources.tables import load_table, save_table
 
 
-def line(date, station, ta, rn):
+def line(date, station, ta, rn, between=","):
     cells = ["0"] * FILE_WIDTH
     cells[0], cells[1], cells[11], cells[38] = date, station, ta, rn
-    return ",".join(cells)
+    return between.join(cells)
+
+
+def test_commas_and_blanks_give_the_same_rows(spark, tmp_path):
+    days = [("20000101", "90", "12.5", "-9.0"), ("20000102", "90", "NaN", "Infinity"), ("20000103", "90", "-Infinity", "nan"), ("20000104", "90", "-99.0", "2")]
+    found = []
+    for i, between in enumerate([",", "   ", " , ", "\t"]):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        text = "\n".join(["# head", *[" " * i + line(*d, between) for d in days], "", "#7777END"])
+        (folder / "asos_1.csv").write_text(text)
+        found.append(sorted((r.date.day, r.ID, r.TA, r.RN) for r in read_observations(spark, str(folder)).collect()))
+    assert found[0] == [(1, 90, 12.5, 0.0), (2, 90, None, None), (3, 90, None, None), (4, 90, None, 2.0)]
+    assert all(f == found[0] for f in found)
 
 
 def test_station_files(spark, tmp_path):
