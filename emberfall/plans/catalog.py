@@ -46,6 +46,7 @@ COUNT_BREAKS, COUNT_LIMITS = (0, 1, 2, 3, 4, 5, 6), (0, 6)
 ANNUAL_BREAKS, ANNUAL_LIMITS = (0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0), (0, 2.5)
 ANOMALY_BREAKS, ANOMALY_LIMITS = (-4, -2, 0, 2, 4, 7), (-4, 6)
 SEVERITY_BREAKS, SEVERITY_LIMITS = (0, 40, 60, 80, 90, 100), (0, 100)
+NARROW_BREAKS, NARROW_LIMITS = (40, 50, 60, 70, 80, 90, 100), (40, 100)
 MEAN_SEVERITY_BREAKS = (0, 20, 40, 60, 80, 90, 100)
 SHIFT_BREAKS, SHIFT_LIMITS = (-15, -10, -5, 0, 5, 10, 15), (-15, 15)
 
@@ -152,28 +153,32 @@ def station_days(spark, sf):
     return trade_view.station_days(spark, sf)
 
 
-def _raw_lines(days: DataFrame) -> DataFrame:
+def _raw_lines(days: DataFrame, between: str = ",") -> DataFrame:
     """Station days as lines of the raw daily file, with its sentinels and gaps."""
     day = F.dayofmonth("date")
     heat = (
         F.when(day == 29, F.lit("-99.0"))
         .when(day == 30, F.lit("n/a"))
+        .when(day == 27, F.lit("NaN"))
         .otherwise(F.col("TA").cast("string"))
     )
-    rain = F.when(F.col("RN") == 0, F.lit("-9.0")).otherwise(F.col("RN").cast("string"))
+    rain = (
+        F.when(day == 26, F.lit("Infinity"))
+        .when(F.col("RN") == 0, F.lit("-9.0"))
+        .otherwise(F.col("RN").cast("string"))
+    )
     cells = [F.lit("0")] * FILE_WIDTH
     cells[FILE_COLUMNS["date_raw"]] = F.date_format("date", "yyyyMMdd")
     cells[FILE_COLUMNS["ID"]] = F.col("ID").cast("string")
     cells[FILE_COLUMNS["TA"]] = heat
     cells[FILE_COLUMNS["RN"]] = rain
-    short = F.concat_ws(",", *cells[: FILE_COLUMNS["TA"] + 1])
-    full = F.concat_ws(",", *cells)
+    short = F.concat_ws(between, *cells[: FILE_COLUMNS["TA"] + 1])
+    full = F.concat_ws(between, *cells)
     return days.select(F.when(day == 28, short).otherwise(full).alias("value"))
 
 
-@query("station_file_scan")
-def station_file_scan(spark, sf):
-    lines = _raw_lines(trade_view.station_days(spark, sf))
+def _file_scan(spark: SparkSession, sf: str, between: str) -> DataFrame:
+    lines = _raw_lines(trade_view.station_days(spark, sf), between)
     frame = spark.sql(
         "SELECT explode(array('# START', '#  TM, STN', '#7777END', 'end of file')) AS value"
     )
@@ -184,6 +189,16 @@ def station_file_scan(spark, sf):
     )
 
 
+@query("station_file_scan")
+def station_file_scan(spark, sf):
+    return _file_scan(spark, sf, ",")
+
+
+@query("station_file_scan_blanks")
+def station_file_scan_blanks(spark, sf):
+    return _file_scan(spark, sf, "   ")
+
+
 @query("station_list")
 def station_list(spark, sf):
     path = scratch_path(spark, "stations")
@@ -201,6 +216,13 @@ def saved_counts(spark, sf):
     return load_table(spark, path)
 
 
+@query("saved_climate_fact")
+def saved_climate_fact(spark, sf):
+    path = scratch_path(spark, "fact")
+    save_table(climate_fact(spark, sf), path, ["year"])
+    return load_table(spark, path)
+
+
 # Windows and thresholds
 
 
@@ -453,6 +475,16 @@ def severity_profile(spark, sf):
     )
 
 
+@query("severity_profile_narrow")
+def severity_profile_narrow(spark, sf):
+    profile = severity.severity_profile(_events(spark, sf), STATION_SEASON)
+    return profile.select(
+        *STATION_SEASON,
+        "mean_intensity",
+        class_breaks(F.col("mean_intensity"), NARROW_BREAKS, NARROW_LIMITS).alias("class"),
+    )
+
+
 @query("severity_station_median")
 def severity_station_median(spark, sf):
     return severity.severity_medians(_events(spark, sf), ["ID", "Long", "Lat"])
@@ -483,7 +515,10 @@ def severity_base_all_years(spark, sf):
 @query("severity_recent")
 def severity_recent(spark, sf):
     since = F.col("year_season") > TRADE.base[1]
-    return severity.mean_intensity(_events(spark, sf), STATION_SEASON, since, "recent_mean")
+    found = severity.mean_intensity(_events(spark, sf), STATION_SEASON, since, "recent_mean")
+    return found.withColumn(
+        "class", class_breaks(F.col("recent_mean"), SEVERITY_BREAKS, SEVERITY_LIMITS)
+    )
 
 
 @query("severity_anomaly_calendar_year")
@@ -500,9 +535,12 @@ def severity_anomaly_calendar_year(spark, sf):
 @query("severity_anomaly_season_year")
 def severity_anomaly_season_year(spark, sf):
     since = F.col("year_season") > TRADE.base[1]
-    return severity.severity_anomaly(
+    found = severity.severity_anomaly(
         _events(spark, sf), STATION_SEASON, since, F.col("intensity") > 0
     )
+    return found.withColumn(
+        "class", class_breaks(F.col("anomaly"), SHIFT_BREAKS, SHIFT_LIMITS)
+    )
 
 
 @query("severity_series_median")
@@ -543,7 +581,8 @@ def frequency_severity_map(spark, sf):
     counts = frequency.count_means(seasons, ["ID", "season"])
     medians = severity.station_season_medians(_events_of(days, spark, sf))
     joined = severity.mean_of_medians(medians).join(counts, ["ID", "season"], "left")
-    return _located(joined, spark, sf)
+    classed = joined.withColumn("class", class_breaks(F.col("cdh_ave"), COUNT_BREAKS, COUNT_LIMITS))
+    return _located(classed, spark, sf)
 
 
 # Trend and inference
@@ -580,6 +619,24 @@ def count_mann_kendall(spark, sf):
     return trend.mann_kendall(_totals(spark, sf), "total_cphw", "year_season", ["season"])
 
 
+def _excess(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals above the lowest of the seasons' highest totals: flat for that season."""
+    totals = materialise(_totals(spark, sf), "totals")
+    peaks = totals.groupBy("season").agg(F.max("total_cphw").alias("peak"))
+    limit = peaks.select(F.min("peak")).scalar()
+    return totals.withColumn("excess", F.greatest(F.col("total_cphw") - limit, F.lit(0)))
+
+
+@query("count_excess_trend")
+def count_excess_trend(spark, sf):
+    return trend.linear_trend(_excess(spark, sf), "excess", "year_season", ["season"])
+
+
+@query("count_excess_mann_kendall")
+def count_excess_mann_kendall(spark, sf):
+    return trend.mann_kendall(_excess(spark, sf), "excess", "year_season", ["season"])
+
+
 @query("severity_mann_kendall_median")
 def severity_mann_kendall_median(spark, sf):
     series = materialise(severity.severity_series_median(_events(spark, sf)), "series")

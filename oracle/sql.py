@@ -242,6 +242,12 @@ part(
 # Series under test: season, year_season, v.
 part("count_series", "totals", "SELECT season, year_season, CAST(total_cphw AS DOUBLE) AS v FROM totals")
 part("count_series_cut", "count_series", "SELECT * FROM count_series WHERE year_season <> 2001")
+part(
+    "excess_series",
+    "count_series",
+    """SELECT season, year_season, GREATEST(v - (SELECT MIN(peak) FROM
+ (SELECT MAX(v) AS peak FROM count_series GROUP BY season)), 0) AS v FROM count_series""",
+)
 part("median_series", "smedian", "SELECT season, year_season, v FROM smedian")
 part("mean_series", "smean", "SELECT season, year_season, v FROM smean")
 
@@ -301,7 +307,9 @@ def linear_sql(series: str) -> str:
     p = "1 - " + CENTRAL.format(t="(ABS(slope) / (s / SQRT(sxx)))", n="df")
     return chain(
         fit,
-        f"""SELECT season, {r9("slope", "intercept")}, ROUND({p}, 9) AS p_value, {r9("r2")} FROM {fit}""",
+        f"""SELECT season, {r9("slope", "intercept")},
+ CASE WHEN sxx > 0 AND syy > 0 AND df >= 1 THEN ROUND({p}, 9) END AS p_value,
+ CASE WHEN sxx > 0 AND syy > 0 THEN ROUND(r2, 9) END AS r2 FROM {fit}""",
     )
 
 
@@ -351,24 +359,25 @@ def kendall_sql(series: str) -> str:
         f"mk_{series}",
         f"pair_{series} tie_{series}",
         f"""SELECT t.season, n, S, (n * (n - 1) * (2 * n + 5) - tv) / 18.0 AS varS,
- S / SQRT(n * (n - 1) / 2.0 * (n * (n - 1) / 2.0 - tp)) AS tau FROM tie_{series} t
+ CASE WHEN n * (n - 1) / 2.0 > tp THEN S / SQRT(n * (n - 1) / 2.0 * (n * (n - 1) / 2.0 - tp)) END AS tau
+ FROM tie_{series} t
  JOIN pair_{series} p ON t.season = p.season""",
     )
     part(
         f"mkz_{series}",
         f"mk_{series}",
-        f"SELECT *, (S - SIGN(S)) / SQRT(varS) AS z FROM mk_{series}",
+        f"SELECT *, CASE WHEN varS > 0 THEN (S - SIGN(S)) / SQRT(varS) END AS z FROM mk_{series}",
     )
     part(
         f"mkp_{series}",
         f"mkz_{series}",
-        f"SELECT *, LEAST(1, 2 * (1 - {PHI.format(z='ABS(z)')})) AS p_value FROM mkz_{series}",
+        f"SELECT *, CASE WHEN z IS NOT NULL THEN 2 * (1 - {PHI.format(z='ABS(z)')}) END AS p_value FROM mkz_{series}",
     )
     return chain(
         f"mkp_{series}",
         f"""SELECT season, CAST(n AS BIGINT) AS n, CAST(S AS BIGINT) AS S, {r9("varS", "z", "tau", "p_value")},
- CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END
- AS significance FROM mkp_{series}""",
+ CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*'
+ WHEN p_value IS NOT NULL THEN 'ns' END AS significance FROM mkp_{series}""",
     )
 
 
@@ -432,24 +441,31 @@ def bootstrap_parts(name: str, source: str, value: str, summary: str, min_n: int
 
 
 def histogram_sql(source: str, value: str, bins: int, by_season: bool) -> str:
+    """Edges half a width below the lowest value and on; a bin holds what is above its left
+    edge and not above its right one, the first also what lies on its left edge."""
     key = "season" if by_season else "1"
+    tag = f"{source}_{value}"
     part(
-        f"hx_{source}_{value}",
+        f"hx_{tag}",
         source,
         f"""SELECT season, Period, {value} AS v, MIN({value}) OVER (PARTITION BY {key}) AS lo,
  MAX({value}) OVER (PARTITION BY {key}) AS hi, COUNT(*) OVER (PARTITION BY season, Period) AS n
  FROM {source} WHERE {value} IS NOT NULL""",
+    )
+    part(
+        f"he_{tag}",
+        f"hx_{tag}",
+        f"""SELECT *, lo - w / 2 + (bin - 1) * w AS bin_left, lo - w / 2 + bin * w AS bin_right FROM
+ (SELECT DISTINCT season, Period, lo, n, CASE WHEN hi > lo THEN (hi - lo) / {bins - 1} ELSE 0.1 END AS w,
+ UNNEST(RANGE(1, {bins + 1})) AS bin FROM hx_{tag})""",
     )
     return chain(
-        f"hx_{source}_{value}",
-        f"""SELECT g.season, g.Period, CAST(g.bin AS INT) AS bin,
- ROUND(g.lo + (g.bin - 1) * (g.hi - g.lo) / {bins}, 9) AS bin_low,
- ROUND(g.lo + g.bin * (g.hi - g.lo) / {bins}, 9) AS bin_high, COUNT(h.v) AS count,
- ROUND(CASE WHEN g.hi > g.lo THEN COUNT(h.v) / (g.n * ((g.hi - g.lo) / {bins})) END, 9) AS density
- FROM (SELECT DISTINCT season, Period, lo, hi, n, UNNEST(RANGE(1, {bins + 1})) AS bin FROM hx_{source}_{value}) g
- LEFT JOIN hx_{source}_{value} h ON g.season = h.season AND g.Period = h.Period
- AND g.bin = LEAST(CASE WHEN h.hi > h.lo THEN FLOOR((h.v - h.lo) / ((h.hi - h.lo) / {bins})) + 1 ELSE 1 END, {bins})
- GROUP BY g.season, g.Period, g.bin, g.lo, g.hi, g.n""",
+        f"hx_{tag} he_{tag}",
+        f"""SELECT e.season, e.Period, CAST(e.bin AS INT) AS bin, ROUND(bin_left, 9) AS bin_low,
+ ROUND(bin_right, 9) AS bin_high, COUNT(h.v) AS count, ROUND(COUNT(h.v) / (e.n * w), 9) AS density
+ FROM he_{tag} e LEFT JOIN hx_{tag} h ON e.season = h.season AND e.Period = h.Period
+ AND (h.v > bin_left + 1e-8 * w OR e.bin = 1) AND h.v <= bin_right + 1e-8 * w
+ GROUP BY e.season, e.Period, e.bin, bin_left, bin_right, e.n, w""",
     )
 
 
@@ -625,10 +641,11 @@ def build() -> dict[str, str]:
     out["station_days"] = chain("obs", f"SELECT ID, date, {r9('TA')}, RN FROM obs")
     out["station_file_scan"] = chain(
         "obs",
-        f"""SELECT ID, date, CASE WHEN DAY(date) IN (29, 30) THEN NULL ELSE ROUND(TA, 9) END AS TA,
- CASE WHEN DAY(date) = 28 THEN NULL ELSE RN END AS RN FROM obs
+        f"""SELECT ID, date, CASE WHEN DAY(date) IN (27, 29, 30) THEN NULL ELSE ROUND(TA, 9) END AS TA,
+ CASE WHEN DAY(date) IN (26, 28) THEN NULL ELSE RN END AS RN FROM obs
  WHERE date BETWEEN DATE '1995-06-01' AND DATE '2001-05-31'""",
     )
+    out["station_file_scan_blanks"] = out["station_file_scan"]
     out["station_list"] = chain("stn", "SELECT ID AS STN_ID, Long, Lat FROM stn")
     out["saved_counts"] = chain(
         "months stn",
@@ -660,6 +677,7 @@ def build() -> dict[str, str]:
  ROUND(CASE WHEN events > 0 THEN coincidences / events END, 9) AS ecr, Long, Lat
  FROM fact f LEFT JOIN rate r ON f.ID = r.ID AND f.yr = r.yr LEFT JOIN stn s ON f.ID = s.ID""",
     )
+    out["saved_climate_fact"] = out["climate_fact"]
     out["forward_max_percentile"] = chain("ahead", f"SELECT ID, date, {r9('Pmax_7day')} FROM ahead")
     ranks = "ROUND(pt, 9) AS Tmax_percentile, ROUND(pr, 9) AS P_percentile"
     out["station_percent_ranks"] = chain("ranked", f"SELECT ID, date, {ranks} FROM ranked")
@@ -799,6 +817,11 @@ def build() -> dict[str, str]:
         "prof",
         f"""SELECT ID, Long, Lat, season, {r9('mean_intensity', 'max_intensity', 'sum_intensity')}, freq,
  {classes('mean_intensity', (0, 20, 40, 60, 80, 90, 100), (0, 100))} AS class FROM prof""",
+    )
+    out["severity_profile_narrow"] = chain(
+        "prof",
+        f"""SELECT ID, Long, Lat, season, ROUND(mean_intensity, 9) AS mean_intensity,
+ {classes('mean_intensity', (40, 50, 60, 70, 80, 90, 100), (40, 100))} AS class FROM prof""",
     )
     out["severity_station_median"] = chain(
         "ev",
@@ -819,7 +842,9 @@ def build() -> dict[str, str]:
  ({mean_by_station_season('base_mean', 'intensity > 0')})""",
     )
     out["severity_recent"] = chain(
-        "ev", mean_by_station_season("recent_mean", "year_season >= 2000")
+        "ev",
+        f"""SELECT *, {classes('recent_mean', (0, 40, 60, 80, 90, 100), (0, 100))} AS class FROM
+ ({mean_by_station_season('recent_mean', 'year_season >= 2000')})""",
     )
 
     def shift(recent: str, base: str, extra: str = "") -> str:
@@ -839,7 +864,16 @@ def build() -> dict[str, str]:
             + " AS class",
         ),
     )
-    out["severity_anomaly_season_year"] = chain("ev", shift("year_season >= 2000", "intensity > 0"))
+    out["severity_anomaly_season_year"] = chain(
+        "ev",
+        shift(
+            "year_season >= 2000",
+            "intensity > 0",
+            ", "
+            + classes("(recent_mean - base_mean)", (-15, -10, -5, 0, 5, 10, 15), (-15, 15))
+            + " AS class",
+        ),
+    )
     out["severity_series_median"] = chain(
         "smedian", f"SELECT {YS}, season, ROUND(v, 9) AS mean_intensity FROM smedian"
     )
@@ -856,10 +890,13 @@ def build() -> dict[str, str]:
     )
     out["frequency_severity_map"] = chain(
         "mom allmean stn",
-        f"""SELECT m.ID, m.season, {r9('intensity_ave', 'cdh_ave')}, Long, Lat FROM mom m
+        f"""SELECT m.ID, m.season, {r9('intensity_ave', 'cdh_ave')}, Long, Lat,
+ {classes("cdh_ave", COUNTS, (0, 6))} AS class FROM mom m
  LEFT JOIN allmean a ON m.ID = a.ID AND m.season = a.season LEFT JOIN stn s ON m.ID = s.ID""",
     )
     out["count_trend"] = linear_sql("count_series_cut")
+    out["count_excess_trend"] = linear_sql("excess_series")
+    out["count_excess_mann_kendall"] = kendall_sql("excess_series")
     out["severity_trend"] = linear_sql("mean_series")
     out["count_trend_line"] = line_sql("count_series_cut")
     out["severity_trend_line"] = line_sql("median_series")
