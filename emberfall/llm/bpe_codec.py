@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberfall.llm.words import bound_batches
+
 MAX_VOCABULARY_BYTES = 64 << 20
-CACHED_WORDS = 250_000
+CACHED_WORDS = 200_000
 TEXT_AT_ONCE = 500_000
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -54,7 +56,10 @@ class Codec:
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.ids), default=1)
+        #: the longest token by its first three bytes
+        self.longest: dict[bytes, int] = {}
+        for token in self.ids:
+            self.longest[token[:3]] = max(len(token), self.longest.get(token[:3], 0))
         self.size = max(self.bytes_of, default=0) + 1
         self.byte_ids = [self.ids.get(bytes([b])) for b in range(256)]
         #: rank and result of each merge, by the pair of ids
@@ -63,8 +68,11 @@ class Codec:
             for (a, b), rank in self.merges.items()
         }
         self.pair_fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        #: ids of each word, comma-joined
+        self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: what the ids of a word decode to, where that is not the word
+        self.odd: dict[str, str] = {}
         self.cut = regex.compile(WORD_PATTERN).findall
         named = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, named)) + ")") if named else None
@@ -110,10 +118,12 @@ class Codec:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy cut into the longest tokens."""
-        found, at, n = [], 0, len(word)
+        found, at, n, ids = [], 0, len(word), self.ids
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                if (token := self.ids.get(word[at:end])) is not None:
+            start = word[at : at + 3]
+            # Without a token of three bytes or more, two bytes and one are left.
+            for end in range(min(n, at + self.longest.get(start, 2)), at, -1):
+                if (token := ids.get(word[at:end])) is not None:
                     break
             found.append(token)
             at = end
@@ -143,7 +153,9 @@ class Codec:
         for i, (word, cut) in enumerate(zip(words, cuts)):
             if i in failing or (alone[i] and len(raw[i]) > 1 and not self._own(cut[0])):
                 cut = self.merged(raw[i])
-            self.words[word] = (",".join(map(str, cut)), len(cut), self.decode(cut))
+            self.words[word] = ",".join(map(str, cut))
+            if (back := self.decode(cut)) != raw[i]:
+                self.odd[word] = back.decode("utf-8", "replace")
 
     def _own(self, token: int) -> bool:
         """Whether merging a token's own bytes gives the token."""
@@ -175,7 +187,7 @@ class Codec:
             self.words[w] = self.older[w]
             fresh.discard(w)
         for mark in fresh & self.special.keys():
-            self.words[mark] = (str(self.special[mark]), 1, mark.encode())
+            self.words[mark] = str(self.special[mark])
             fresh.discard(mark)
         if fresh:
             self.learn(sorted(fresh))
@@ -190,14 +202,11 @@ class Codec:
                 end += 1
             cut = [self.pieces(text) for text in texts[at:end]]
             self._know(cut)
-            at, words = end, self.words
+            at, words, odd = end, self.words, self.odd
             for pieces in cut:
-                found = [words[w] for w in pieces]
-                yield (
-                    ",".join([f[0] for f in found]),
-                    sum([f[1] for f in found]),
-                    b"".join([f[2] for f in found]).decode("utf-8", "replace"),
-                )
+                ids = ",".join([words[w] for w in pieces])
+                back = "".join([odd.get(w, w) for w in pieces] if odd else pieces)
+                yield ids, ids.count(",") + 1 if ids else 0, back
 
 
 _CODECS: dict[int, Codec] = {}
@@ -236,6 +245,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     column stays as it is; a column named as ``into`` is replaced. Rows are independent,
     so repeated rows and ids need nothing special, and an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     @F.pandas_udf(CODED)

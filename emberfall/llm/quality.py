@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberfall.llm.words import bound_batches
+
 SAMPLE_ROWS = 4000
 FEATURE_BITS = 18
 N_GRAM = 4
@@ -31,7 +33,7 @@ COST = 1.0
 SMOOTHING = 1.0
 DRAWN = 0.25
 STEEPNESS = 4.0
-CACHED_SHAPES = 500_000
+CACHED_SHAPES = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(.)\1*", re.S)
 
@@ -175,6 +177,7 @@ def fit_quality(
     of several labels of an id the smallest counts. Without labels of both classes all
     texts score alike: the share of ones, or one half without any label.
     """
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     order = F.xxhash64("label_id", F.lit(7))
     picked = (
@@ -207,6 +210,7 @@ def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text", in
     and ids need nothing special; an empty table stays empty; other columns stay, and a
     column named as ``into`` is replaced.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberfall.llm import blobs
+from emberfall.llm.words import bound_batches
 from emberfall.workspace import materialise
 
 WINDOW = 50
@@ -211,20 +212,24 @@ def unpack_texts(cells: list[bytes]) -> tuple[np.ndarray, ...]:
     return ids, keys, void, copies, texts
 
 
-def ask_grams(batch: pa.RecordBatch, slices: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Kind 0: grams of a bucket that one id of the texts has, and how often the others
-    occur. Kind 1: places of grams that several ids of the texts have, by slice."""
-    ids, _, texts = rows_of(batch)
-    out, at, size = [], 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= SLICE_BYTES or i == len(texts) - 1:
-            out += _ask_grams(ids[at : i + 1], texts[at : i + 1], slices, buckets)
-            at, size = i + 1, 0
-    return out
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold a slice's bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
-def _ask_grams(ids: np.ndarray, texts: list[bytes], slices: int, buckets: int) -> list[tuple[int, int, bytes]]:
+def ask_grams(batch: pa.RecordBatch, slices: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Kind 0: grams of a bucket that one id of the batch has, and how often the others
+    occur. Kind 1: places of grams that several ids of the batch have, by slice."""
+    ids, _, texts = rows_of(batch)
     by_id = np.argsort(ids, kind="stable")
     ids, texts = ids[by_id], [texts[i] for i in by_id]
     found = [(t, h, f) for t, h, f, *_ in anchors(texts)]
@@ -542,6 +547,7 @@ def remove_repeats(
     larger than any other. Repeated rows keep a row each. An empty table gives no rows.
     Other columns are not carried. The ids must be whole numbers.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("key"),
@@ -553,11 +559,11 @@ def remove_repeats(
     schema = "kind int, part long, cell binary"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             yield from routed(pack_texts(batch, slices)).to_batches()
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             yield from routed(ask_grams(batch, slices, buckets)).to_batches()
 
     def answered(cells: pa.Table) -> pa.Table:

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from emberfall.llm import blobs
 from emberfall.llm.components import components
-from emberfall.llm.words import KEYS, row_key
+from emberfall.llm.words import KEYS, bound_batches, row_key
 from emberfall.workspace import materialise
 
 SEED = 42
 FAN_OUT = 8
-NODES_AT_ONCE = 1 << 14
+NODES_AT_ONCE = 1 << 13
 CODES_IN_GROUP = 128_000
 FEWEST_GROUPS, MOST_GROUPS = 8, 1024
 # Odd factors that turn one shingle hash into further independent ones.
@@ -303,6 +303,7 @@ def near_duplicates(
     The default links documents whose fingerprints of five-word shingles agree in four
     bits of five or more, a similarity of 0.8.
     """
+    bound_batches(docs.sparkSession)
     lanes = bits // 64
 
     @F.pandas_udf("string")
