@@ -70,8 +70,8 @@ NAMES = [
     ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
     ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
     ("cc-by", "creative", "creative commons attribution(?: [1-4] [05])?"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
+    ("cc-by-sa", "creative", "creative commons attribution share(?: )?alike(?: [1-4] [05])?"),
+    ("cc-by-nc", "creative", "creative commons attribution non(?: )?commercial(?: [1-4] [05])?"),
     ("cc0", "cc0", "cc0(?: 1 0)?"),
     ("cc0", "creative", "creative commons zero(?: 1 0)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),

@@ -147,7 +147,67 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-@query("op3_license_scans")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _wide(pattern: str) -> str:
+    """A pattern over words that each have their own space on either side."""
+    return " " + pattern.replace(" ", "  ") + " "
+
+
+_RULES_SQL = ", ".join(
+    f"({r.priority}, {i}, {_quoted(r.label)}, {_quoted(r.keyword)}, {_quoted(_wide(r.pattern))}, {r.score}::DOUBLE)"
+    for i, r in enumerate(license_scan.signature_rules())
+)
+_PHRASES_SQL = ", ".join(f"({_quoted(_wide(p))}, {_quoted(x)})" for p, x in license_scan.BASE_PHRASES.items())
+
+
+def _n_words(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, ' ', ''))) // 2"
+
+
+_STARTS = f"""list_transform(ms, lambda m, i:
+  CAST(list_sum(list_transform(ps[1:i], lambda y: {_n_words("y")})) AS BIGINT)
+  + CAST(coalesce(list_sum(list_transform(ms[1:i - 1], lambda y: {_n_words("y")})), 0) AS BIGINT))"""
+LICENSE_SQL = f"""
+WITH rules(priority, number, label, keyword, pattern, score) AS (VALUES {_RULES_SQL}),
+phrases(pattern, label) AS (VALUES {_PHRASES_SQL}),
+d AS (
+  SELECT n, doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, '  ') || ' ' ELSE '' END AS x
+  FROM (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents)),
+tried AS (
+  SELECT n, priority, number, label, score, regexp_extract_all(x, pattern) AS ms, string_split_regex(x, pattern) AS ps
+  FROM d JOIN rules ON list_contains(w, keyword)),
+found AS (
+  SELECT DISTINCT n, priority, number, label, score, start, start + {_n_words("m")} AS stop FROM (
+    SELECT n, priority, number, label, score, unnest(ms) AS m, unnest({_STARTS}) AS start
+    FROM tried WHERE len(ms) > 0)),
+reached AS (
+  SELECT *, max(stop) OVER (PARTITION BY n ORDER BY start, stop DESC, priority, number
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM found),
+near AS (
+  SELECT *, lag(stop) OVER o AS left_stop, lag(priority) OVER o AS left_priority,
+         lead(start) OVER o AS right_start, lead(priority) OVER o AS right_priority
+  FROM reached WHERE reach IS NULL OR stop > reach WINDOW o AS (PARTITION BY n ORDER BY start)),
+kept AS (
+  SELECT n, list(DISTINCT label) AS labels, max(score) AS score FROM near
+  WHERE NOT (coalesce(left_stop > start AND left_priority <= priority, false)
+             OR coalesce(right_start < stop AND right_priority < priority, false)) GROUP BY n),
+base AS (
+  SELECT n, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM (
+    SELECT n, label, unnest({_STARTS}) AS start FROM (
+      SELECT n, label, regexp_extract_all(x, pattern) AS ms, string_split_regex(x, pattern) AS ps
+      FROM d, phrases WHERE regexp_matches(x, pattern))) GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, k.labels))), ','), '') AS labels,
+       greatest(coalesce(k.score, 0.0), CASE WHEN n_base > 0 THEN {license_scan.BASE_SCORE} ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN kept k USING (n) LEFT JOIN base b USING (n)
+"""
+
+
+@query("op3_license_scans", LICENSE_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and signatures in every text."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
