@@ -37,6 +37,8 @@ def gram_hashes(hashes: Column, n: Column, size: int, tag: int | None = None) ->
 
 def smallest(values: Column, n: Column, span: int) -> Column:
     """The smallest of every ``span`` consecutive values; needs n >= span."""
+    if span == 1:
+        return values
     return F.transform(
         F.slice(values, F.lit(1), n - (span - 1)),
         lambda x, i: F.least(x, *[F.get(values, i + j) for j in range(1, span)]),
@@ -47,7 +49,7 @@ def fingerprints(texts: DataFrame, window: int, short: list[int]) -> DataFrame:
     """Rows with ``words`` become rows with (print, first, last, size): windows that start
     at ``first`` to ``last`` have the smallest hash ``print``. ``short``: sizes of whole
     short items, of which every place is hashed."""
-    k = window // 2
+    k = max(window // 2, 1)
     span = window - k + 1
     carried = [F.col(c) for c in texts.columns if c != "words"]
     hashed = texts.select(

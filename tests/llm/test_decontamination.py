@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from helpers import texts_frame, words
 
 from emberfall.llm import decontamination
@@ -25,10 +26,10 @@ def plain(docs, items, window=10):
     return sorted(out, key=str)
 
 
-def run(spark, docs, items):
+def run(spark, docs, items, window=10):
     frame = texts_frame(spark, docs)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(frame, bench).collect()
+    got = decontamination.decontaminate(frame, bench, window).collect()
     return sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got], key=str), frame, bench
 
 
@@ -49,6 +50,14 @@ def test_against_brute_force(spark):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == clean
 
 
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_other_windows(spark, window):
+    rng = random.Random(window)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * 2 for _ in range(n))
+    docs, items = [(i, text(rng.randrange(8))) for i in range(20)], [(i, text(rng.randrange(5))) for i in range(4)]
+    assert run(spark, docs, items, window)[0] == plain(docs, items, window)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c")])[0] == []
     assert run(spark, [(1, "a b c"), (2, None)], [])[0] == [(1, 3, 0, []), (2, 0, 0, [])]
