@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from emberfall.functions.labels import significance
 from emberfall.functions.special import normal_two_sided, student_quantile, student_two_sided
+from emberfall.operators.ranks import value_positions
+from emberfall.workspace import materialise
 
-# A dense rank fits this many bits.
-RANK_BITS = 31
+# Time steps whose running counts are taken in one window.
+BLOCK_ROWS = 4096
 
 
 def _fit(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
@@ -90,35 +92,57 @@ def mann_kendall(series: DataFrame, y: str, t: str, by: Sequence[str]) -> DataFr
     """S, its tie-corrected variance, z with continuity correction, tau and p per group.
 
     No pairs of rows are formed. Two values compare at the highest bit in which
-    their ranks differ: among rows equal above that bit, each row counts the earlier
+    their ranks (how many values are smaller) differ: among rows equal above that bit, each row counts the earlier
     rows with the other bit. The work is n rows times the bits of the largest rank.
 
-    A series has one row per time step, so a group is as long as the record has years; the
-    windows hold one group each. A constant series has no z, tau, p-value or significance.
+    Places in order of value and of time come from range blocks, and the running counts are
+    taken per block of time and added up over blocks, so no window holds a long group. A
+    series has one row per time step. A constant series has no z, tau, p-value or significance.
     """
     by = list(by)
     values = series.filter(F.col(y).isNotNull()).select(
         *by, F.col(y).alias("_y"), F.col(t).alias("_time")
     )
-    ranked = values.withColumn(
-        "_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy("_y")) - 1
-    ).withColumn("_top", F.max("_rank").over(Window.partitionBy(*by)))
-    bits = ranked.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(RANK_BITS - 1))))
-    bits = bits.filter(F.expr("shiftright(_top, _bit) > 0")).select(
+    values = materialise(values, "series")
+    order = [value_positions(values, c, by).select(*by, c, F.col("n_less").alias(f"{c}_place"), "n_group") for c in ("_y", "_time")]
+    placed = values.join(order[0], [*by, "_y"]).join(order[1].drop("n_group"), [*by, "_time"])
+    top = F.floor(F.log2(F.greatest(F.col("n_group") - 1, F.lit(1)))).cast("int")
+    bits = placed.select(
         *by,
-        "_time",
+        F.col("_time_place").alias("_at"),
+        F.expr(f"_time_place div {BLOCK_ROWS}").alias("_part"),
+        F.col("_y_place").alias("_rank"),
+        F.explode(F.sequence(F.lit(0), top)).alias("_bit"),
+    ).select(
+        *by,
+        "_at",
+        "_part",
         "_bit",
         F.expr("shiftright(_rank, _bit + 1) AS _prefix"),
-        F.expr("shiftright(_rank, _bit) & 1 AS _one"),
+        F.expr("CAST(shiftright(_rank, _bit) & 1 AS INT) AS _one"),
+    )
+    bits = materialise(bits, "rank-bits")
+    # Rows with the other bit: those of earlier blocks, and those before in the own block.
+    cell = [*by, "_bit", "_prefix"]
+    past = Window.partitionBy(*cell).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = bits.groupBy(*cell, "_part").agg(F.sum("_one").alias("_ones"), F.count("*").alias("_rows"))
+    totals = totals.select(
+        *cell,
+        "_part",
+        F.coalesce(F.sum("_ones").over(past), F.lit(0)).alias("_ones_before"),
+        F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_rows_before"),
     )
-    earlier = (
-        Window.partitionBy(*by, "_bit", "_prefix")
-        .orderBy("_time")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = (
+        Window.partitionBy(*cell, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     )
-    lower = F.coalesce(F.sum(1 - F.col("_one")).over(earlier), F.lit(0))
-    higher = F.coalesce(F.sum("_one").over(earlier), F.lit(0))
-    score = bits.withColumn("_gain", F.when(F.col("_one") == 1, lower).otherwise(-higher))
+    counted = bits.select(
+        "*",
+        F.coalesce(F.sum("_one").over(inside), F.lit(0)).alias("_ones_here"),
+        F.coalesce(F.count("_one").over(inside), F.lit(0)).alias("_rows_here"),
+    ).join(totals, [*cell, "_part"])
+    higher = F.col("_ones_before") + F.col("_ones_here")
+    lower = F.col("_rows_before") + F.col("_rows_here") - higher
+    score = counted.withColumn("_gain", F.when(F.col("_one") == 1, lower).otherwise(-higher))
     score = score.groupBy(*by).agg(F.sum("_gain").alias("_gained"))
 
     m = F.col("_m")

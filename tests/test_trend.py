@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -65,6 +66,33 @@ def test_mann_kendall_against_pairs(spark, seed):
     assert (row.S, row.varS) == (s, pytest.approx(variance))
 
 
+def test_mann_kendall_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(trend, "BLOCK_ROWS", 7)
+    rng = random.Random(9)
+    values = [rng.choice([1, 5, rng.randint(0, 40)]) for _ in range(120)]
+    row = trend.mann_kendall(series(spark, values), "v", "year", ["season"]).first()
+    s, variance = kendall_by_pairs(values)
+    assert (row.S, row.varS) == (s, pytest.approx(variance))
+
+
+def test_mann_kendall_of_one_long_group(spark):
+    df = spark.range(200_000).selectExpr("'a' AS g", "id AS t", "CAST(id * 7919 % 200003 AS double) AS v")
+    found = trend.mann_kendall(df, "v", "t", ["g"])
+    windows = re.findall(r"windowspecdefinition\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert windows and all("_part" in w for w in windows)
+    values = [i * 7919 % 200003 for i in range(200_000)]
+    tree, s = [0] * 200_004, 0
+    for n, v in enumerate(values):
+        below, i = 0, v + 1
+        while i:
+            below, i = below + tree[i], i & (i - 1)
+        s += 2 * below - n
+        i = v + 1
+        while i < len(tree):
+            tree[i], i = tree[i] + 1, i + (i & -i)
+    assert found.first().S == s
+
+
 def test_mann_kendall_of_a_constant(spark):
     row = trend.mann_kendall(series(spark, [2, 2, 2]), "v", "year", ["season"]).first()
     assert (row.S, row.z, row.tau, row.p_value, row.significance) == (0, None, None, None, None)
