@@ -16,9 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v); the root is the smallest node.
 
     Each round links the larger neighbours of every node to its smallest neighbour, then
-    the smaller ones; minima are combined before the shuffle and come back by an
-    equi-join, so that a node with very many neighbours can be split. Rounds are written
-    down; their number grows with the logarithm of the longest chain. Loops and NULLs
+    the smaller ones; minima are combined before the shuffle, written down, and come back by
+    an equi-join of two scans, which adaptive execution can split at a node with very many
+    neighbours. Rounds are written down; their number grows with the logarithm of the longest chain. Loops and NULLs
     link nothing.
     """
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
@@ -27,9 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(low, "least")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, state = state, _state(edges)

@@ -323,7 +323,8 @@ def near_duplicates(
         "print", "least_id", F.coalesce("root", "print").alias("root")
     )
     rooted = materialise(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Written down, so that the join back is between scans and a large component can be split.
+    least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
     of_print = materialise(rooted.join(least, "root").select("print", "component_id"), "component-of-print")
     return rows.join(of_print, "print").select(
         F.col("row_id").alias(id_col), *KEYS, F.col("print").alias("fingerprint"), "component_id"
