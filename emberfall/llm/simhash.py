@@ -262,7 +262,9 @@ def near_links(prints: DataFrame, bits: int, radius: int, blocks: int) -> DataFr
     nodes = index.select("block", "grp", "both", "any").toPandas()  # at most blocks x MOST_GROUPS rows
     meet = []
     for block, part in nodes.groupby("block"):
-        grp, both, any_ = part["grp"].to_numpy(), part["both"].to_numpy(), part["any"].to_numpy()
+        grp = part["grp"].to_numpy()
+        # Spark has signed numbers only, whose bits numpy counts by absolute value.
+        both, any_ = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("both", "any"))
         near = apart(both[:, None], any_[:, None], both[None, :], any_[None, :]) <= radius // blocks
         a, b = np.nonzero(near & (grp[:, None] <= grp[None, :]))
         meet.append(pd.DataFrame({"block": np.int32(block), "a": grp[a].astype("int32"), "b": grp[b].astype("int32")}))

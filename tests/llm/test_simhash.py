@@ -80,3 +80,16 @@ def test_components_of_chains_and_stars(spark):
     got = dict(components(spark.createDataFrame(links, "u long, v long")).collect())
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130)) and got[201] == 200
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_groups_that_differ_in_the_top_bit(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CODES_IN_GROUP", 4)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    top = np.uint64(1 << 63)
+    codes = np.unique(np.concatenate([base, base ^ top ^ (np.uint64(1) << rng.integers(20, 60, 120).astype(np.uint64))]))
+    prints = spark.createDataFrame([(x,) for x in simhash.hexed(codes.reshape(-1, 1))], "print string")
+    got = {tuple(sorted((int(r.u, 16), int(r.v, 16)))) for r in simhash.near_links(prints, 64, 3, 1).collect()}
+    whole = [int(c) for c in codes]
+    want = {(a, b) for k, a in enumerate(whole) for b in whole[k + 1 :] if (a ^ b).bit_count() <= 3}
+    assert len(want) >= 120 and got == want
