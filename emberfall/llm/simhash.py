@@ -294,13 +294,14 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, key_id, key_text, fingerprint, component_id), one row per row of ``docs``.
+    """(doc_id, key_id, key_text, fingerprint, component_id, root), one row per row of ``docs``.
 
     Documents are linked if their fingerprints differ in at most ``radius`` of ``bits``
     bits; the component's id is the smallest id that links reach, the row's own included.
     NULL and empty texts have the fingerprint zero and are linked like any other. NULL ids
     keep their rows and are the component's id only where there is no other. Repeated rows
-    and ids keep a row each. An empty table gives no rows. Other columns are not carried.
+    and ids keep a row each; where unrelated texts share an id, components may share their
+    id too, and only ``root`` tells them apart. An empty table gives no rows. Other columns are not carried.
 
     The default links documents whose fingerprints of five-word shingles agree in four
     bits of five or more, a similarity of 0.8.
@@ -327,9 +328,9 @@ def near_duplicates(
     rooted = materialise(rooted, "rooted")
     # Written down, so that the join back is between scans and a large component can be split.
     least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
-    of_print = materialise(rooted.join(least, "root").select("print", "component_id"), "component-of-print")
+    of_print = materialise(rooted.join(least, "root").select("print", "component_id", "root"), "component-of-print")
     return rows.join(of_print, "print").select(
-        F.col("row_id").alias(id_col), *KEYS, F.col("print").alias("fingerprint"), "component_id"
+        F.col("row_id").alias(id_col), *KEYS, F.col("print").alias("fingerprint"), "component_id", "root"
     )
 
 
@@ -340,9 +341,7 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     other texts, the smallest key stays.
     """
     first = F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), *KEYS)
-    stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(
-        F.min(first).alias("first")
-    )
+    stay = found.groupBy("root").agg(F.min(first).alias("first"))
     stay = materialise(stay.select("first.key_id", "first.key_text"), "kept-rows")
     keyed = docs.select("*", *[k.alias(f"near_{name}") for k, name in zip(row_key(id_col, text_col), KEYS)])
     kept = keyed.join(

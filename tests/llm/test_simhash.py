@@ -93,3 +93,13 @@ def test_groups_that_differ_in_the_top_bit(spark, monkeypatch):
     whole = [int(c) for c in codes]
     want = {(a, b) for k, a in enumerate(whole) for b in whole[k + 1 :] if (a ^ b).bit_count() <= 3}
     assert len(want) >= 120 and got == want
+
+
+def test_components_that_share_an_id_stay_apart(spark):
+    words = lambda c: [f"{c}{i}" for i in range(90)]
+    near = lambda c: " ".join([*words(c)[:40], "changed", *words(c)[41:]])
+    rows = [(5, " ".join(words("a"))), (9, near("a")), (5, " ".join(words("b"))), (12, near("b"))]
+    rows += [(None, " ".join(words("c"))), (None, near("c"))]
+    docs = texts_frame(spark, rows)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs, simhash.near_duplicates(docs)).collect()]
+    assert len(kept) == 3 and {rows[0], rows[2]} < set(kept) and len(set(kept) & set(rows[4:])) == 1
