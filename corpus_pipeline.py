@@ -29,7 +29,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: the smallest id of every group of near copies stays."""
-    found = materialise(simhash.near_duplicates(docs), "near-duplicates")
+    # Fingerprints at most 31 of 128 bits apart propose, five-word shingles decide.
+    found = simhash.near_duplicates(docs, radius=31, similarity=0.8)
+    found = materialise(found, "near-duplicates")
     return simhash.keep_one(docs, found).select(*COLUMNS)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from emberfall.llm import blobs
 from emberfall.llm.components import components
+from emberfall.llm.similar import similar_links
 from emberfall.llm.words import KEYS, bound_batches, row_key
 from emberfall.workspace import materialise
 
@@ -293,6 +294,7 @@ def near_duplicates(
     blocks: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
+    similarity: float | None = None,
 ) -> DataFrame:
     """(doc_id, key_id, key_text, fingerprint, component_id, root), one row per row of ``docs``.
 
@@ -303,33 +305,72 @@ def near_duplicates(
     and ids keep a row each; where unrelated texts share an id, components may share their
     id too, and only ``root`` tells them apart. An empty table gives no rows. Other columns are not carried.
 
+    With ``similarity``, fingerprints are of distinct shingles and only propose: components
+    of near fingerprints are candidates, within which documents are linked if the Jaccard
+    similarity of their sets of shingles is ``similarity`` or more. Shingles are equal if
+    their 64-bit hashes are. Texts without words have the empty set and are alike.
+
     The default links documents whose fingerprints of five-word shingles agree in four
-    bits of five or more, a similarity of 0.8.
+    bits of five or more.
     """
     bound_batches(docs.sparkSession)
     lanes = bits // 64
 
-    @F.pandas_udf("string")
-    def printed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            codes = [fingerprint(shingle_hashes(t, shingle), lanes) for t in texts]
-            yield pd.Series(hexed(np.array(codes, np.uint64).reshape(-1, lanes)), dtype="object")
+    def hashes_of(text: str | None) -> np.ndarray:
+        hashes = shingle_hashes(text, shingle)
+        return hashes if similarity is None else np.unique(hashes)
 
-    rows = materialise(
-        docs.select(F.col(id_col).alias("row_id"), *row_key(id_col, text_col), printed(F.col(text_col)).alias("print")),
-        "prints",
+    @F.pandas_udf("struct<print:string,marks:string,n:long>")
+    def printed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            codes, marks, sizes = [], [], []
+            for hashes in map(hashes_of, texts):
+                codes.append(fingerprint(hashes, lanes))
+                marks.append("" if similarity is None else xxhash.xxh3_128_hexdigest(hashes.tobytes()))
+                sizes.append(len(hashes))
+            prints = hexed(np.array(codes, np.uint64).reshape(-1, lanes))
+            yield pd.DataFrame({"print": pd.Series(prints, dtype="object"), "marks": pd.Series(marks, dtype="object"), "n": sizes})
+
+    rows = docs.select(F.col(id_col).alias("row_id"), *row_key(id_col, text_col), printed(F.col(text_col)).alias("seen"))
+    rows = materialise(rows.select("row_id", *KEYS, F.col("seen.print"), F.col("seen.marks"), F.col("seen.n")), "prints")
+    # Without ``similarity`` the fingerprint is the node, else it and the digest of the set.
+    nodes = rows.withColumn("node", F.concat("print", "marks")).groupBy("node").agg(
+        F.min("print").alias("print"), F.min("row_id").alias("least_id"), F.min("n").alias("n"), F.min(F.struct(*KEYS)).alias("text_key")
     )
-    nodes = materialise(rows.groupBy("print").agg(F.min("row_id").alias("least_id")), "print-nodes")
-    links = near_links(nodes.select("print"), bits, radius, blocks)
+    nodes = materialise(nodes, "print-nodes")
+    prints = nodes.select("print")
+    if similarity is not None:
+        prints = materialise(prints.distinct(), "distinct-prints")
+    links = near_links(prints, bits, radius, blocks)
     roots = components(links).withColumnRenamed("node", "print")
-    rooted = nodes.join(roots, "print", "left").select(
-        "print", "least_id", F.coalesce("root", "print").alias("root")
-    )
+    rooted = nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     rooted = materialise(rooted, "rooted")
+    if similarity is not None:
+
+        @F.pandas_udf("binary")
+        def hashed(texts: pd.Series) -> pd.Series:
+            return pd.Series([hashes_of(t).tobytes() for t in texts], dtype="object")
+
+        first = F.struct(F.col("least_id").isNull(), "least_id", "node").alias("first")
+        groups = rooted.groupBy("root").agg(F.count("*").alias("members"), F.min(first).alias("first"))
+        groups = materialise(groups.filter("members > 1").select("root", F.col("first.node").alias("pivot_node")), "candidates")
+        members = materialise(
+            rooted.join(groups, "root").select("node", "root", "n", (F.col("node") == F.col("pivot_node")).alias("pivot"), "text_key.*"),
+            "members",
+        )
+        # Rows that repeat id and text are equal, so any of them serves.
+        keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("row_text"))
+        sets = keyed.join(members, KEYS).select("node", "root", "pivot", "n", hashed("row_text").alias("cell"))
+        sets = materialise(sets.dropDuplicates(["node"]), "shingle-sets")
+        roots = components(similar_links(sets, similarity)).withColumnRenamed("root", "similar_root")
+        rooted = rooted.drop("root").join(roots, "node", "left").select(
+            "node", "least_id", F.coalesce("similar_root", "node").alias("root")
+        )
+        rooted = materialise(rooted, "similar-rooted")
     # Written down, so that the join back is between scans and a large component can be split.
     least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
-    of_print = materialise(rooted.join(least, "root").select("print", "component_id", "root"), "component-of-print")
-    return rows.join(of_print, "print").select(
+    of_node = materialise(rooted.join(least, "root").select("node", "component_id", "root"), "component-of-node")
+    return rows.withColumn("node", F.concat("print", "marks")).join(of_node, "node").select(
         F.col("row_id").alias(id_col), *KEYS, F.col("print").alias("fingerprint"), "component_id", "root"
     )
 

@@ -1,0 +1,131 @@
+"""Exact Jaccard similarity within candidate components.
+
+Members of a component are distinct sets of 64-bit shingle hashes. Each is first compared
+with the component's pivot, by a join; those that are similar to it are one component already
+and need no comparison among each other. The open rest meets all members in one task per
+pair of chunks, so that every pair is compared or known to be connected, and no component has
+to fit into one task. Small components share tasks.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emberfall.workspace import materialise
+
+# What one task has of one side: hashes, and members of the open rest.
+HASHES_IN_CHUNK, OPEN_IN_CHUNK = 500_000, 1_000
+LINKS = pa.schema([("u", pa.string()), ("v", pa.string())])
+
+
+def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of sizes a and b are similar; two empty sets are equal."""
+    return shared >= least * (a + b - shared) - 1e-9
+
+
+def compared(names: list, sets: list, near: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> list:
+    """Links (u, v) that connect what similar pairs of a left and a right member connect;
+    members ``near`` the pivot count as connected."""
+    order = np.argsort(~near, kind="stable")  # near ones first, so that they lend the label
+    names, sets = [names[i] for i in order], [sets[i] for i in order]
+    near, left, right = near[order], left[order], right[order]
+    label = np.where(near, 0, np.arange(len(names)))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(right & (sizes > 0))
+    if len(full):
+        known, ids = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        for i in np.flatnonzero(left & (sizes > 0)):
+            low, high = np.minimum(sizes[full], sizes[i]), np.maximum(sizes[full], sizes[i])
+            if not ((label[full] != label[i]) & (low >= least * high - 1e-9)).any():
+                continue
+            mark = np.zeros(len(known), bool)
+            at = np.searchsorted(known, sets[i])
+            at[at == len(known)] = 0
+            mark[at[known[at] == sets[i]]] = True
+            shared = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+            ones = np.append(label[full[similar(shared, sizes[full], sizes[i], least)]], label[i])
+            label[np.isin(label, ones)] = ones.min()
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return [(names[i], names[label[i]]) for i in moved if not near[i]]
+
+
+def similar_links(sets: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that connect all members of a candidate component that similar pairs connect.
+
+    ``sets``: one row per member, (node, root, pivot, n, cell): its name, its candidate
+    component, whether it is the component's pivot (one is), how many hashes it has, and the
+    hashes, sorted, as bytes. Pairs are similar from a Jaccard similarity of ``least`` on.
+    """
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), least)))
+        return pd.Series(out, dtype=bool)
+
+    pivots = materialise(
+        sets.filter("pivot").select("root", F.col("node").alias("pivot_node"), F.col("cell").alias("pivot_cell")), "pivots"
+    )
+    seen = materialise(
+        sets.join(pivots, "root").select("node", "root", "n", "cell", "pivot_node", alike("cell", "pivot_cell").alias("near")),
+        "met-pivots",
+    )
+    star = seen.filter("near and node <> pivot_node").select(F.col("node").alias("u"), F.col("pivot_node").alias("v"))
+
+    open_n, open_hashes = F.sum((~F.col("near")).cast("long")), F.sum(F.when(~F.col("near"), F.col("n")).otherwise(0))
+    plan = seen.groupBy("root").agg(
+        F.count("*").alias("members"), F.sum("n").alias("hashes"), open_n.alias("open_n"), open_hashes.alias("open_hashes")
+    )
+    # Two members have met already.
+    plan = plan.filter("members > 2 and open_n > 0").select(
+        "root",
+        "hashes",
+        F.greatest(F.ceil(F.col("open_n") / OPEN_IN_CHUNK), F.ceil(F.col("open_hashes") / HASHES_IN_CHUNK), F.lit(1)).cast("int").alias("rows"),
+        F.greatest(F.ceil(F.col("hashes") / HASHES_IN_CHUNK), F.lit(1)).cast("int").alias("columns"),
+    )
+    plan = materialise(plan, "chunks")
+    alone = (F.col("rows") == 1) & (F.col("columns") == 1)
+    total = plan.filter(alone).agg(F.sum("hashes")).first()[0] or 0
+    bins = int(-(-total // HASHES_IN_CHUNK)) + 8
+    plan = plan.select(
+        "root", "rows", "columns", F.when(alone, F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")).otherwise(F.col("root")).alias("bin")
+    )
+
+    row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")).cast("int")
+    column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("columns")).cast("int")
+
+    def place(r, c, as_left, as_right):
+        return F.struct(r.alias("r"), c.alias("c"), as_left.alias("as_left"), as_right.alias("as_right"))
+
+    yes, no, first = F.lit(True), F.lit(False), F.lit(0)
+    as_right = F.transform(F.sequence(first, F.col("rows") - 1), lambda r: place(r, column, no, yes))
+    as_left = F.transform(F.sequence(first, F.col("columns") - 1), lambda c: place(row, c, yes, no))
+    places = F.when(alone, F.array(place(first, first, ~F.col("near"), yes))).when(F.col("near"), as_right).otherwise(F.concat(as_right, as_left))
+    dealt = seen.join(plan, "root").select("bin", "root", "node", "cell", "near", F.explode(places).alias("place"))
+    dealt = dealt.select("bin", "root", "node", "cell", "near", "place.*")
+
+    def work(met: pa.Table) -> pa.Table:
+        found = []
+        frame = met.to_pandas()
+        for _, part in frame.groupby("root", sort=False):
+            flags = part.groupby("node", sort=False)[["as_left", "as_right"]].any()
+            part = part.drop_duplicates("node")
+            cells = [np.frombuffer(c, np.uint64) for c in part["cell"]]
+            found += compared(
+                part["node"].tolist(),
+                cells,
+                part["near"].to_numpy(bool),
+                flags["as_left"].to_numpy(bool),
+                flags["as_right"].to_numpy(bool),
+                least,
+            )
+        return pa.table({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=LINKS)
+
+    return star.union(dealt.groupBy("bin", "r", "c").applyInArrow(work, "u string, v string"))

@@ -88,6 +88,19 @@ def test_one_of_each_group_stays(stages):
     assert not ids & {400, 401, 402, 403, 404} and len(ids & set(range(300, 330))) <= 16
 
 
+def test_only_similar_documents_go(stages):
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles one stays."""
+    _, _, kept = stages
+    rows = pairs(kept[1])
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    roots = plain_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    groups = {}
+    for (i, t), root in zip(rows, roots):
+        groups.setdefault(root, []).append((i is None, i or 0, i, t))
+    want = [min(g, key=lambda x: x[:2])[2:] for g in groups.values()]
+    assert pairs(kept[2]) == sorted(want, key=str)
+
+
 def test_contaminated_documents_go(stages):
     _, items, kept = stages
     rows = pairs(kept[2])

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from helpers import plain_components, texts_frame
 
-from emberfall.llm import simhash
+from emberfall.llm import similar, simhash
 from emberfall.llm.components import components
 
 
@@ -103,3 +103,35 @@ def test_components_that_share_an_id_stay_apart(spark):
     docs = texts_frame(spark, rows)
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs, simhash.near_duplicates(docs)).collect()]
     assert len(kept) == 3 and {rows[0], rows[2]} < set(kept) and len(set(kept) & set(rows[4:])) == 1
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("chunks", [(500_000, 1_000), (400, 3)])
+def test_near_copies_by_exact_jaccard(spark, monkeypatch, chunks):
+    monkeypatch.setattr(similar, "HASHES_IN_CHUNK", chunks[0])
+    monkeypatch.setattr(similar, "OPEN_IN_CHUNK", chunks[1])
+    rng = random.Random(21)
+    rows = [(500, None), (501, ""), (None, "six words and no more here"), (7, "six words and no more here")]
+    for g in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for n in (0, 1, 2, 4, 5, 6, 8, 10):
+            copy = list(base)
+            for at in rng.sample(range(0, 200, 10), n):
+                copy[at] = f"x{rng.randrange(5000)}"
+            rows.append((1000 - 10 * g - n, " ".join(copy)))
+    got = simhash.near_duplicates(texts_frame(spark, rows), radius=31, similarity=0.8).collect()
+    assert len(got) == len(rows)
+    texts = [t for _, t in rows]
+    shares = [jaccard(a, b) for k, a in enumerate(texts) for b in texts[:k]]
+    assert sum(0.6 < x < 0.8 for x in shares) > 20 and sum(0.8 <= x < 1 for x in shares) > 20
+    roots = plain_components(texts, lambda a, b: jaccard(a, b) >= 0.8)
+    ids = {}
+    for (i, _), root in zip(rows, roots):
+        ids[root] = min([x for x in (ids.get(root), i) if x is not None], default=None)
+    want = sorted([(i, ids[root]) for (i, _), root in zip(rows, roots)], key=str)
+    assert sorted([(r.doc_id, r.component_id) for r in got], key=str) == want
+    assert len({r.root for r in got}) == len(set(roots))
