@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes features under a linear hinge-loss model.
 
 A text is a set of n-grams (one to four in a row) of token shapes: what kinds of letters,
-digits and marks a token is made of, and whether it repeats the token before it. Shapes
+digits and marks a token is made of, and whether it repeats the token before it. Tokens of
+more than eight runs of letters, digits or marks count as successive tokens of eight. Shapes
 say how a text is written, not what it is about, so that few labels suffice. Each n-gram
 indicator is scaled by its log-count ratio between the classes; rows are scaled to
 length one; a linear model with hinge loss is fitted by dual coordinate descent, and its
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ SMOOTHING = 1.0
 DRAWN = 0.25
 STEEPNESS = 4.0
 CACHED_SHAPES = 150_000
+RUNS_IN_TOKEN = 8
+CACHED_LENGTH = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(.)\1*", re.S)
 
@@ -59,7 +63,34 @@ def shape(token: str) -> str:
                 parts.append("a")
         else:
             parts.append(text[:3])
-    return "".join(parts[:8])
+    return "".join(parts)
+
+
+def pieces(token: str) -> list[str]:
+    """A token cut after every ``RUNS_IN_TOKEN`` runs."""
+    cuts, end = [], 0
+    for n, run in enumerate(_RUNS.finditer(token), 1):
+        if n % RUNS_IN_TOKEN == 0:
+            cuts.append(token[end : run.end()])
+            end = run.end()
+    return cuts if end == len(token) else [*cuts, token[end:]]
+
+
+_known_pieces = lru_cache(CACHED_SHAPES)(pieces)
+
+
+def tokens_of(text: str) -> list[str]:
+    """All blank-separated tokens of a text, long ones in pieces."""
+    tokens = text.split()
+    if max(map(len, tokens), default=0) <= RUNS_IN_TOKEN:
+        return tokens
+    cut: list[str] = []
+    for token in tokens:
+        if len(token) <= RUNS_IN_TOKEN:
+            cut.append(token)
+        else:
+            cut += _known_pieces(token) if len(token) <= CACHED_LENGTH else pieces(token)
+    return cut
 
 
 _SHAPES: dict[str, int] = {}
@@ -77,7 +108,7 @@ def _code(token: str) -> int:
 
 def features(text: str | None) -> np.ndarray:
     """The distinct feature numbers of a whole text, sorted; NULL counts as empty."""
-    tokens = (text or "").split()
+    tokens = tokens_of(text or "")
     if not tokens:
         return np.empty(0, np.int32)
     get = _SHAPES.get

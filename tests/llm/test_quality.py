@@ -51,3 +51,11 @@ def test_fit_separates_and_marks_repeats():
     rows = [quality.features("A! " * 9 + "b"), quality.features("a b c")] * 5
     model = quality.fit_rows(rows, [0, 1] * 5)
     assert model.score(rows[0]) < 0.5 < model.score(rows[1])
+
+
+def test_long_tokens_count_to_their_end():
+    head = "漢字1、" * 300
+    ends = [head + "Latin,9.", head + "漢字字!?"]
+    assert set(quality.features(ends[0])) != set(quality.features(ends[1]))
+    assert quality.pieces(ends[0])[0] == "漢字1、漢字1、漢字1" and "".join(quality.pieces(ends[0])) == ends[0]
+    assert quality.pieces("Ab12cd!!") == ["Ab12cd!!"] and quality.tokens_of("a b,c,d,e,f,g") == ["a", "b,c,d,e,", "f,g"]
