@@ -74,6 +74,28 @@ class Kind:
     context: str
 
 
+# Lengths of account numbers and the countries that have them.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Account numbers, compact or in fours: of a known country as long as its numbers are, so
+    that what follows is not swallowed; others, and shorter ones, as far as they go."""
+    known = []
+    for n, countries in IBAN_COUNTRIES.items():
+        fours, rest = divmod(n - 4, 4)
+        tail = f" [A-Z0-9]{{{rest}}}" if rest else ""
+        known.append(
+            f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{fours}}}{tail})"
+        )
+    return "|".join(known) + r"|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+
+
 # The four base kinds come first; their order is the order of equal starts.
 BASE = [
     Kind(
@@ -99,7 +121,7 @@ METHOD = [
     Kind(
         "iban",
         "[A-Z]{2}[0-9]{2}",
-        r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
+        iban_pattern(),
         iban_fits,
         0.75,
         "iban|bank|account|transfer|konto",

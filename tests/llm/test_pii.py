@@ -76,3 +76,11 @@ def test_overlapping_spans_are_hidden_once(spark):
 
 def test_empty(spark):
     assert pii.find_spans(texts_frame(spark, [])).collect() == []
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["BE68 5390 0754 7034 EUR", "pay BE68539007547034EUR now", "DE89 3704 0044 0532 0130 00 7", "DE893704004405320130001234"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = pii.find_spans(frame, kinds=pii.METHOD)
+    hidden = [r.h for r in found.select(pii.redact(F.col("text"), F.col("pii")).alias("h")).collect()]
+    assert hidden == ["<iban> EUR", "pay <iban>EUR now", "<iban> 7", "<iban>1234"]
