@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfall.llm import bpe_codec, decontamination, license_scan, pii, quality, repeated_spans, sharding, simhash, url_filter, voronoi_topk
+from emberfall.llm import (
+    bpe_codec,
+    decontamination,
+    hard_negatives,
+    license_scan,
+    pii,
+    quality,
+    repeated_spans,
+    secret_scan,
+    sharding,
+    simhash,
+    token_alignment,
+    url_filter,
+    voronoi_topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +36,7 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -341,3 +356,55 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("coded.ids", 256).alias("ids_sha256"),
         F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level tokens of every text against its pieces: groups, links, and how common they are."""
+    docs, _ = token_alignment.align_tokenizers(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES), digest=True
+    )
+    return docs.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_secret_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: counts by base kind, digest of base spans, all spans."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), into="spans")
+    base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE))
+    counts = [pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
+NEGATIVES_SQL = """
+WITH whole AS (
+  SELECT row_number() OVER () AS n, * FROM (
+    SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+scored AS (
+  SELECT a.n, a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same,
+         CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
+  FROM whole a JOIN whole o ON a.n <> o.n WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT n, vec_id AS positive_id, score AS positive_score FROM scored
+  WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) <= 5),
+met AS (
+  SELECT s.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY n, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM scored s JOIN positives p USING (n)
+  WHERE NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five best positives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
