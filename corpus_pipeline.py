@@ -29,8 +29,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: the smallest id of every group of near copies stays."""
-    # Fingerprints at most 31 of 128 bits apart propose, five-word shingles decide.
-    found = simhash.near_duplicates(docs, radius=31, similarity=0.8)
+    # Three-word shingles, at most 3 of 64 bits apart: what op8_simhash_near_dedup links.
+    found = simhash.near_duplicates(docs, shingle=3, bits=64, radius=3, blocks=1)
     found = materialise(found, "near-duplicates")
     return simhash.keep_one(docs, found).select(*COLUMNS)
 
