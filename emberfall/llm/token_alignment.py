@@ -3,15 +3,19 @@
 Both tokenizers cut the bytes of a text; where tokens of both end, the text falls into
 groups. The shorter list of token ends gallops through the longer one: every end starts
 at its proportional place, brackets its rank by steps that double, and closes the bracket by
-bisection, all ends of a text in lockstep. Ends found are common and slice the groups; the
-ranks before and after a token give the range of tokens of the other side that it overlaps.
+bisection, all ends in lockstep. Ends found are common and slice the groups; the ranks
+before and after a token give the range of tokens of the other side that it overlaps.
+
+A single space between marks starts a token on both sides, whatever stands before it: texts
+fall into chunks there, and equal chunks are aligned alike. Each worker keeps what it knows
+of chunks (a cache of bounded size; nothing is lost with it) and aligns the new ones of some
+texts as one run.
 
 Texts become batches of bounded bytes, one row per batch: the links of its documents as a
 sparse matrix over the pairs of ids that the batch holds, and how many of its documents hold
-each. Those counts are summed over all batches by pair. A batch then needs one number per
-pair: the table of pairs is sent to the tasks where its counted rows are few, and else
-every batch asks for its own pairs by a join, one row per batch and pair, so that a common
-pair weighs no more than the number of batches.
+each. Those counts are summed over all batches by pair, and every batch asks for those of its
+own pairs by a join: one row per batch and pair, so that a common pair weighs no more than the
+number of batches, and nothing whose size follows the corpus is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -37,10 +41,10 @@ from emberfall.workspace import materialise
 
 MAX_MODEL_BYTES = 64 << 20
 BYTES_IN_BATCH = 6 << 20
-TEXT_IN_PIECE = 1 << 18
+TEXT_IN_PIECE = 1 << 19
+CACHED_CHUNKS = 300_000
+CACHED_LETTERS = 8 << 20
 PAIRS_AT_ONCE = 2_000_000
-#: Up to so many pairs (16 bytes each) the table of pairs is sent to the tasks.
-PAIRS_SENT = 2_000_000
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -115,12 +119,24 @@ class Aligner:
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         #: decimal ids, each with the separators that may follow
         self.said = [f"{i}{sep}" for i in range(max(size_a, self.size_b)) for sep in ",|;"]
-        # A space between letters starts a token on both sides if no piece goes on across it.
-        whole = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.seam = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])") if whole else None
+        # No piece goes on across a space, and no pattern of the other side does.
+        self.seam = None if any(re.search("[^▁]▁", p) for p in pieces) else re.compile(r"(?<=\S) (?=\S)")
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table of chunks: their numbers, counts, pairs and groups."""
+        self.known: dict[str, int] = {}
+        self.letters = 0
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 4), np.int64)
+        self.fine = np.zeros(0, bool)
+        #: pairs of each chunk, one after the other, by their number in ``codes``
+        self.n_pairs, self.pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pair_of: dict[int, int] = {}
+        self.codes = np.zeros(0, np.int64)
 
     def cut(self, text: str) -> Iterator[str]:
-        """A long text in pieces that are encoded on their own, each after its space."""
+        """A long text in pieces that are aligned on their own, each after its space."""
         at = 0
         while self.seam is not None and len(text) - at > 2 * TEXT_IN_PIECE:
             seam = self.seam.search(text, at + TEXT_IN_PIECE)
@@ -130,42 +146,140 @@ class Aligner:
             at = seam.end()
         yield text[at:]
 
-    def align(self, text: str | None, digest: bool) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-        """([n_a, n_b, n_groups, n_links], groups, codes of distinct pairs, times each is linked)."""
-        n, codes, times, told = np.zeros(4, np.int64), [], [], [] if not digest else None
-        seen = hashlib.sha256()
-        for i, part in enumerate(self.cut(text) if text else ()):
-            raw = b" " + part.encode()
-            ids_a, ids_b = self.a.encode_ordinary(" " + part), self.b.encode(part)
-            same = b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b))
-            if not same:
-                n[:] = 0
-                break
-            a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            at_a, at_b, of_a, of_b = overlaps(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
-            n += [len(a), len(b), len(at_a), len(of_a)]
-            code, count = np.unique(a[of_a] * self.size_b + b[of_b], return_counts=True)
-            codes.append(code)
-            times.append(count)
-            # Where each token goes in the list of groups, and which separator follows it.
-            sizes_a, sizes_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
-            out = np.zeros(len(a) + len(b), np.int64)
-            out[np.arange(len(a)) + np.repeat(at_b + 1 - sizes_b, sizes_a)] = a * 3
-            out[np.arange(len(b)) + np.repeat(at_a + 1, sizes_b)] = b * 3
-            ends = at_a + at_b + 1
-            out[ends] += 2
-            out[ends - sizes_b] += 1
-            listed = (";" if i else "") + "".join(map(self.said.__getitem__, out.tolist()))[:-1]
-            seen.update(listed.encode())
-            if told is not None:
-                told.append(listed)
-        if not n[0]:
-            return [0, 0, 0, 0], "", np.empty(0, np.int64), np.empty(0, np.int64)
-        code, times_of = codes[0], times[0]
-        if len(codes) > 1:
-            code, where = np.unique(np.concatenate(codes), return_inverse=True)
-            times_of = np.bincount(where, np.concatenate(times)).astype(np.int64)
-        return n.tolist(), seen.hexdigest() if digest else "".join(told), code, times_of
+    def learn(self, chunks: list[str]) -> None:
+        """Put chunks into the table. Those with blanks at an end are aligned one by one."""
+        inner = [c for c in chunks if not c[0].isspace() and not c[-1].isspace()]
+        self.fresh: list[tuple[np.ndarray, ...]] = []
+        self.new_codes, self.n_codes = [self.codes], len(self.codes)
+        for run in [inner, *[[c] for c in chunks if c[0].isspace() or c[-1].isspace()]]:
+            while run:
+                run = self._run(run)
+        table = [(self.counts, self.fine, self.n_pairs, self.pairs), *self.fresh]
+        self.counts, self.fine, self.n_pairs, self.pairs = (np.concatenate(x) for x in zip(*table))
+        self.codes = np.concatenate(self.new_codes)
+        self.letters += sum(map(len, chunks))
+
+    def _run(self, chunks: list[str]) -> list[str]:
+        """Align chunks as one text; those that are left for another run. Where the tokens of
+        a run do not join to its text, it is halved until the chunk to blame is alone."""
+        text = " ".join(chunks)
+        raw = b" " + text.encode()
+        ids_a, ids_b = self.a.encode_ordinary(" " + text), self.b.encode(text)
+        if not b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+            if len(chunks) == 1:
+                self._add(chunks, np.zeros((1, 4), np.int64), False, np.zeros(1, np.int64), np.zeros(0, np.int64), [""])
+                return []
+            rest = chunks[: len(chunks) // 2]
+            while rest:
+                rest = self._run(rest)
+            return chunks[len(chunks) // 2 :]
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a = np.cumsum(self.len_a[a])
+        at_a, at_b, of_a, of_b = overlaps(ends_a, np.cumsum(self.len_b[b]))
+        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        last = np.searchsorted(ends_a[at_a], ends)
+        # Where each token goes in the list of groups, and which separator follows it.
+        sizes_a, sizes_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+        out = np.zeros(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.repeat(at_b + 1 - sizes_b, sizes_a)] = a * 3
+        out[np.arange(len(b)) + np.repeat(at_a + 1, sizes_b)] = b * 3
+        closes = at_a + at_b + 1
+        out[closes] += 2
+        out[closes - sizes_b] += 1
+        told = list(map(self.said.__getitem__, out.tolist()))
+        n_a, n_b = np.diff(at_a[last], prepend=-1), np.diff(at_b[last], prepend=-1)
+        owner = np.searchsorted(at_a[last], of_a)
+        order = np.argsort(owner, kind="stable")
+        n_links = np.bincount(owner, minlength=len(chunks))
+        stops = np.cumsum(n_a + n_b)
+        groups = ["".join(told[x:y])[:-1] for x, y in zip((stops - n_a - n_b).tolist(), stops.tolist())]
+        codes, where = np.unique((a[of_a] * self.size_b + b[of_b])[order], return_inverse=True)
+        number = np.array([self.pair_of.setdefault(c, len(self.pair_of)) for c in codes.tolist()], np.int64)
+        if len(self.pair_of) > self.n_codes:
+            self.new_codes.append(codes[number >= self.n_codes])
+            self.n_codes = len(self.pair_of)
+        counts = np.stack([n_a, n_b, np.diff(last, prepend=-1), n_links], axis=1)
+        self._add(chunks, counts, True, n_links, number[where], groups)
+        return []
+
+    def _add(self, chunks: list[str], counts: np.ndarray, fine: bool, n_pairs: np.ndarray, pairs: np.ndarray, groups: list[str]) -> None:
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.groups += groups
+        self.fresh.append((counts, np.full(len(chunks), fine), n_pairs, pairs))
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[np.ndarray | None, str, np.ndarray, np.ndarray]]:
+        """(counts, groups, codes, times linked) of texts that are not empty; counts None if
+        the tokens of one side do not join to the text."""
+        if len(self.known) > CACHED_CHUNKS or self.letters > CACHED_LETTERS:
+            self.forget()
+        cut = [self.seam.split(t) if self.seam else [t] for t in texts]
+        flat = [c for chunks in cut for c in chunks]
+        if fresh := [c for c in dict.fromkeys(flat) if c not in self.known]:
+            self.learn(fresh)
+        ids = [self.known[c] for c in flat]
+        at = np.array(ids, np.int64)
+        sizes = np.array(list(map(len, cut)), np.int64)
+        stops = np.cumsum(sizes)
+        counts = np.add.reduceat(self.counts[at], stops - sizes, axis=0)
+        fine = np.logical_and.reduceat(self.fine[at], stops - sizes)
+        # Distinct chunks of each text, then distinct pairs of those.
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        keys, times = np.unique(owner << 32 | at, return_counts=True)
+        owner, at = keys >> 32, keys & ((1 << 32) - 1)
+        n = self.n_pairs[at]
+        first = (np.cumsum(self.n_pairs) - self.n_pairs)[at]
+        pair = self.pairs[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+        keys, where = np.unique(np.repeat(owner, n) << 32 | pair, return_inverse=True)
+        times = np.bincount(where, np.repeat(times, n)).astype(np.int64)
+        codes = self.codes[keys & ((1 << 32) - 1)]
+        ends = np.searchsorted(keys >> 32, np.arange(len(texts)), side="right")
+        low = 0
+        for i, (stop, end) in enumerate(zip(stops.tolist(), ends.tolist())):
+            groups = ";".join(map(self.groups.__getitem__, ids[stop - len(cut[i]) : stop]))
+            yield (counts[i] if fine[i] else None), groups, codes[low:end], times[low:end]
+            low = end
+
+    def align(self, texts: list[str | None], digest: bool) -> list[tuple[list[int], str, np.ndarray, np.ndarray]]:
+        """([n_a, n_b, n_groups, n_links], groups, codes of distinct pairs, times each is
+        linked) of each text."""
+        done = [[np.zeros(4, np.int64), hashlib.sha256(), [], [], True] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+
+        def work() -> None:
+            for (i, _), (counts, groups, codes, times) in zip(waiting, self.parts([t for _, t in waiting])):
+                one = done[i]
+                if counts is None or not one[4]:
+                    one[4] = False
+                    continue
+                said = (";" if one[0][0] else "") + groups
+                one[1].update(said.encode())
+                one[0] += counts
+                if not digest:
+                    one[2].append(said)
+                one[3].append((codes, times))
+            waiting.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            for part in self.cut(text) if text else ():
+                waiting.append((i, part))
+                held += len(part)
+                if held > TEXT_IN_PIECE:
+                    work()
+                    held = 0
+        if waiting:
+            work()
+        out = []
+        for n, seen, said, pairs, fine in done:
+            if not fine or not n[0]:
+                out.append(([0, 0, 0, 0], "", np.empty(0, np.int64), np.empty(0, np.int64)))
+                continue
+            codes, times = pairs[0]
+            if len(pairs) > 1:
+                codes, where = np.unique(np.concatenate([c for c, _ in pairs]), return_inverse=True)
+                times = np.bincount(where, np.concatenate([t for _, t in pairs])).astype(np.int64)
+            out.append((n.tolist(), seen.hexdigest() if digest else "".join(said), codes, times))
+        return out
 
 
 _ALIGNERS: dict[int, Aligner] = {}
@@ -200,10 +314,12 @@ def packed_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[bytes, byt
     sizes = np.array([len(codes) for codes, _ in found], np.int64)
     codes = np.concatenate([codes for codes, _ in found])
     pairs, at, holders = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.lexsort((at, np.repeat(np.arange(len(sizes)), sizes)))
+    at = at[order]
     steps = np.diff(at, prepend=0)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     steps[starts] = at[starts]
-    times = np.concatenate([times for _, times in found])
+    times = np.concatenate([times for _, times in found])[order]
     matrix = blobs.pack(packed(sizes), packed(steps), packed(times))
     return matrix, blobs.pack(packed(np.diff(pairs, prepend=0)), packed(holders))
 
@@ -241,7 +357,6 @@ def align_tokenizers(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest: bool = False,
-    pairs_sent: int = PAIRS_SENT,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs): tokens A of space + text by a byte-level vocabulary, against tokens B
     of the text by a piece model that puts the space before it.
@@ -267,34 +382,34 @@ def align_tokenizers(
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*sent.value)
-        task, number, ids, found, held = TaskContext.get().partitionId(), 0, [], [], 0
-        schema = None
+        task, number, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def batch() -> pa.RecordBatch:
+            found = aligner.align(texts, digest)
             matrix, pairs = packed_batch([x[2:] for x in found])
-            columns = {"batch": [task << 32 | number], "row_id": [pa.concat_arrays(ids)]}
-            columns |= {c: [[x[0][k] for x in found]] for k, c in enumerate(NUMBERS)}
-            columns |= {"groups": [[x[1] for x in found]], "matrix": [matrix], "pairs": [pairs]}
-            return pa.RecordBatch.from_pydict({k: pa.array([v[0].to_pylist()], pa.list_(ids[0].type)) if k == "row_id" else v for k, v in columns.items()}, schema=schema)
+            row_id = pa.concat_arrays(ids)
+            columns = {
+                "batch": pa.array([task << 32 | number]),
+                "row_id": pa.ListArray.from_arrays(pa.array([0, len(row_id)], pa.int32()), row_id),
+                **{c: pa.array([[x[0][k] for x in found]], pa.list_(pa.int64())) for k, c in enumerate(NUMBERS)},
+                "groups": pa.array([[x[1] for x in found]], pa.list_(pa.string())),
+                "matrix": pa.array([matrix], pa.binary()),
+                "pairs": pa.array([pairs], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
         for part in parts:
-            if schema is None:
-                plain = [(c, pa.list_(pa.int64())) for c in NUMBERS]
-                schema = pa.schema(
-                    [("batch", pa.int64()), ("row_id", pa.list_(part["row_id"].type)), *plain, ("groups", pa.list_(pa.string())), ("matrix", pa.binary()), ("pairs", pa.binary())]
-                )
             start = 0
-            for i, text in enumerate(part["text"]):
-                text = text.as_py()
-                found.append(aligner.align(text, digest))
+            for i, text in enumerate(part["text"].to_pylist()):
+                texts.append(text)
                 held += len(text or "") + 64
                 if held > BYTES_IN_BATCH:
                     ids.append(part["row_id"].slice(start, i + 1 - start))
                     yield batch()
-                    start, number, ids, found, held = i + 1, number + 1, [], [], 0
+                    start, number, ids, texts, held = i + 1, number + 1, [], [], 0
             if start < part.num_rows:
                 ids.append(part["row_id"].slice(start))
-        if found:
+        if texts:
             yield batch()
 
     held = materialise(rows.mapInArrow(batches, batch_type), "aligned")
@@ -333,26 +448,12 @@ def align_tokenizers(
     def out_schema(of: pa.DataType) -> pa.Schema:
         return pa.schema([("row_id", of), *[(c, pa.int64()) for c in [*NUMBERS, "n_best", "count_sum"]], ("groups", pa.string())])
 
-    if pairs.count() <= pairs_sent:
-        table = pairs.select("code", "n_docs", "best").toPandas().sort_values("code")
-        known = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("code", "n_docs", "best")))
-
-        def told(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            code, n_docs, best = known.value
-            for part in parts:
-                for batch in part.to_pylist():
-                    at = np.searchsorted(code, unpacked_pairs(batch["pairs"])[0])
-                    schema = out_schema(part.schema.field("row_id").type.value_type)
-                    yield from _weighed_table(batch, n_docs[at], best[at], schema).to_batches()
-
-        done = held.mapInArrow(told, out)
-    else:
-        done = _weigh_by_join(held, pairs, out, out_schema)
+    done = _weigh(held, pairs, out, out_schema)
     documents = done.select(F.col("row_id").alias(id_col), *NUMBERS, "n_best", "count_sum", "groups")
     return documents, pairs.drop("code")
 
 
-def _weigh_by_join(held: DataFrame, pairs: DataFrame, out: T.StructType, out_schema) -> DataFrame:
+def _weigh(held: DataFrame, pairs: DataFrame, out: T.StructType, out_schema) -> DataFrame:
     """Each batch asks for its own pairs, and gets them back in order."""
 
     def asked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

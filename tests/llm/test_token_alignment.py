@@ -93,15 +93,14 @@ def test_gallop_finds_ranks():
         assert token_alignment.gallop(short, long).tolist() == np.searchsorted(long, short).tolist()
 
 
-@pytest.mark.parametrize("sent", [10**6, 0])
-def test_against_the_libraries(spark, libraries, sent, monkeypatch):
+def test_against_the_libraries(spark, libraries, monkeypatch):
     monkeypatch.setattr(token_alignment, "BYTES_IN_BATCH", 2000)
     rng = random.Random(4)
-    letters = "ab eëñ ß\n1 .'sTH日​̀"
+    letters = "ab eëñ ß\n1 .'sTH日​̀   \xa0\x1c\x85\u2003\u180e\u3000"
     texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(90))) for _ in range(60)]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[3])]
     frame = texts_frame(spark, rows).repartition(3).withColumn("groups", token_alignment.F.lit("x"))
-    docs, pairs = token_alignment.align_tokenizers(frame, A, B, pairs_sent=sent)
+    docs, pairs = token_alignment.align_tokenizers(frame, A, B)
     want, held = plain(libraries, [t for _, t in rows])
     got = sorted([tuple(r) for r in docs.collect()], key=str)
     assert got == sorted([(i, *w) for (i, _), w in zip(rows, want)], key=str)
@@ -117,16 +116,25 @@ def test_digest_empty_table_and_other_ids(spark):
     assert told == {"x": hashlib.sha256(text["x"].encode()).hexdigest(), "y": ""}
 
 
-def test_long_texts_in_pieces(libraries, monkeypatch):
-    """Pieces of a long text give what the whole gives."""
+def same(x, y):
+    return x[:2] == y[:2] and dict(zip(*map(list, x[2:]))) == dict(zip(*map(list, y[2:])))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces of a long text give what the whole gives, chunks what the text gives as one run."""
     rng = random.Random(5)
-    words = ["plain", "wörter", "x1", "don't", "  ", "\n", "日本", "end.", "And"]
+    words = ["plain", "wörter", "x1", "don't", "  ", "\n", "日本", "end.", "And", "'s", "\xa0x", "́y", "\x1cz"]
     text = " ".join(rng.choice(words) for _ in range(4000))
-    whole = token_alignment.Aligner(bpe_codec.read_vocabulary(A), token_alignment.read_model(B))
-    want = whole.align(text, False)
+    aligner = token_alignment.Aligner(bpe_codec.read_vocabulary(A), token_alignment.read_model(B))
+    (want,) = aligner.align([text], False)
+    seam, aligner.seam = aligner.seam, None
+    aligner.forget()
+    assert same(aligner.align([text], False)[0], want)
+    aligner.seam = seam
     monkeypatch.setattr(token_alignment, "TEXT_IN_PIECE", 50)
-    assert len(list(whole.cut(text))) > 100
-    got = whole.align(text, False)
-    assert got[:2] == want[:2] and all((x == y).all() for x, y in zip(got[2:], want[2:]))
-    # A text that fails in a late piece has no tokens at all.
-    assert whole.align(text + " a▁b", False)[0] == [0, 0, 0, 0]
+    monkeypatch.setattr(token_alignment, "CACHED_CHUNKS", 5)
+    assert len(list(aligner.cut(text))) > 100
+    got = aligner.align([text, None, text + " a▁b", "a▁b c d e f g", text], False)
+    assert same(got[0], want) and same(got[4], want)
+    # A text that fails in one place has no tokens at all.
+    assert [g[0] for g in got[1:4]] == [[0, 0, 0, 0]] * 3
