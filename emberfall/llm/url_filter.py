@@ -1,8 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions joined on short hash prefixes.
 
 A rule is a host and a path prefix with a verdict. A URL is expanded into
-(host suffix + path prefix) expressions: every suffix of its host at a dot, every
-prefix of its path up to and including a slash, and the empty prefix. Rules are
+(host suffix + path prefix) expressions: suffixes of its host at a dot, prefixes of its
+path up to and including a slash, and the empty prefix, none deeper than the deepest rule,
+since a longer one is no rule's: a URL of any length has a bounded number. Rules are
 indexed under the expression made of their host and of their path up to its last
 slash, so that a rule whose path ends inside a segment is found too. Both sides meet
 on the first four bytes of the expression's digest; the whole digest and the rest of
@@ -36,21 +37,19 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
+def host_suffixes(host: Column, dots: int) -> Column:
+    """The ends of a host that start at it or after a dot, with at most ``dots`` dots."""
     parts = F.split(host, r"\.", -1)
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
+    near = F.slice(parts, -F.least(F.size(parts), F.lit(dots + 1)), dots + 1)
+    n = F.size(near)
+    return F.transform(near, lambda _, i: F.array_join(F.slice(near, i + 1, n - i), "."))
 
 
-def path_prefixes(path: Column) -> Column:
-    """The empty prefix and every prefix that ends with a slash."""
-    parts = F.split(path, "/", -1)
-    n = F.size(parts)
-    ending = F.transform(
-        F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))
-    )
-    return F.when(n > 1, F.concat(F.array(F.lit("")), ending)).otherwise(F.array(F.lit("")))
+def path_prefixes(path: Column, slashes: int) -> Column:
+    """The empty prefix and every prefix that ends with one of the first ``slashes`` slashes."""
+    parts = F.split(path, "/", slashes + 1)
+    starts = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.concat(x, F.lit("/")))
+    return F.concat(F.array(F.lit("")), F.transform(starts, lambda _, i: F.array_join(F.slice(starts, F.lit(1), i + 1), "")))
 
 
 def digest(host: Column, path: Column) -> Column:
@@ -93,14 +92,17 @@ def judge_urls(
     rows = pages.select(F.col(id_col).alias("row_id"), F.col(url_col).alias("row_url"))
     urls = rows.filter(F.col("row_url").isNotNull()).select("row_url").distinct()
     parsed = urls.select("row_url", url_host(F.col("row_url")).alias("host"), url_path(F.col("row_url")).alias("path"))
+    index = index_rules(rules)
+    count = lambda c, mark: F.coalesce(F.max(F.length(c) - F.length(F.translate(c, mark, ""))), F.lit(0))
+    dots, slashes = index.agg(count("rule_host", "."), count("rule_path", "/")).first()  # one row
     spread = (
         parsed.filter("host <> ''")
-        .select("row_url", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
-        .select("row_url", "path", "suffix", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
+        .select("row_url", "path", F.explode(host_suffixes(F.col("host"), dots)).alias("suffix"))
+        .select("row_url", "path", "suffix", F.explode(path_prefixes(F.col("path"), slashes)).alias("prefix"))
         .withColumn("digest", digest(F.col("suffix"), F.col("prefix")))
         .withColumn("short", F.substring("digest", 1, 2 * PREFIX_BYTES))
     )
-    fits = spread.join(index_rules(rules), F.col("short") == F.col("rule_short")).filter(
+    fits = spread.join(index, F.col("short") == F.col("rule_short")).filter(
         (F.col("digest") == F.col("rule_digest")) & F.startswith("path", F.col("rule_path"))
     )
     rule = F.concat("rule_host", "rule_path")

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from emberfall.llm import url_filter
@@ -67,3 +69,12 @@ def test_conflicting_and_void_rules(spark):
 def test_empty_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(pages, url_filter.rules_table(spark, RULES)).collect() == []
+
+
+def test_long_urls(spark):
+    start = time.time()
+    urls = ["http://a.net/" + "x/" * 50_000, "http://example.com/de" + "/" * 50_000, "http://" + "a." * 50_000 + "org/fr/", "http://b.org/" + "y" * 200_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rules_table(spark, RULES)).collect()}
+    assert got == {0: ("net/", "block"), 1: ("example.com/de/", "block"), 2: ("org/fr/", "allow"), 3: (None, "allow")}
+    assert time.time() - start < 20
