@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, gated by keywords, overlaps resolved.
 
 Texts are normalised to words between single spaces. A rule is a priority, a label, a
-keyword and a pattern of words; the rules come from a table of licence names and
-one of wordings. A text is tried only against rules whose keyword is among its words.
+keyword and a pattern of words; the rules come from a table of licence bodies, and from
+one of names and one of wordings. A text is tried only against rules whose keyword is among its words.
 Of the places found, one that lies inside a longer one (or takes the same place with
 less priority) is suppressed; of two neighbours that still overlap, the one with the
 better priority stays, the earlier one if they are equal. The three base phrases are
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from emberfall.llm.runs import let, sums_before
 from emberfall.llm.words import KEYS, row_key, words_of
 from emberfall.workspace import materialise
 
@@ -113,6 +114,29 @@ WORDINGS = [
 ]
 
 
+# Bodies: label, keyword, words that stand in the licence's own text and in no other's. They
+# come before all wordings, since a text that quotes the licence has it whatever it is called.
+BODIES = [
+    ("mit", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit-0", "sublicense", "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("bsd-2", "redistributions", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache-2", "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("gpl-2", "redistribute", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "redistribute", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-3", "redistribute", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "affero", "gnu affero general public license as published by the free software foundation"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("cc0", "waives", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("bsl-1", "executables", "machine executable object code generated by a source language processor"),
+    ("ofl-1", "reserved", "no modified version of the font software may use the reserved font name"),
+]
+
+
 @dataclass(frozen=True)
 class Rule:
     """One signature: a pattern of whole words, tried where its keyword occurs."""
@@ -125,8 +149,9 @@ class Rule:
 
 
 def signature_rules() -> list[Rule]:
-    """All wordings of all names, strongest wording first."""
-    rules = [
+    """Bodies, then all wordings of all names, strongest wording first."""
+    rules = [Rule(0, label, keyword, body, 1.0) for label, keyword, body in BODIES]
+    rules += [
         Rule(priority, label, keyword, wording.format(name=name), score)
         for priority, score, wording in WORDINGS
         for label, keyword, name in NAMES
@@ -145,29 +170,23 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     )
 
 
-def spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-
-
 def spaced(words: Column) -> Column:
     """Words between single spaces, one before the first and one after the last."""
     return F.concat(F.lit(" "), F.array_join(words, " "), F.when(F.size(words) > 0, F.lit(" ")).otherwise(F.lit("")))
 
 
-def places(text: Column, pattern: Column) -> Column:
-    """(start, end) in words of the matches of a pattern in a spaced text."""
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    kind = "array<struct<start:int,end:int>>"
-
-    def step(done: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + spaces(x["piece"]) - 1
-        one = F.struct(start.alias("start"), (start + spaces(x["match"]) + 1).alias("end"))
-        return F.concat(done, F.array(one)).cast(kind)
-
-    return F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), matches.alias("match")), F.array().cast(kind), step
-    )
+def places(text: str, pattern: str) -> Column:
+    """(start, end) in words of the matches of a pattern in a spaced text, both as SQL."""
+    kind = "ARRAY<STRUCT<start: INT, end: INT>>"
+    spaces = lambda c: f"(length({c}) - length(replace({c}, ' ', '')))"
+    pieces = f"slice(split({text}, {pattern}, -1), 1, size(l_m))"
+    sizes = f"transform(arrays_zip({pieces}, l_m), x -> struct({spaces('x.`0`')} AS before, {spaces('x.`l_m`')} AS own))"
+    start = "(x.l_at + x.l_n.before - 1)"
+    found = f"transform(arrays_zip(l_at, l_n), x -> struct({start} AS start, ({start} + x.l_n.own + 1) AS end))"
+    placed = let("l_n", sizes, let("l_at", sums_before("transform(l_n, x -> x.before + x.own)"), found))
+    none = f"CAST(array() AS {kind})"
+    matches = f"regexp_extract_all({text}, {pattern}, 0)"
+    return F.expr(let("l_m", matches, f"IF(size(l_m) > 0, CAST({placed} AS {kind}), {none})"))
 
 
 def detections(texts: DataFrame, rules: DataFrame, keywords: list[str]) -> DataFrame:
@@ -178,7 +197,7 @@ def detections(texts: DataFrame, rules: DataFrame, keywords: list[str]) -> DataF
     return (
         tried.select(*KEYS, "spaced", F.explode("present").alias("keyword"))
         .join(rules, "keyword")
-        .select(*KEYS, "priority", "number", "label", "score", F.inline(places(F.col("spaced"), F.col("pattern"))))
+        .select(*KEYS, "priority", "number", "label", "score", F.inline(places("spaced", "pattern")))
     )
 
 
@@ -228,7 +247,7 @@ def scan_licenses(
     ).select("row_id", *KEYS, F.size("words").cast("long").alias("n_words"), spaced(F.col("words")).alias("spaced"))
     starts = []
     for phrase in BASE_PHRASES:
-        own = F.transform(places(F.col("spaced"), F.lit(f"(?<= ){phrase}(?= )")), lambda p: p["start"])
+        own = F.transform(places("spaced", f"r'(?<= ){phrase}(?= )'"), lambda p: p["start"])
         none = F.array().cast("array<int>")
         starts.append(F.when(F.contains("spaced", F.lit(f" {phrase} ")), own).otherwise(none))
     based = rows.select("row_id", *KEYS, "n_words", F.array(*starts).alias("starts"))

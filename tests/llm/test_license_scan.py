@@ -1,3 +1,5 @@
+import time
+
 from helpers import texts_frame, words
 
 from emberfall.llm import license_scan
@@ -64,3 +66,22 @@ def test_resolve(spark):
 
 def test_empty(spark):
     assert license_scan.scan_licenses(texts_frame(spark, [])).collect() == []
+
+
+def test_bodies(spark):
+    rows = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software ... sublicense"),
+        (2, "Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions"),
+        (3, "redistribution of apples is permitted"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(texts_frame(spark, rows)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd-2", 1.0), 3: ("", 0.0)}
+
+
+def test_many_phrases_and_long_texts(spark):
+    """Fifty thousand phrases in one text, and a text of many words without any, in seconds."""
+    start = time.time()
+    rows = [(1, "under the MIT license, " * 50_000), (2, "word " * 300_000 + "cc by nc")]
+    got = {r.doc_id: tuple(r)[1:6] for r in license_scan.scan_licenses(texts_frame(spark, rows)).collect()}
+    assert got == {1: (200_000, 50_000, 0, 199_996, "mit"), 2: (300_003, 1, 300_000, 300_000, "cc-by-nc")}
+    assert time.time() - start < 20
