@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfall.llm.words import KEYS, row_key, word_count, words_of
+from emberfall.llm.words import KEYS, row_key, spare_names, word_count, words_of
 from emberfall.workspace import materialise
 
 WINDOW = 10
@@ -239,7 +239,7 @@ def keep_clean(
 ) -> DataFrame:
     """The rows of ``docs`` without a hit, all columns as they are."""
     hits = marked_windows(docs, benchmark, window, id_col, text_col)
-    hits = hits.select(*[F.col(k).alias(f"hit_{k}") for k in KEYS])
-    keyed = docs.select("*", *[k.alias(f"own_{name}") for k, name in zip(row_key(id_col, text_col), KEYS)])
-    met = (F.col("own_key_id") == F.col("hit_key_id")) & (F.col("own_key_text") == F.col("hit_key_text"))
-    return keyed.join(hits, met, "left_anti").drop(*[f"own_{name}" for name in KEYS])
+    own = spare_names(docs.columns, KEYS)
+    keyed = docs.select("*", *[k.alias(name) for k, name in zip(row_key(id_col, text_col), own)])
+    hits = hits.select(*[F.col(k).alias(name) for k, name in zip(KEYS, own)])
+    return keyed.join(hits, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,8 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, context words weigh them.
 
-Every kind has one pattern, one validator and words that speak for it when they stand
-close by. All of it is column functions: the matches of a text are one array, the pieces
-between them another, and positions are running sums of their lengths. The patterns start
+Every kind has one pattern, one validator, a score and words that speak for it when they
+stand close by: such a word adds to the score. Base kinds stay whatever their score; a
+span of the method's kinds needs ``LEAST_SCORE``, so that kinds whose check proves little
+need a word beside them. All of it is SQL expressions: the matches of a text are one
+array, the pieces between them another, and positions are running sums of their lengths,
+in blocks, so that a text with very many matches costs little more a match. The patterns start
 only where a run of their first characters starts (or the last match ended) and their
 repetitions never give back, so that no text makes them slow or deep.
 """
@@ -15,61 +18,72 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberfall.llm.runs import between, blocks_of, let, most_before, sums_before
+from emberfall.llm.words import LOWER, UPPER
+
 CONTEXT_REACH = 40
+# Two matches of any kind are at least three characters apart, so that so many cover the reach.
+CONTEXT_MATCHES = 14
 SCORE_STEP = 0.25
+LEAST_SCORE = 0.5
 
 
-def digits_of(match: Column) -> Column:
-    return F.regexp_replace(match, "[^0-9]", "")
+def digits_of(match: str) -> str:
+    return f"regexp_replace({match}, '[^0-9]', '')"
 
 
-def luhn(digits: Column) -> Column:
+def luhn(digits: str) -> str:
     """Whether the last digit is the check digit of the others."""
-    backwards = F.split(F.reverse(digits), "")
-    value = lambda d, i: F.when(i % 2 == 0, d).when(d < 5, d * 2).otherwise(d * 2 - 9)
-    total = F.aggregate(
-        F.transform(backwards, lambda d, i: value(d.cast("int"), i)), F.lit(0), lambda a, b: a + b
-    )
-    return total % 10 == 0
+    value = "IF(i % 2 = 0, INT(d), IF(INT(d) < 5, INT(d) * 2, INT(d) * 2 - 9))"
+    return f"aggregate(transform(split(reverse({digits}), ''), (d, i) -> {value}), 0, (a, b) -> a + b) % 10 = 0"
 
 
-def card_fits(match: Column) -> Column:
+def card_fits(match: str) -> str:
     digits = digits_of(match)
-    return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
+    return f"IF(length({digits}) BETWEEN 12 AND 19, {luhn(digits)}, false)"
 
 
-def ip_fits(match: Column) -> Column:
+def ip_fits(match: str) -> str:
     """Every part is 255 at most, leading zeros aside."""
-    parts = F.transform(F.split(match, r"\."), lambda p: F.ltrim(p, F.lit("0")))
-    small = lambda p: F.when(F.length(p) <= 3, F.coalesce(p.try_cast("int"), F.lit(0)) <= 255).otherwise(False)
-    return F.forall(parts, small)
+    parts = rf"transform(split({match}, r'\.'), p -> ltrim('0', p))"
+    return f"forall({parts}, p -> IF(length(p) <= 3, coalesce(try_cast(p AS INT), 0) <= 255, false))"
 
 
-def phone_fits(match: Column) -> Column:
-    return F.length(digits_of(match)).between(9, 15)
+def phone_fits(match: str) -> str:
+    return f"length({digits_of(match)}) BETWEEN 9 AND 15"
 
 
-def iban_fits(match: Column) -> Column:
+def iban_fits(match: str) -> str:
     """15 to 34 characters whose number, country and check digits last, leaves 1 by 97."""
-    plain = F.regexp_replace(match, " ", "")
-    turned = F.concat(F.substring(plain, 5, 34), F.substring(plain, 1, 4))
-    codes = F.transform(F.split(turned, ""), lambda c: F.when(c.between("A", "Z"), F.ascii(c) - 55).otherwise(F.ascii(c) - 48))
-    rest = F.aggregate(codes, F.lit(0), lambda r, v: (F.when(v > 9, r * 100).otherwise(r * 10) + v) % 97)
-    return F.when(F.length(plain).between(15, 34), rest == 1).otherwise(False)
+    plain = f"replace({match}, ' ', '')"
+    turned = f"concat(substring({plain}, 5, 34), substring({plain}, 1, 4))"
+    codes = f"transform(split({turned}, ''), c -> IF(c BETWEEN 'A' AND 'Z', ascii(c) - 55, ascii(c) - 48))"
+    rest = f"aggregate({codes}, 0, (r, v) -> (IF(v > 9, r * 100, r * 10) + v) % 97)"
+    return f"IF(length({plain}) BETWEEN 15 AND 34, {rest} = 1, false)"
+
+
+def ssn_fits(match: str) -> str:
+    """A number that can have been given out: no part is zero, the first is not 666 or from 900 on."""
+    area = f"substring({match}, 1, 3)"
+    return (
+        f"({area} NOT IN ('000', '666') AND {area} < '900'"
+        f" AND substring({match}, 5, 2) <> '00' AND substring({match}, 8, 4) <> '0000')"
+    )
 
 
-def always(match: Column) -> Column:
-    return F.lit(True)
+def always(match: str) -> str:
+    return "true"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. ``gate``: a pattern every text with a match has."""
+    """A kind of personal data. ``gate``: a pattern every text with a match has. ``fits``: SQL
+    over the match. Patterns hold no quotes."""
 
     name: str
     gate: str
     pattern: str
-    fits: Callable[[Column], Column]
+    fits: Callable[[str], str]
     score: float
     context: str
 
@@ -126,55 +140,54 @@ METHOD = [
         0.75,
         "iban|bank|account|transfer|konto",
     ),
+    # Three groups of digits are common: only a word beside them tells.
+    Kind(
+        "ssn",
+        "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+        ssn_fits,
+        0.25,
+        "ssn|social|security|taxpayer|tax id",
+    ),
 ]
 
 
-def placed_matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern: array of (start, end, match)."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    # Starts: the matches and pieces before, as one fold over pairs of a piece and a match.
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"))
-    kind = "array<struct<start:int,end:int,match:string>>"
+SPANS = "ARRAY<STRUCT<start: INT, rank: INT, end: INT, kind: STRING, score: DOUBLE>>"
 
-    def step(done: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(x["piece"])
-        one = F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("match"))
-        return F.concat(done, F.array(one)).cast(kind)
 
-    return F.aggregate(pairs, F.array().cast(kind), step)
-
-
-SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
-
-
-def kind_spans(text: Column, kind: Kind, rank: int) -> Column:
+def kind_spans(text: str, kind: Kind, rank: int) -> str:
     """Confirmed spans of one kind with their scores; an empty array without any."""
-    kept = F.filter(placed_matches(text, kind.pattern), lambda s: kind.fits(s["match"]))
-
-    def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT_REACH, F.lit(0))
-        around = F.concat_ws(
-            " ",
-            F.substring(text, first + 1, s["start"] - first),
-            F.substring(text, s["end"] + 1, F.lit(CONTEXT_REACH)),
-        )
-        near = F.rlike(around, F.lit(rf"(?i)\b(?:{kind.context})"))
-        return F.struct(
-            s["start"].alias("start"),
-            F.lit(rank).alias("rank"),
-            s["end"].alias("end"),
-            F.lit(kind.name).alias("kind"),
-            (F.lit(kind.score) + F.when(near, SCORE_STEP).otherwise(0.0)).alias("score"),
-        )
-
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.rlike(text, F.lit(kind.gate)), F.transform(kept, scored).cast(f"array<{SPAN}>")).otherwise(none)
+    none, pattern = f"CAST(array() AS {SPANS})", f"r'{kind.pattern}'"
+    # A match, what stands before it, what stands after it, its place among the matches.
+    parts = (
+        "transform(l_m, (m, i) -> named_struct('match', m, 'before', get(l_p, i), 'after', get(l_p, i + 1), 'i', i))"
+    )
+    starts = sums_before("transform(l_x, x -> length(x.before) + length(x.match))")
+    fit = f"filter(l_x, x -> {kind.fits('x.match')})"
+    head = lambda c: f"substring({c}, 1, {CONTEXT_REACH})"
+    tail = lambda c: f"substring({c}, -{CONTEXT_REACH}, {CONTEXT_REACH})"
+    # Other matches are looked at only where they stand within the reach.
+    earlier = f"transform(slice(l_x, greatest(x.i - {CONTEXT_MATCHES}, 0) + 1, least(x.i, {CONTEXT_MATCHES})), y -> {tail('concat(y.before, y.match)')})"
+    later = f"transform(slice(l_x, x.i + 2, {CONTEXT_MATCHES}), y -> {head('concat(y.match, y.after)')})"
+    left = f"IF(length(x.before) >= {CONTEXT_REACH}, {tail('x.before')}, {tail(f'concat(array_join({earlier}, {chr(39) * 2}), x.before)')})"
+    right = f"IF(length(x.after) >= {CONTEXT_REACH}, {head('x.after')}, {head(f'concat(x.after, array_join({later}, {chr(39) * 2}))')})"
+    near = f"translate(concat({left}, ' ', {right}), '{UPPER}', '{LOWER}') RLIKE r'(?:^|[^a-z])(?:{kind.context})'"
+    start = "(get(l_at, x.i) + length(x.before))"
+    scored = (
+        f"transform({fit}, x -> named_struct('start', {start}, 'rank', {rank}, 'end', {start} + length(x.match),"
+        f" 'kind', '{kind.name}', 'score', {kind.score}D + IF({near}, {SCORE_STEP}D, 0D)))"
+    )
+    if rank >= len(BASE):
+        scored = f"filter({scored}, s -> s.score >= {LEAST_SCORE}D)"
+    spans = let("l_p", f"split({text}, {pattern}, -1)", let("l_x", parts, let("l_at", starts, scored)))
+    met = let("l_m", f"regexp_extract_all({text}, {pattern}, 0)", f"IF(size(l_m) > 0, CAST({spans} AS {SPANS}), {none})")
+    return f"IF({text} RLIKE r'{kind.gate}', {met}, {none})"
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", kinds: list[Kind] | None = None, into: str = "pii") -> DataFrame:
     """``docs`` with an array column ``into`` of (start, rank, end, kind, score), sorted by
-    start, then kind in the order given.
+    start, then kind in the order given. The score is the kind's, more if one of its words
+    stands within 40 characters.
 
     Starts and ends are code points, ends exclusive. Matches of a kind are leftmost and
     do not overlap; spans of different kinds may. A NULL or empty text has no spans. Rows
@@ -182,9 +195,9 @@ def find_spans(docs: DataFrame, text_col: str = "text", kinds: list[Kind] | None
     empty, other columns stay, and a column named as ``into`` is replaced.
     """
     kinds = BASE + METHOD if kinds is None else kinds
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = f"coalesce(`{text_col}`, '')"
     parts = [kind_spans(text, kind, rank) for rank, kind in enumerate(kinds)]
-    return docs.withColumn(into, F.array_sort(F.concat(*parts)))
+    return docs.withColumn(into, F.expr(f"array_sort(concat({', '.join(parts)}))"))
 
 
 def listed(spans: Column) -> Column:
@@ -197,21 +210,12 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping
-    spans the first (then the longer reach) hides the rest."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(done: Column, s: Column) -> Column:
-        fresh = F.array(
-            F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">"))
-        )
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= done["at"], F.concat(done["parts"], fresh)).otherwise(done["parts"]).alias("parts"),
-        )
-
-    def ended(done: Column) -> Column:
-        return F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, step, ended)).otherwise(text)
+def redact(text: str, spans: str) -> Column:
+    """The text (a column's name) with each span replaced by its kind in angle brackets; of
+    overlapping spans the first (then the longer reach) hides the rest."""
+    before = between("l_b", "get(l_r, i)", "s.start")
+    shown = f"transform({spans}, (s, i) -> IF(s.start >= get(l_r, i), concat({before}, '<', s.kind, '>'), ''))"
+    ends = f"transform({spans}, s -> s.end)"
+    last = between("l_b", f"array_max({ends})", f"length({text})")
+    hidden = let("l_b", blocks_of(text), let("l_r", most_before(ends), f"concat(array_join({shown}, ''), {last})"))
+    return F.expr(f"IF(size({spans}) > 0, {hidden}, {text})")

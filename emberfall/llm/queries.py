@@ -228,32 +228,52 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-def _pii_kind_sql(name: str, rank: int, pattern: str, fits: str) -> str:
-    """(doc, start, rank, end, kind) of one kind's confirmed matches."""
+def _pii_kind_sql(name: str, rank: int, pattern: str, fits: str, score: int, context: str) -> str:
+    """(doc, start, rank, end, kind, score in percent) of one kind's confirmed matches."""
     return f"""
-SELECT n, {rank} AS rank, '{name}' AS kind, start, start + length(m) AS stop FROM (
-  SELECT n, unnest(ms) AS m, unnest(list_transform(ms, lambda x, i:
-           list_sum(list_transform(ps[1:i], lambda y: length(y)))
-           + coalesce(list_sum(list_transform(ms[1:i - 1], lambda y: length(y))), 0))) AS start
-  FROM (SELECT n, regexp_extract_all(text, '{pattern}') AS ms,
+SELECT n, {rank} AS rank, '{name}' AS kind, start, start + length(m) AS stop,
+  {score} + CASE WHEN regexp_matches(translate(
+      right(substr(text, 1, start), 40) || ' ' || substr(text, start + length(m) + 1, 40),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:^|[^a-z])(?:{context})')
+    THEN 25 ELSE 0 END AS score FROM (
+  SELECT n, text, unnest(ms) AS m, unnest(list_transform(ms, lambda x, i:
+           CAST(list_sum(list_transform(ps[1:i], lambda y: length(y)))
+           + coalesce(list_sum(list_transform(ms[1:i - 1], lambda y: length(y))), 0) AS BIGINT))) AS start
+  FROM (SELECT n, text, regexp_extract_all(text, '{pattern}') AS ms,
                string_split_regex(text, '{pattern}') AS ps FROM texts) WHERE len(ms) > 0)
 WHERE {fits}"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _IBAN = "replace(m, ' ', '')"
+
+
+def _iban_sql() -> str:
+    """Account numbers of a country have its length; of other countries, and shorter ones, any."""
+    known = "|".join(
+        f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
+        + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+        + ")"
+        for n, names in pii.IBAN_COUNTRIES.items()
+    )
+    return known + "|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+
+
+_IBAN_PATTERN = _iban_sql()
 PII_SQL = (
     "WITH texts AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS text FROM documents), base AS ("
     + " UNION ALL ".join(
         _pii_kind_sql(*kind)
         for kind in [
-            ("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+            ("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 75, "mail|contact|write|reply|address"),
             (
                 "ip",
                 1,
                 r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
                 "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3"
                 " AND coalesce(try_cast(ltrim(p, '0') AS int), 0) <= 255))",
+                50,
+                "ip|host|server|address|login|client",
             ),
             (
                 "card",
@@ -261,41 +281,64 @@ PII_SQL = (
                 r"[0-9]([\x20-]?[0-9])+",
                 f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''),"
                 " lambda d, i: CASE WHEN i % 2 = 1 THEN d::int WHEN d::int < 5 THEN d::int * 2 ELSE d::int * 2 - 9 END)) % 10 = 0",
+                75,
+                "card|visa|credit|payment|debit|account",
             ),
-            ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+            ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 50, "phone|call|tel|mobile|fax|contact"),
         ]
     )
     + "), added AS ("
     + _pii_kind_sql(
         "iban",
         4,
-        r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
+        _IBAN_PATTERN,
         f"length({_IBAN}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split("
         f"substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55"
         " ELSE ascii(c) - 48 END), lambda r, v: ((CASE WHEN v > 9 THEN r * 100 ELSE r * 10 END) + v) % 97) = 1",
+        75,
+        "iban|bank|account|transfer|konto",
+    )
+    + " UNION ALL "
+    # No pattern of the other engine looks around, so its neighbours are seen in the text.
+    + _pii_kind_sql(
+        "ssn",
+        5,
+        "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 3) < '900' AND substr(m, 5, 2) <> '00'"
+        " AND substr(m, 8, 4) <> '0000' AND NOT regexp_matches(substr(text, start, CASE WHEN start = 0 THEN 0 ELSE 1 END), '[0-9-]')"
+        " AND NOT regexp_matches(substr(text, start + 12, 1), '[0-9-]')",
+        25,
+        "ssn|social|security|taxpayer|tax id",
     )
     + """
-), whole AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+), whole AS (SELECT * FROM base UNION ALL SELECT * FROM added WHERE score >= 50),
 listed AS (
   SELECT n, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
-         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+         string_agg(CAST(score AS VARCHAR), ',' ORDER BY start, rank) AS scores
   FROM whole GROUP BY n)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(scores, '') AS scores
 FROM texts LEFT JOIN listed USING (n)"""
 )
 
 
 @query("op7_pii", PII_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every text: counts by base kind, digest of base spans, all spans."""
+    """Personal data in every text: counts by base kind, digest of base spans, all spans and
+    their scores in percent."""
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), into="spans")
     base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE))
     counts = [pii.count_of(F.col("spans"), kind.name).alias(f"n_{kind.name}") for kind in pii.BASE]
     return found.select(
-        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int")), ",").alias("scores"),
     )
 
 

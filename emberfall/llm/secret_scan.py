@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberfall.llm import pii
 from emberfall.llm.words import bound_batches
 
 THRESHOLD = 0.5
@@ -313,8 +314,6 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets")
     return docs.withColumn(into, found(F.col(text_col)))
 
 
-def redact(text: Column, spans: Column) -> Column:
+def redact(text: str, spans: str) -> Column:
     """The text with every secret replaced by its kind; see ``pii.redact``."""
-    from emberfall.llm import pii
-
     return pii.redact(text, spans)

@@ -12,7 +12,8 @@ it meet in one task each. A task returns a spanning forest of the links it finds
 never all pairs, so that a large group of near copies stays linear; components of the
 forests are the components of all links. With several blocks, a pair within the radius has
 a block in which it differs in at most its share of the radius: one index per block
-prunes by that share, and the whole distance decides.
+prunes by that share, and the whole distance decides. The driver pairs up a bounded number
+of upper nodes; where there are more groups than that, a join pairs the groups below them.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ from pyspark.sql import functions as F
 
 from emberfall.llm import blobs
 from emberfall.llm.components import components
-from emberfall.llm.similar import similar_links
-from emberfall.llm.words import KEYS, bound_batches, row_key
+from emberfall.llm.words import KEYS, bound_batches, row_key, spare_names
 from emberfall.workspace import materialise
 
 SEED = 42
 FAN_OUT = 8
 NODES_AT_ONCE = 1 << 13
 CODES_IN_GROUP = 128_000
-FEWEST_GROUPS, MOST_GROUPS = 8, 1024
+FEWEST_GROUPS = 8
+#: What the driver pairs up per block: groups, or runs of groups if there are more.
+UPPER_NODES = 1024
 # Odd factors that turn one shingle hash into further independent ones.
 LANE_FACTORS = [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
@@ -210,7 +212,7 @@ def near_links(prints: DataFrame, bits: int, radius: int, blocks: int) -> DataFr
     all that differ in at most ``radius`` bits."""
     lanes = bits // 64
     n = prints.count()
-    groups = min(max(-(-n // CODES_IN_GROUP), FEWEST_GROUPS), MOST_GROUPS)
+    groups = max(-(-n // CODES_IN_GROUP), FEWEST_GROUPS)
     spark = prints.sparkSession
 
     def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +226,7 @@ def near_links(prints: DataFrame, bits: int, radius: int, blocks: int) -> DataFr
     cuts = (
         prints.mapInPandas(keyed, "block int, key long")
         .groupBy("block")
-        .agg(F.percentile_approx("key", shares, 10_000).alias("cuts"))
+        .agg(F.percentile_approx("key", shares, max(10_000, 10 * groups)).alias("cuts"))
         .collect()  # at most ``blocks`` rows of ``groups - 1`` numbers
     )
     cuts = {r.block: np.array(r.cuts, np.int64) for r in cuts}
@@ -260,18 +262,25 @@ def near_links(prints: DataFrame, bits: int, radius: int, blocks: int) -> DataFr
         .applyInArrow(gathered, "block int, grp int, both long, any long, cell binary"),
         "gray-index",
     )
-    nodes = index.select("block", "grp", "both", "any").toPandas()  # at most blocks x MOST_GROUPS rows
+    run = -(-groups // UPPER_NODES)
+    nodes = index.select("block", "grp", "both", "any", F.floor(F.col("grp") / run).cast("int").alias("upper"))
+    uppers = nodes.groupBy("block", "upper").agg(F.bit_and("both").alias("both"), F.bit_or("any").alias("any"))
     meet = []
-    for block, part in nodes.groupby("block"):
-        grp = part["grp"].to_numpy()
+    for block, part in uppers.toPandas().groupby("block"):  # at most blocks x UPPER_NODES rows
+        upper = part["upper"].to_numpy()
         # Spark has signed numbers only, whose bits numpy counts by absolute value.
         both, any_ = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("both", "any"))
         near = apart(both[:, None], any_[:, None], both[None, :], any_[None, :]) <= radius // blocks
-        a, b = np.nonzero(near & (grp[:, None] <= grp[None, :]))
-        meet.append(pd.DataFrame({"block": np.int32(block), "a": grp[a].astype("int32"), "b": grp[b].astype("int32")}))
+        a, b = np.nonzero(near & (upper[:, None] <= upper[None, :]))
+        meet.append(pd.DataFrame({"block": np.int32(block), "upper_a": upper[a].astype("int32"), "upper_b": upper[b].astype("int32")}))
     if not meet:
         return spark.createDataFrame([], "u string, v string")
-    units = F.broadcast(spark.createDataFrame(pd.concat(meet), "block int, a int, b int"))
+    units = spark.createDataFrame(pd.concat(meet), "block int, upper_a int, upper_b int")
+    side = lambda s: nodes.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("upper", "grp", "both", "any")])
+    differ = lambda x, y: F.col(f"both_{x}").bitwiseAND(F.bitwise_not(F.col(f"any_{y}")))
+    units = units.join(side("a"), ["block", "upper_a"]).join(side("b"), ["block", "upper_b"])
+    units = units.filter((F.col("grp_a") <= F.col("grp_b")) & (F.bit_count(differ("a", "b").bitwiseOR(differ("b", "a"))) <= radius // blocks))
+    units = materialise(units.select("block", F.col("grp_a").alias("a"), F.col("grp_b").alias("b")), "group-pairs")
     cells = index.select("block", "grp", "cell")
     left = cells.join(units, (cells.grp == units.a) & (cells.block == units.block)).select(
         cells.block, "a", "b", "grp", "cell"
@@ -288,13 +297,12 @@ def near_links(prints: DataFrame, bits: int, radius: int, blocks: int) -> DataFr
 
 def near_duplicates(
     docs: DataFrame,
-    shingle: int = 5,
-    bits: int = 128,
-    radius: int = 25,
-    blocks: int = 8,
+    shingle: int = 3,
+    bits: int = 64,
+    radius: int = 3,
+    blocks: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
-    similarity: float | None = None,
 ) -> DataFrame:
     """(doc_id, key_id, key_text, fingerprint, component_id, root), one row per row of ``docs``.
 
@@ -303,74 +311,29 @@ def near_duplicates(
     NULL and empty texts have the fingerprint zero and are linked like any other. NULL ids
     keep their rows and are the component's id only where there is no other. Repeated rows
     and ids keep a row each; where unrelated texts share an id, components may share their
-    id too, and only ``root`` tells them apart. An empty table gives no rows. Other columns are not carried.
-
-    With ``similarity``, fingerprints are of distinct shingles and only propose: components
-    of near fingerprints are candidates, within which documents are linked if the Jaccard
-    similarity of their sets of shingles is ``similarity`` or more. Shingles are equal if
-    their 64-bit hashes are. Texts without words have the empty set and are alike.
-
-    The default links documents whose fingerprints of five-word shingles agree in four
-    bits of five or more.
+    id too, and only ``root`` tells them apart. An empty table gives no rows. Other columns are not
+    carried.
     """
     bound_batches(docs.sparkSession)
     lanes = bits // 64
 
-    def hashes_of(text: str | None) -> np.ndarray:
-        hashes = shingle_hashes(text, shingle)
-        return hashes if similarity is None else np.unique(hashes)
-
-    @F.pandas_udf("struct<print:string,marks:string,n:long>")
-    def printed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def printed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            codes, marks, sizes = [], [], []
-            for hashes in map(hashes_of, texts):
-                codes.append(fingerprint(hashes, lanes))
-                marks.append("" if similarity is None else xxhash.xxh3_128_hexdigest(hashes.tobytes()))
-                sizes.append(len(hashes))
-            prints = hexed(np.array(codes, np.uint64).reshape(-1, lanes))
-            yield pd.DataFrame({"print": pd.Series(prints, dtype="object"), "marks": pd.Series(marks, dtype="object"), "n": sizes})
-
-    rows = docs.select(F.col(id_col).alias("row_id"), *row_key(id_col, text_col), printed(F.col(text_col)).alias("seen"))
-    rows = materialise(rows.select("row_id", *KEYS, F.col("seen.print"), F.col("seen.marks"), F.col("seen.n")), "prints")
-    # Without ``similarity`` the fingerprint is the node, else it and the digest of the set.
-    nodes = rows.withColumn("node", F.concat("print", "marks")).groupBy("node").agg(
-        F.min("print").alias("print"), F.min("row_id").alias("least_id"), F.min("n").alias("n"), F.min(F.struct(*KEYS)).alias("text_key")
-    )
-    nodes = materialise(nodes, "print-nodes")
-    prints = nodes.select("print")
-    if similarity is not None:
-        prints = materialise(prints.distinct(), "distinct-prints")
-    links = near_links(prints, bits, radius, blocks)
+            codes = [fingerprint(shingle_hashes(t, shingle), lanes) for t in texts]
+            yield pd.Series(hexed(np.array(codes, np.uint64).reshape(-1, lanes)), dtype="object")
+
+    rows = docs.select(F.col(id_col).alias("row_id"), *row_key(id_col, text_col), printed(F.col(text_col)).alias("print"))
+    rows = materialise(rows, "prints")
+    nodes = materialise(rows.groupBy("print").agg(F.min("row_id").alias("least_id")), "print-nodes")
+    links = near_links(nodes.select("print"), bits, radius, blocks)
     roots = components(links).withColumnRenamed("node", "print")
     rooted = nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     rooted = materialise(rooted, "rooted")
-    if similarity is not None:
-
-        @F.pandas_udf("binary")
-        def hashed(texts: pd.Series) -> pd.Series:
-            return pd.Series([hashes_of(t).tobytes() for t in texts], dtype="object")
-
-        first = F.struct(F.col("least_id").isNull(), "least_id", "node").alias("first")
-        groups = rooted.groupBy("root").agg(F.count("*").alias("members"), F.min(first).alias("first"))
-        groups = materialise(groups.filter("members > 1").select("root", F.col("first.node").alias("pivot_node")), "candidates")
-        members = materialise(
-            rooted.join(groups, "root").select("node", "root", "n", (F.col("node") == F.col("pivot_node")).alias("pivot"), "text_key.*"),
-            "members",
-        )
-        # Rows that repeat id and text are equal, so any of them serves.
-        keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("row_text"))
-        sets = keyed.join(members, KEYS).select("node", "root", "pivot", "n", hashed("row_text").alias("cell"))
-        sets = materialise(sets.dropDuplicates(["node"]), "shingle-sets")
-        roots = components(similar_links(sets, similarity)).withColumnRenamed("root", "similar_root")
-        rooted = rooted.drop("root").join(roots, "node", "left").select(
-            "node", "least_id", F.coalesce("similar_root", "node").alias("root")
-        )
-        rooted = materialise(rooted, "similar-rooted")
     # Written down, so that the join back is between scans and a large component can be split.
     least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
-    of_node = materialise(rooted.join(least, "root").select("node", "component_id", "root"), "component-of-node")
-    return rows.withColumn("node", F.concat("print", "marks")).join(of_node, "node").select(
+    of_print = materialise(rooted.join(least, "root").select("print", "component_id", "root"), "component-of-print")
+    return rows.join(of_print, "print").select(
         F.col("row_id").alias(id_col), *KEYS, F.col("print").alias("fingerprint"), "component_id", "root"
     )
 
@@ -384,10 +347,8 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     first = F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), *KEYS)
     stay = found.groupBy("root").agg(F.min(first).alias("first"))
     stay = materialise(stay.select("first.key_id", "first.key_text"), "kept-rows")
-    keyed = docs.select("*", *[k.alias(f"near_{name}") for k, name in zip(row_key(id_col, text_col), KEYS)])
-    kept = keyed.join(
-        stay,
-        (keyed.near_key_id == stay.key_id) & (keyed.near_key_text == stay.key_text),
-        "left_semi",
-    )
-    return kept.dropDuplicates([f"near_{name}" for name in KEYS]).drop(*[f"near_{name}" for name in KEYS])
+    own = spare_names(docs.columns, KEYS)
+    keyed = docs.select("*", *[k.alias(name) for k, name in zip(row_key(id_col, text_col), own)])
+    stay = stay.select(*[F.col(k).alias(name) for k, name in zip(KEYS, own)])
+    kept = keyed.join(stay, own, "left_semi")
+    return kept.dropDuplicates(own).select(*[F.col(f"`{c}`") for c in docs.columns])

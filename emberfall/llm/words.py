@@ -49,3 +49,14 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 
 KEYS = ["key_id", "key_text"]
+
+
+def spare_names(taken: list[str], names: list[str]) -> list[str]:
+    """``names``, each with as many underscores before it as make it unlike all of ``taken``."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -72,3 +72,10 @@ def test_every_long_shared_span_is_found(spark):
         docs.append((s, " ".join(before + item[s : s + 10] + ["end"])))
     got, _, _ = run(spark, docs, [(1, " ".join(item))])
     assert all(n_hit == 10 for _, _, n_hit, _ in got)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "q r s t", "x", "y"), (2, "other", "x", "y")], "doc_id long, text string, KEY_ID string, _key_id string")
+    bench = spark.createDataFrame([(1, "q r s t")], "item_id long, text string")
+    kept = decontamination.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]

@@ -91,7 +91,7 @@ def test_base_kinds_against_the_contract(spark):
 def test_redaction(spark):
     text = 'My token = "abcd-1234-efgh" and on'
     frame = secret_scan.find_secrets(texts_frame(spark, [(1, text), (2, None), (3, "plain")]))
-    out = {r.doc_id: r.out for r in frame.select("doc_id", secret_scan.redact(frame["text"], frame["secrets"]).alias("out")).collect()}
+    out = {r.doc_id: r.out for r in frame.select("doc_id", secret_scan.redact("text", "secrets").alias("out")).collect()}
     assert out == {1: 'My <assign>" and on', 2: None, 3: "plain"}
 
 
