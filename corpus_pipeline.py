@@ -44,7 +44,7 @@ def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: every span is replaced by its kind; ``n_chars`` follows the text."""
     found = pii.find_spans(docs, into="spans")
-    hidden = found.withColumn("text", pii.redact(F.col("text"), F.col("spans")))
+    hidden = found.withColumn("text", pii.redact("text", "spans"))
     n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return hidden.withColumn("n_chars", n_chars).select(*COLUMNS)
 
