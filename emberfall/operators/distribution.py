@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberfall.functions.measures import is_finite
-from emberfall.operators.ranks import exact_quantiles
+from emberfall.operators.ranks import exact_quantiles, positions_of_counts
 from emberfall.workspace import materialise
 
 # Fixed values of the normal reference rules for a kernel bandwidth.
@@ -28,6 +28,8 @@ IQR_TO_SD = 1.34
 # value may exceed an edge.
 FLAT_WIDTH = 0.1
 EDGE_SLACK = 1e-8
+# Places in order that one window of the local regression covers.
+POINTS_IN_BLOCK = 4096
 # Tasks that may share the points of one group in the 2-D density.
 SALTS = 16
 
@@ -326,45 +328,93 @@ def _cube(c: Column) -> Column:
     return c * c * c
 
 
+def _near_count(n: Column, span: float) -> Column:
+    """How many points of ``n`` a neighbourhood holds."""
+    return F.greatest(F.least(F.floor(n * span + 1e-5), n), F.lit(1))
+
+
+def _reach_ends(places: DataFrame, by: list[str], span: float) -> DataFrame:
+    """(low end, high end) of every run of as many neighbouring points as a neighbourhood
+    holds, one per distinct abscissa that starts one.
+
+    The point at the far end is looked up by its place in blocks of POINTS_IN_BLOCK places:
+    a block's window holds the abscissae that have places in it, and who asks for one.
+    """
+    near = _near_count(F.col("n_group"), span)
+    far = F.col("n_less") + near - 1
+    block = lambda c: F.floor(c / POINTS_IN_BLOCK)
+    held = places.withColumn(
+        "_block", F.explode(F.sequence(block(F.col("n_less")), block(F.col("n_less") + F.col("n_equal") - 1)))
+    )
+    held = held.select(
+        *by, "_block", F.greatest("n_less", F.col("_block") * POINTS_IN_BLOCK).alias("_at"), F.lit(0).alias("_asks"), F.col("x").alias("_high"), F.lit(None).cast("double").alias("_low")
+    )
+    asked = places.filter(far < F.col("n_group")).select(
+        *by, block(far).alias("_block"), far.alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast("double").alias("_high"), F.col("x").alias("_low")
+    )
+    along = Window.partitionBy(*by, "_block").orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = held.unionByName(asked).withColumn("_high", F.last("_high", ignorenulls=True).over(along))
+    return found.filter("_asks = 1").select(*by, "_low", "_high")
+
+
+def _grid_reach(places: DataFrame, by: list[str], span: float, points: int) -> DataFrame:
+    """Grid points of each group and the distance to the farthest of their neighbours.
+
+    Of all runs of neighbouring points, the nearest to a grid point is the last whose middle
+    does not lie beyond it, or the first whose middle does. Runs are reduced to the last and
+    the first between two grid points, so that a window holds one row per grid point.
+    """
+    last = points - 1
+    ranges = places.groupBy(*by).agg(F.min("x").alias("_first"), F.max("x").alias("_last"))
+    ranges = materialise(ranges, "x-ranges")
+    ends = _reach_ends(places, by, span).join(ranges, by)
+    step = (F.col("_last") - F.col("_first")) / last
+    place = F.ceil(F.try_divide((F.col("_low") + F.col("_high")) / 2 - F.col("_first"), step))
+    place = F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(points)).cast("int")
+    ends = ends.groupBy(*by, place.alias("i")).agg(
+        F.max(F.struct("_low", "_high")).alias("_below"), F.min(F.struct("_high", "_low")).alias("_above")
+    )
+    grid = ranges.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points)))).join(ends, [*by, "i"], "left")
+    along = Window.partitionBy(*by).orderBy("i")
+    grid = grid.withColumn("_below", F.max("_below").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    grid = grid.withColumn("_above", F.min("_above").over(along.rowsBetween(1, Window.unboundedFollowing)))
+    grid = grid.filter(F.col("i") < points).withColumn(
+        "x0", F.col("_first") + (F.col("_last") - F.col("_first")) * F.col("i") / last
+    )
+    away = lambda c: F.greatest(F.col("x0") - F.col(f"{c}._low"), F.col(f"{c}._high") - F.col("x0"))
+    return grid.select(*by, "i", "x0", F.least(away("_below"), away("_above")).alias("radius"))
+
+
 def loess_curve(
     df: DataFrame, y: str, x: str, by: Sequence[str], span: float = 0.75, points: int = 80
 ) -> DataFrame:
     """Local quadratic fit with tricube weights on an even grid over the x range.
 
-    Weights depend on x alone, so rows are first reduced to the count and the sum
-    of y per distinct x; the grid meets those, not the rows. A neighbourhood of two
+    Weights depend on x alone, so rows are first reduced to the count and the sum of y per
+    distinct x. The distance that a grid point reaches comes from places in order, block by
+    block; a distinct x then meets only the grid points that reach it, and their sums are
+    combined before the shuffle. No window or task holds a group. A neighbourhood of two
     distinct x is fitted by a line, one of a single x by its mean.
     """
     by = list(by)
     reduced = (
         df.filter(is_finite(F.col(y)) & is_finite(F.col(x)))
         .groupBy(*by, F.col(x).cast("double").alias("x"))
-        .agg(F.count("*").alias("m"), F.sum(y).alias("y_sum"))
+        .agg(F.count("*").alias("n_equal"), F.sum(y).alias("y_sum"))
     )
-    reduced = materialise(reduced, "abscissae")
-    ranges = reduced.groupBy(*by).agg(
-        F.sum("m").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
+    places = materialise(positions_of_counts(reduced, "x", by), "abscissae")
+    grid = _grid_reach(places, by, span, points)
+    spots = grid.groupBy(*by).agg(F.collect_list(F.struct("i", "x0", "radius")).alias("spots"))
+    distance = lambda s: F.abs(F.col("x") - s["x0"])
+    reached = F.filter(
+        "spots", lambda s: (distance(s) < s["radius"] * 0.999) | (distance(s) <= s["radius"] * 0.001)
     )
-    near = F.floor(F.col("n") * span + 1e-5)
-    at = reduced.join(ranges, by).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    )
-    spot = F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (points - 1)
-    at = at.withColumn("x0", spot).select(
-        *by,
-        "i",
-        "x",
-        "m",
-        "y_sum",
-        "x0",
-        F.abs(F.col("x") - F.col("x0")).alias("distance"),
-        F.greatest(near, F.lit(1)).alias("near"),
+    at = (
+        places.join(spots, by)
+        .select(*by, "x", F.col("n_equal").alias("m"), "y_sum", F.explode(reached).alias("spot"))
+        .select(*by, "x", "m", "y_sum", "spot.*")
+        .withColumn("distance", F.abs(F.col("x") - F.col("x0")))
     )
-    point = Window.partitionBy(*by, "i")
-    reached = F.sum("m").over(point.orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
-    at = at.withColumn("reached", reached)
-    radius = F.min(F.when(F.col("reached") >= F.col("near"), F.col("distance"))).over(point)
-    at = at.withColumn("radius", radius)
     d, r = F.col("distance"), F.col("radius")
     weight = (
         F.when(d <= r * 0.001, F.lit(1.0))

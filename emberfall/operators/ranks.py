@@ -34,6 +34,14 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
         .groupBy(*by, value)
         .agg(F.count("*").alias("n_equal"))
     )
+    return positions_of_counts(counts, value, by)
+
+
+def positions_of_counts(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``value_positions`` of values already counted: one row per group and distinct value,
+    with ``n_equal``. Other columns stay."""
+    by = list(by)
+    others = [c for c in counts.columns if c not in (*by, value, "n_equal")]
     blocks = materialise(
         counts.repartitionByRange(*by, value).withColumn("block", F.spark_partition_id()),
         "blocks",
@@ -60,6 +68,7 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     return blocks.join(totals, [*by, "block"]).select(
         *by,
         value,
+        *others,
         "n_equal",
         "n_group",
         (F.col("before_block") + F.coalesce(F.sum("n_equal").over(in_block), F.lit(0))).alias(

@@ -1,10 +1,12 @@
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberfall.operators import distribution
+from emberfall.workspace import materialise
 
 
 def points(spark, groups):
@@ -139,3 +141,38 @@ def test_local_regression_with_few_abscissae(spark):
     fits = {(r.g, r.i): r.fit for r in got}
     assert fits[("a", 0)] == pytest.approx(2.0)
     assert fits[("b", 0)] == 7.0
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_local_regression_over_blocks_and_ties(spark, block, monkeypatch):
+    """Hot abscissae that cover many blocks, and groups of one x, beside spread ones."""
+    monkeypatch.setattr(distribution, "POINTS_IN_BLOCK", block)
+    rng = np.random.default_rng(5)
+    groups = {
+        "ties": np.repeat([0.0, 1.0, 2.5, 7.0, 9.0, 9.5], [40, 3, 1, 60, 2, 9]),
+        "spread": rng.exponential(3.0, 150),
+        "one": np.full(30, 4.0),
+    }
+    rows = [(g, float(v), float(np.cos(v / 3) + e)) for g, x in groups.items() for v, e in zip(x, rng.normal(0, 0.1, len(x)))]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = distribution.loess_curve(df, "y", "x", ["g"], points=23).collect()
+    assert len(got) == 69
+    for r in got:
+        x = np.array([b for a, b, _ in rows if a == r.g])
+        y = np.array([c for a, _, c in rows if a == r.g])
+        if r.g == "one":
+            assert r.fit == pytest.approx(y.mean())
+        elif r.g == "spread" or len(np.unique(x[np.abs(x - r.x) < 0.999 * np.sort(np.abs(x - r.x))[int(len(x) * 0.75 + 1e-5) - 1]])) > 2:
+            assert r.fit == pytest.approx(weighted_fit(x, y, r.x), abs=1e-5)
+
+
+def test_local_regression_of_a_million_abscissae(spark):
+    """Real-valued x: no window holds the group, and the curve is found in seconds."""
+    x = (F.xxhash64("id") % 1_000_000_007 / 1e9 + 0.000001 * F.col("id")).cast("double")
+    df = spark.range(1_000_000).select(F.lit("a").alias("g"), x.alias("x")).withColumn("y", F.col("x") * F.col("x") - 1)
+    df = materialise(df)
+    curve = distribution.loess_curve(df, "y", "x", ["g"], points=20)
+    for keys in re.findall(r"windowspecdefinition\(([^)]*)\)", curve._jdf.queryExecution().executedPlan().toString()):
+        assert "_block" in keys or "block" in keys or "i#" in keys
+    for r in curve.collect():
+        assert r.fit == pytest.approx(r.x * r.x - 1, abs=1e-6)
