@@ -12,9 +12,11 @@ from emberfall.operators.rows import (
     coincides_within,
     forward_max,
     home_rows,
+    lay_chunks,
     spread_chunks,
     with_min_run,
 )
+from emberfall.operators.thresholds import chunk_thresholds
 
 
 def coincidence_flags(
@@ -57,18 +59,18 @@ def flag_days(
 ) -> DataFrame:
     """Every station day with thresholds, heatwave and compound flags.
 
-    ``rain_ahead`` is the largest rain of the day and the ``rows_ahead`` rows after
-    it, across year ends. The runs, the lag and the maximum share one shuffle and
-    one sort; the thresholds join before it.
+    ``numbered``: numbered rows, or rows laid in chunks with a halo as wide as the widest
+    window. ``rain_ahead`` is the largest rain of the day and the ``rows_ahead`` rows after
+    it, across year ends. The thresholds, the runs, the lag and the maximum take the chunks
+    as they lie.
     """
     window = chunk_window()
-    days = numbered.join(hot.select("ID", "jdate", "hw_thrsld"), ["ID", "jdate"], "left")
-    days = days.join(wet, "ID", "left")
-    days = days.withColumn("hot", F.col("TA") > F.col("hw_thrsld")).withColumn(
+    chunks = lay_chunks(numbered, max(max_lag, rows_ahead, min_run - 1), chunk_rows)
+    days = chunks.join(chunk_thresholds(chunks, hot, wet), ["ID", "chunk"], "left")
+    days = days.withColumn("hw_thrsld", F.get("hot_by_day", F.col("jdate") - 1)).drop("hot_by_day")
+    spread = days.withColumn("hot", F.col("TA") > F.col("hw_thrsld")).withColumn(
         "heavy", F.col("RN") > F.col("pl_thrsld")
     )
-    halo = max(max_lag, rows_ahead, min_run - 1)
-    spread = spread_chunks(days, halo, chunk_rows)
     spread = with_min_run(spread, "hot", min_run, "heatwave", window)
     follows = coincides_within(F.col("heavy"), max_lag, window, F.col("year"))
     flagged = spread.withColumn(

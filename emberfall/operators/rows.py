@@ -6,6 +6,10 @@ a year plus the rows of earlier years), cut into chunks of ``chunk_rows``, and t
 ``halo`` rows on either side of a cut are copied to the neighbouring chunk. A row
 window that looks at most ``halo`` rows away is then exact on the home rows of
 every chunk, whatever the calendar gaps: windows count rows, not days.
+
+The whole table moves twice: by station and year, to number its rows, and by station and
+chunk. Both layouts are written in buckets, so that every later window over chunks and
+every join on either pair of keys reads them as they lie.
 """
 
 from __future__ import annotations
@@ -13,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from emberfall.workspace import materialise
+from emberfall.workspace import deal, materialise, materialise_buckets
 
 CHUNK_ROWS = 4096
 
 
-def land_observations(obs: DataFrame) -> DataFrame:
-    """Write observations once, with calendar parts and the row's place in its year."""
+def place_in_years(obs: DataFrame) -> DataFrame:
+    """Observations with calendar parts and the row's place in its year, dealt by (ID, year)."""
     days = obs.select(
         "ID",
         "date",
@@ -30,9 +34,12 @@ def land_observations(obs: DataFrame) -> DataFrame:
         F.month("date").alias("month"),
     )
     in_year = Window.partitionBy("ID", "year").orderBy("date", "TA", "RN")
-    return materialise(
-        days.withColumn("place_in_year", F.row_number().over(in_year)), "landed"
-    )
+    return deal(days, "ID", "year").withColumn("place_in_year", F.row_number().over(in_year))
+
+
+def land_observations(obs: DataFrame) -> DataFrame:
+    """Write observations once, with calendar parts and the row's place in its year."""
+    return materialise_buckets(place_in_years(obs), ["ID", "year"], ["ID", "year"], "landed")
 
 
 def station_years(landed: DataFrame) -> DataFrame:
@@ -92,6 +99,20 @@ def spread_chunks(numbered: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS)
     )
 
 
+def deal_chunks(numbered: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``spread_chunks``, dealt by (ID, chunk)."""
+    return deal(spread_chunks(numbered, halo, chunk_rows), "ID", "chunk")
+
+
+def lay_chunks(numbered: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Chunks written once in buckets: row windows over them need no exchange. Rows that are
+    in chunks already stay as they are; their halo must be wide enough."""
+    if "chunk" in numbered.columns:
+        return numbered
+    dealt = deal_chunks(numbered, halo, chunk_rows)
+    return materialise_buckets(dealt, ["ID", "chunk"], ["ID", "chunk", "row_no"], "chunks")
+
+
 def chunk_window() -> WindowSpec:
     """Rows of one chunk in series order; every row window shares this one sort."""
     return Window.partitionBy("ID", "chunk").orderBy("row_no")

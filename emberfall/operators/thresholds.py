@@ -16,13 +16,19 @@ from emberfall.operators.rows import (
 # Thresholds are compared with ">" after averaging; this many decimals keep a
 # last-bit difference of the average from deciding a comparison.
 THRESHOLD_DECIMALS = 9
+# Fixed value: days of the longest year.
+DAYS = 366
 
 
 def rolling_temperature(
     numbered: DataFrame, rows: int = 15, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Add ``roll_temp``, the centred rolling mean of TA over ``rows`` rows."""
-    spread = spread_chunks(numbered, halo=rows // 2, chunk_rows=chunk_rows)
+    """Add ``roll_temp``, the centred rolling mean of TA over ``rows`` rows.
+
+    ``numbered``: numbered rows, or rows laid in chunks with a halo of half as many.
+    """
+    laid = "chunk" in numbered.columns
+    spread = numbered if laid else spread_chunks(numbered, halo=rows // 2, chunk_rows=chunk_rows)
     return home_rows(
         spread.withColumn("roll_temp", rolling_mean(F.col("TA"), rows, chunk_window()))
     )
@@ -40,9 +46,8 @@ def hot_thresholds(
     The years are selected after the rolling mean, whose frame may reach outside
     them. A group holds one value per year at most, so ``percentile`` stays small.
     """
-    rolled = rolling_temperature(
-        numbered.select("ID", "year", "jdate", "TA", "row_no"), rows, chunk_rows
-    )
+    columns = [c for c in ("ID", "year", "jdate", "TA", "row_no", "chunk", "is_home") if c in numbered.columns]
+    rolled = rolling_temperature(numbered.select(*columns), rows, chunk_rows)
     return (
         rolled.filter(F.col("year").between(*years))
         .groupBy("ID", "jdate")
@@ -70,3 +75,19 @@ def wet_thresholds(
             F.percentile("RN", F.lit(quantile), F.col("times")), THRESHOLD_DECIMALS
         ).alias("pl_thrsld")
     )
+
+
+def chunk_thresholds(chunks: DataFrame, hot: DataFrame, wet: DataFrame) -> DataFrame:
+    """Both thresholds of a station beside each of its chunks: ``hot_by_day``, an array with a
+    slot for each of DAYS days of the year, and ``pl_thrsld``.
+
+    A chunk has one row here and up to thousands in the table, so this side moves to the
+    chunks and not they to it; a day then reads its slot.
+    """
+    by_day = hot.groupBy("ID").agg(
+        F.map_from_entries(F.collect_list(F.struct("jdate", "hw_thrsld"))).alias("by_day")
+    )
+    slots = F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda j: F.try_element_at("by_day", j))
+    arrays = by_day.select("ID", slots.alias("hot_by_day"))
+    places = chunks.select("ID", "chunk").distinct()
+    return places.join(arrays, "ID", "left").join(wet.select("ID", "pl_thrsld"), "ID", "left")

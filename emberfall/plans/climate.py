@@ -13,7 +13,7 @@ from emberfall.operators.coincidence import (
     seasonal_counts,
     with_station_year_rate,
 )
-from emberfall.operators.rows import land_observations, number_rows
+from emberfall.operators.rows import home_rows, land_observations, lay_chunks, number_rows
 from emberfall.operators.thresholds import hot_thresholds, wet_thresholds
 from emberfall.plans.settings import STANDARD, Settings
 from emberfall.sources.stations import with_coordinates
@@ -22,9 +22,9 @@ from emberfall.workspace import materialise, materialise_together
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Numbered observations of the eligible stations and their thresholds."""
+    """Observations of the eligible stations in chunks, and their thresholds."""
 
-    numbered: DataFrame
+    chunks: DataFrame
     hot: DataFrame
     wet: DataFrame
 
@@ -36,20 +36,21 @@ def number_observations(obs: DataFrame, settings: Settings = STANDARD) -> DataFr
 
 def derive_thresholds(obs: DataFrame, settings: Settings = STANDARD) -> Thresholds:
     """Both thresholds, written so that their joins are sized from files."""
-    numbered = number_observations(obs, settings)
+    halo = max(settings.rolling_rows // 2, settings.max_lag, settings.rows_ahead, settings.min_run - 1)
+    chunks = lay_chunks(number_observations(obs, settings), halo)
     hot = hot_thresholds(
-        numbered, settings.climatology, settings.hot_quantile, settings.rolling_rows
+        chunks, settings.climatology, settings.hot_quantile, settings.rolling_rows
     )
-    wet = wet_thresholds(numbered, settings.climatology, settings.wet_quantile)
+    wet = wet_thresholds(home_rows(chunks), settings.climatology, settings.wet_quantile)
     hot, wet = materialise_together(hot=hot, wet=wet)
-    return Thresholds(numbered, hot, wet)
+    return Thresholds(chunks, hot, wet)
 
 
 def flagged_days(obs: DataFrame, settings: Settings = STANDARD) -> DataFrame:
     """All station days with their flags, not yet written."""
     t = derive_thresholds(obs, settings)
     return flag_days(
-        t.numbered, t.hot, t.wet, settings.min_run, settings.max_lag, settings.rows_ahead
+        t.chunks, t.hot, t.wet, settings.min_run, settings.max_lag, settings.rows_ahead
     )
 
 

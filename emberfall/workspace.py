@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _FALLBACK: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,8 +63,30 @@ def materialise_together(**frames: DataFrame) -> list[DataFrame]:
         return list(pool.map(lambda item: materialise(item[1], item[0]), frames.items()))
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by hash of ``keys`` to as many partitions as shuffles have, no fewer."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def materialise_buckets(dealt: DataFrame, keys: list[str], order: list[str], name: str = "buckets") -> DataFrame:
+    """Write a frame that ``deal`` dealt by ``keys`` as one sorted file per bucket.
+
+    Windows and joins by ``keys`` over the returned scan take its buckets as they are: no
+    exchange. The table is listed in the session's catalog, but lies with the others.
+    """
+    spark = dealt.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*order)
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no frame reads them any more."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

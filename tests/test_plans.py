@@ -24,10 +24,60 @@ def flagged(spark):
     return coincidence.flag_days(obs, hot, wet)
 
 
-def test_all_row_windows_share_one_shuffle_and_one_sort(flagged):
+def depth(line):
+    """How deep an operator stands in a printed plan."""
+    return len(re.match(r"[ :+|-]*", line).group())
+
+
+def exchanges_over(text, scanned):
+    """Exchanges that the rows of a scan of the columns ``scanned`` go through before they are
+    combined: those that stand above it without an aggregate between."""
+    lines, found = text.splitlines(), []
+    for at, line in enumerate(lines):
+        if "Scan" in line and all(f"{c}#" in line for c in scanned):
+            deep, above = depth(line), []
+            for upper in reversed(lines[:at]):
+                if depth(upper) < deep:
+                    deep = depth(upper)
+                    above.append(upper)
+            for upper in above:
+                if "Aggregate" in upper:
+                    break
+                if "Exchange" in upper:
+                    found.append(upper.strip())
+    return found
+
+
+def test_the_whole_table_moves_twice(spark):
+    """From observations to flags, with broadcasts off: by (ID, year), by (ID, chunk), no more."""
+    off = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(off)
+    spark.conf.set(off, "-1")
+    try:
+        obs = materialise(noisy(spark))
+        whole = ["TA", "RN"]
+        keys = lambda found: [re.findall(r"hashpartitioning\((\w+)#\d+L?, (\w+)#", x) for x in found]
+        landing = exchanges_over(plan(rows.place_in_years(obs)), whole)
+        assert keys(landing) == [[("ID", "year")]]
+        numbered = rows.number_rows(rows.land_observations(obs))
+        chunking = exchanges_over(plan(rows.deal_chunks(numbered, 7)), whole)
+        assert keys(chunking) == [[("ID", "chunk")]]
+        chunks = rows.lay_chunks(numbered, 7)
+        hot = thresholds.hot_thresholds(chunks, (1999, 2001), 0.5)
+        assert exchanges_over(plan(hot), ["TA"]) == []
+        hot, wet = materialise(hot), materialise(thresholds.wet_thresholds(rows.home_rows(chunks), (1999, 2001), 0.5))
+        flags = coincidence.flag_days(chunks, hot, wet)
+        assert exchanges_over(plan(flags), whole) == []
+        assert "jdate" not in "".join(re.findall(r"hashpartitioning\(.*", plan(flags)))
+        assert flags.count() == obs.count()
+    finally:
+        spark.conf.set(off, before)
+
+
+def test_all_row_windows_share_one_sort(flagged):
     text = plan(flagged)
-    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+, (\w+)#\d+", text) == [("ID", "chunk")]
-    assert text.count("+- Sort ") == 1
+    assert exchanges_over(text, ["TA", "RN"]) == []
+    assert len(re.findall(r"Sort \[ID#\d+ ASC NULLS FIRST, chunk#\d+L? ASC NULLS FIRST, row_no", text)) == 1
 
 
 def test_no_window_is_partitioned_by_station_alone(flagged):
