@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from emberfall.functions.measures import is_finite
 from emberfall.operators.ranks import exact_quantiles, positions_of_counts
-from emberfall.workspace import materialise
+from emberfall.workspace import deal, materialise
 
 # Fixed values of the normal reference rules for a kernel bandwidth.
 RULE_1D = 0.9
@@ -30,8 +30,9 @@ FLAT_WIDTH = 0.1
 EDGE_SLACK = 1e-8
 # Places in order that one window of the local regression covers.
 POINTS_IN_BLOCK = 4096
-# Tasks that may share the points of one group in the 2-D density.
-SALTS = 16
+# Points of one group in the 2-D density that one part of it holds: about as many bytes as
+# the grid that the part becomes.
+POINTS_IN_PART = 2048
 
 
 def _with_range(groups: DataFrame, points: DataFrame, value: str, range_by: Sequence[str],
@@ -97,11 +98,6 @@ def _spread(points: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
-def _normal_density(distance: Column, bandwidth: Column) -> Column:
-    scaled = distance / bandwidth
-    return F.exp(-scaled * scaled / 2) / (bandwidth * math.sqrt(2 * math.pi))
-
-
 def kde_1d(
     df: DataFrame,
     value: str,
@@ -113,7 +109,8 @@ def kde_1d(
 
     Every value is shared linearly between the two nearest of ``points`` knots,
     which reach four bandwidths beyond the axis; the kernel then runs over knots,
-    so the cost on the grid does not depend on the number of rows.
+    so the cost on the grid does not depend on the number of rows. A group is one row by
+    then: an array of weighted knots, convolved with the kernel.
     """
     by = list(by)
     last = points - 1
@@ -145,23 +142,19 @@ def kde_1d(
         .groupBy(*by, F.col("_share._knot").alias("_knot"))
         .agg(F.sum("_share._weight").alias("_weight"))
     )
-    # The grid is laid out after the join: a side that still has to expand looks small
-    # to the planner and could be broadcast.
-    spots = weights.join(groups, by).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(last)))
-    )
-    spots = spots.withColumn(
-        "x", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("i") / last
-    )
-    at = (F.col("x") - F.col("_first")) / F.col("_delta")
-    left = F.floor(at)
-    ahead = at - left
-
-    def kernel(knot_at: Column) -> Column:
-        return _normal_density((knot_at - F.col("_knot")) * F.col("_delta"), F.col("_bw"))
-
-    share = F.col("_weight") * ((1 - ahead) * kernel(left) + ahead * kernel(left + 1))
-    return spots.groupBy(*by, "i", "x").agg((F.sum(share) / F.max("_n")).alias("density"))
+    # One row per group: the kernel by distance in knots, its convolution with the weights, and
+    # the grid read from that. Nothing is laid out before the sums are taken.
+    knots = weights.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_knot", "_weight"))).alias("_knots"))
+    scaled = "(d * _delta / _bw)"
+    kernel = f"transform(sequence(0, {points}), d -> exp(-{scaled} * {scaled} / 2) / (_bw * sqrt(2 * pi())))"
+    summed = f"transform(sequence(0, {points}), k -> aggregate(_knots, 0D, (s, w) -> s + w._weight * get(kern, abs(k - w._knot))))"
+    summed = f"get(transform(array({kernel}), kern -> {summed}), 0)"
+    x = f"(_low + (_high - _low) * i / {last})"
+    spot = f"(({x} - _first) / _delta)"
+    read = f"(1 - ({spot} - floor({spot}))) * get(conv, INT(floor({spot}))) + ({spot} - floor({spot})) * get(conv, INT(floor({spot})) + 1)"
+    grid = f"transform(sequence(0, {last}), i -> named_struct('i', i, 'x', {x}, 'density', ({read}) / _n))"
+    grid = f"get(transform(array({summed}), conv -> {grid}), 0)"
+    return knots.join(groups, by).select(*by, F.expr(grid).alias("_grid")).select(*by, F.inline("_grid"))
 
 
 def _grid_sums(by: list[str], points: int):
@@ -183,7 +176,7 @@ def _grid_sums(by: list[str], points: int):
                 gy = np.linspace(first["_y_low"], first["_y_high"], points)
                 zx = (gx[:, None] - rows["_x"].to_numpy()) / first["_hx"]
                 zy = (gy[:, None] - rows["_y"].to_numpy()) / first["_hy"]
-                part = np.exp(-zx * zx / 2) @ np.exp(-zy * zy / 2).T
+                part = (np.exp(-zx * zx / 2) * rows["_m"].to_numpy()) @ np.exp(-zy * zy / 2).T
                 if held == key:
                     total += part
                     continue
@@ -196,6 +189,15 @@ def _grid_sums(by: list[str], points: int):
     return run
 
 
+def _dealt_points(pairs: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct points with their counts and their group's axes, dealt by group and part."""
+    counted = pairs.groupBy(*by, "_x", "_y").agg(F.count("*").alias("_m"))
+    source = counted.join(groups, by)
+    part = F.pmod(F.xxhash64("_x", "_y"), F.ceil(F.col("_n") / POINTS_IN_PART))
+    columns = ["_x", "_y", "_m", "_hx", "_hy", "_x_low", "_x_high", "_y_low", "_y_high"]
+    return deal(source.select(*by, *columns, part.alias("_part")), *by, "_part").drop("_part")
+
+
 def kde_2d(
     df: DataFrame,
     x: str,
@@ -206,11 +208,12 @@ def kde_2d(
 ) -> DataFrame:
     """Gaussian product-kernel density on a square grid; ``ndensity`` has maximum 1.
 
-    The kernel sum of a batch is one matrix product of two grid-by-points tables,
-    so a task adds its points up in numpy and only grid sums are shuffled. Points are dealt
-    by group and salt: a task holds one grid at a time and gives one per group it meets,
-    and a large group is shared by several tasks. Groups without spread in either
-    measure have no density and do not appear.
+    Equal points are counted first. The kernel sum of a batch is one matrix product of two
+    grid-by-points tables, so a task adds its points up in numpy and only grid sums are
+    shuffled, combined by task. A group is dealt in as many parts as it has POINTS_IN_PART
+    points: a task holds one grid at a time and gives one per group it meets, small groups
+    have one, and a large group is shared by all tasks, however many there are. Groups
+    without spread in either measure have no density and do not appear.
     """
     by = list(by)
     pairs = df.filter(is_finite(F.col(x)) & is_finite(F.col(y))).select(
@@ -244,8 +247,8 @@ def kde_2d(
     )
     groups = materialise(groups.filter((F.col("_hx") > 0) & (F.col("_hy") > 0)), "axes")
 
-    source = pairs.join(groups, by)
-    keys = [source.schema[c] for c in by]
+    dealt = _dealt_points(pairs, groups, by)
+    keys = [dealt.schema[c] for c in by]
     schema = T.StructType(
         [
             *keys,
@@ -255,9 +258,7 @@ def kde_2d(
         ]
     )
     sums = (
-        source.select(*by, "_x", "_y", "_hx", "_hy", "_x_low", "_x_high", "_y_low", "_y_high")
-        .repartition(*by, F.pmod(F.xxhash64("_x", "_y"), F.lit(SALTS)))
-        .sortWithinPartitions(*by)
+        dealt.sortWithinPartitions(*by)
         .mapInPandas(_grid_sums(by, points), schema)
         .groupBy(*by, "ix", "iy")
         .agg(F.sum("part").alias("total"))

@@ -84,8 +84,8 @@ def test_density_2d_against_the_kernel_sum(spark):
     assert max(r.ndensity for r in got) == 1.0
 
 
-def test_density_2d_holds_one_grid_per_group_and_salt(spark, monkeypatch):
-    monkeypatch.setattr(distribution, "SALTS", 3)
+def test_density_2d_holds_one_grid_per_group_and_part(spark, monkeypatch):
+    monkeypatch.setattr(distribution, "POINTS_IN_PART", 17)
     df = spark.range(20000).select(
         (F.col("id") % 400).alias("n"),
         (F.col("id") * 7 % 31).cast("double").alias("x"),
@@ -93,7 +93,7 @@ def test_density_2d_holds_one_grid_per_group_and_salt(spark, monkeypatch):
     )
     frames = [f[f.x.notna()] for f in [df.toPandas()]]
     by_key = frames[0].sort_values("n").rename(columns={"x": "_x", "h": "_y"})
-    by_key = by_key.assign(_hx=1.0, _hy=1.0, _x_low=0.0, _x_high=31.0, _y_low=0.0, _y_high=37.0)
+    by_key = by_key.assign(_m=1, _hx=1.0, _hy=1.0, _x_low=0.0, _x_high=31.0, _y_low=0.0, _y_high=37.0)
     cut = [by_key.iloc[a : a + 3000] for a in range(0, len(by_key), 3000)]
     emitted = list(distribution._grid_sums(["n"], 4)(iter(cut)))
     assert len(emitted) == 400 and all(len(e) == 16 for e in emitted)
@@ -101,6 +101,29 @@ def test_density_2d_holds_one_grid_per_group_and_salt(spark, monkeypatch):
     assert got.count() == 400 * 16
 
 
+def test_density_2d_of_one_group_uses_all_tasks(spark):
+    """As many tasks as shuffles have share a group; points that repeat are one."""
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    x = (F.col("id") % 1_000_003).cast("double")
+    pairs = spark.range(1_100_000).select(F.lit("a").alias("g"), x.alias("_x"), (x * 7 % 1009).alias("_y"))
+    pairs = pairs.union(spark.range(300_000).select(F.lit("a"), F.lit(1.0), F.lit(7.0)))
+    axes = "1.4e6D AS _n, 1D AS _hx, 1D AS _hy, 0D AS _x_low, 1D AS _x_high, 0D AS _y_low, 1D AS _y_high"
+    groups = spark.sql(f"SELECT 'a' AS g, {axes}")
+    spark.conf.set(name, "64")
+    try:
+        dealt = distribution._dealt_points(pairs, groups, ["g"])
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 64 and sum(sizes) == 1_000_003 and max(sizes) < 3 * 1_000_003 / 64
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_density_has_one_row_per_group_until_it_is_read(spark):
+    df = points(spark, {"a": range(50), "b": [1, 2, 4]})
+    text = distribution.kde_1d(df, "v", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Generate") == 2 and text.index("Generate inline") < text.index("collect_list")
+
+
 def test_box(spark):
     df = points(spark, {"a": [1, 2, 3, 4, 5, 100], "b": [7, 7, 7]}).withColumn("k", F.lit(1))
     got = {r.g: r for r in distribution.box_stats(df, "v", ["g"]).collect()}
