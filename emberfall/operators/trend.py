@@ -6,19 +6,18 @@ record has years.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberfall.functions.labels import significance
 from emberfall.functions.special import normal_two_sided, student_quantile, student_two_sided
-from emberfall.operators.ranks import value_positions
 from emberfall.workspace import materialise
 
-# Time steps whose running counts are taken in one window.
-BLOCK_ROWS = 4096
-
 
 def _fit(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
     """Sums of one fit per group; inner columns start with an underscore, so that group
@@ -88,77 +87,130 @@ def trend_line(
     )
 
 
+def _later_minus_lower(values: np.ndarray) -> int:
+    """Sum of sign(later - earlier) over all pairs of a sequence.
+
+    Two values compare at the highest bit in which their ranks differ: among those equal
+    above that bit, each counts the earlier ones with the other bit.
+    """
+    rank = np.unique(values, return_inverse=True)[1]
+    total = 0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        above = rank >> (bit + 1)
+        order = np.argsort(above, kind="stable")
+        one = (rank[order] >> bit) & 1
+        starts = np.flatnonzero(np.diff(above[order], prepend=-1))
+        sizes = np.diff(np.append(starts, len(rank)))
+        ones = np.cumsum(one) - one
+        ones -= np.repeat(ones[starts], sizes)
+        zeros = np.arange(len(rank)) - np.repeat(starts, sizes) - ones
+        total += int(np.where(one == 1, zeros, -ones).sum())
+    return total
+
+
+def _of_groups(by: list[str], work: Callable[[tuple, pd.DataFrame], pd.DataFrame]):
+    """Apply ``work`` to each group of a partition that is sorted by group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, parts = None, []
+        for batch in batches:
+            for key, rows in batch.groupby(by, sort=False, dropna=False):
+                # NULL is no equal of itself: keys are compared as text.
+                if parts and str(key) != str(held):
+                    yield work(held, pd.concat(parts))
+                    parts = []
+                held = key
+                parts.append(rows)
+        if parts:
+            yield work(held, pd.concat(parts))
+
+    return run
+
+
 def mann_kendall(series: DataFrame, y: str, t: str, by: Sequence[str]) -> DataFrame:
     """S, its tie-corrected variance, z with continuity correction, tau and p per group.
 
-    No pairs of rows are formed. Two values compare at the highest bit in which
-    their ranks (how many values are smaller) differ: among rows equal above that bit, each row counts the earlier
-    rows with the other bit. The work is n rows times the bits of the largest rank.
+    No pairs of rows are formed. Rows are cut into ranges of time, and pairs within one are
+    counted there, in n log n; then into ranges of value, where pairs of one value range and
+    different times are. What is left are pairs that differ in both ranges: they are counted
+    from how many rows each pair of ranges holds. Every row moves once for either cut, and a
+    task holds one range of a group.
 
-    Places in order of value and of time come from range blocks, and the running counts are
-    taken per block of time and added up over blocks, so no window holds a long group. A
-    series has one row per time step. A constant series has no z, tau, p-value or significance.
+    A series has one row per time step. A constant series has no z, tau, p-value or
+    significance.
     """
     by = list(by)
-    values = series.filter(F.col(y).isNotNull()).select(
-        *by, F.col(y).alias("_y"), F.col(t).alias("_time")
-    )
-    values = materialise(values, "series")
-    order = [value_positions(values, c, by).select(*by, c, F.col("n_less").alias(f"{c}_place"), "n_group") for c in ("_y", "_time")]
-    placed = values.join(order[0], [*by, "_y"]).join(order[1].drop("n_group"), [*by, "_time"])
-    top = F.floor(F.log2(F.greatest(F.col("n_group") - 1, F.lit(1)))).cast("int")
-    bits = placed.select(
-        *by,
-        F.col("_time_place").alias("_at"),
-        F.expr(f"_time_place div {BLOCK_ROWS}").alias("_part"),
-        F.col("_y_place").alias("_rank"),
-        F.explode(F.sequence(F.lit(0), top)).alias("_bit"),
-    ).select(
-        *by,
-        "_at",
-        "_part",
-        "_bit",
-        F.expr("shiftright(_rank, _bit + 1) AS _prefix"),
-        F.expr("CAST(shiftright(_rank, _bit) & 1 AS INT) AS _one"),
-    )
-    bits = materialise(bits, "rank-bits")
-    # Rows with the other bit: those of earlier blocks, and those before in the own block.
-    cell = [*by, "_bit", "_prefix"]
-    past = Window.partitionBy(*cell).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bits.groupBy(*cell, "_part").agg(F.sum("_one").alias("_ones"), F.count("*").alias("_rows"))
-    totals = totals.select(
-        *cell,
-        "_part",
-        F.coalesce(F.sum("_ones").over(past), F.lit(0)).alias("_ones_before"),
-        F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_rows_before"),
+    rows = series.filter(F.col(y).isNotNull() & F.col(t).isNotNull()).select(
+        *by, F.col(y).cast("double").alias("_y"), F.col(t).alias("_time")
     )
-    inside = (
-        Window.partitionBy(*cell, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    kept = rows.schema.fields
+    timed = rows.repartitionByRange(*by, "_time").sortWithinPartitions(*by, "_time").withColumn("_at", F.spark_partition_id())
+
+    def within(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        gain = np.zeros(len(part), np.int64)
+        gain[0] = _later_minus_lower(part["_y"].to_numpy())
+        return part.assign(_gain=gain)
+
+    schema = T.StructType([*kept, T.StructField("_at", T.IntegerType()), T.StructField("_gain", T.LongType())])
+    timed = materialise(timed.mapInPandas(_of_groups(by, within), schema), "time-ranges")
+    valued = timed.repartitionByRange(*by, "_y").sortWithinPartitions(*by, "_y").withColumn("_block", F.spark_partition_id())
+
+    def between(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_at", "_y"], kind="stable")
+        values, at = part["_y"].to_numpy(), part["_at"].to_numpy()
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        sizes = np.diff(np.append(starts, len(at)))
+        gain = int(part["_gain"].sum()) + _later_minus_lower(values)
+        gain -= sum(_later_minus_lower(v) for v in np.split(values, starts[1:]))
+        m = np.unique(values, return_counts=True)[1].astype(np.float64)
+        # One row per time range; what belongs to the whole block stands in its first.
+        out = pd.concat([part[by].iloc[:1]] * len(starts), ignore_index=True)
+        first = np.arange(len(starts)) == 0
+        out["_at"], out["_block"], out["_rows"] = at[starts], part["_block"].iloc[0], sizes
+        out["_gain"] = np.where(first, gain, 0)
+        out["_tie_variance"] = np.where(first, (m * (m - 1) * (2 * m + 5)).sum(), 0.0)
+        out["_tie_pairs"] = np.where(first, (m * (m - 1) / 2).sum(), 0.0)
+        return out
+
+    cells = T.StructType(
+        [
+            *kept[: len(by)],
+            T.StructField("_at", T.IntegerType()),
+            T.StructField("_block", T.IntegerType()),
+            T.StructField("_rows", T.LongType()),
+            T.StructField("_gain", T.LongType()),
+            T.StructField("_tie_variance", T.DoubleType()),
+            T.StructField("_tie_pairs", T.DoubleType()),
+        ]
     )
-    counted = bits.select(
-        "*",
-        F.coalesce(F.sum("_one").over(inside), F.lit(0)).alias("_ones_here"),
-        F.coalesce(F.count("_one").over(inside), F.lit(0)).alias("_rows_here"),
-    ).join(totals, [*cell, "_part"])
-    higher = F.col("_ones_before") + F.col("_ones_here")
-    lower = F.col("_rows_before") + F.col("_rows_here") - higher
-    score = counted.withColumn("_gain", F.when(F.col("_one") == 1, lower).otherwise(-higher))
-    score = score.groupBy(*by).agg(F.sum("_gain").alias("_gained"))
-
-    m = F.col("_m")
-    ties = values.groupBy(*by, "_y").agg(F.count("*").alias("_m"))
-    sizes = ties.groupBy(*by).agg(
-        F.sum("_m").alias("_n"),
-        F.sum(m * (m - 1) * (2 * m + 5)).alias("_tie_variance"),
-        F.sum(m * (m - 1) / 2).alias("_tie_pairs"),
+    counted = materialise(valued.mapInPandas(_of_groups(by, between), cells), "range-cells")
+    # Rows of earlier times by block of values, on a full grid of a group's ranges; then those
+    # of lower blocks less those of higher ones.
+    wide = counted.groupBy(*by).agg(
+        F.collect_set("_at").alias("_ats"), F.collect_set("_block").alias("_blocks")
+    ).filter("size(_ats) > 1 AND size(_blocks) > 1")
+    grid = wide.select(*by, F.explode("_ats").alias("_at"), "_blocks").select(*by, "_at", F.explode("_blocks").alias("_block"))
+    # Unions, not joins: a group may be NULL.
+    grid = grid.withColumn("_rows", F.lit(0).cast("long")).unionByName(counted.select(*by, "_at", "_block", "_rows"))
+    grid = grid.groupBy(*by, "_at", "_block").agg(F.sum("_rows").alias("_rows"))
+    earlier = Window.partitionBy(*by, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_past", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    along = Window.partitionBy(*by, "_at").orderBy("_block")
+    lower = F.coalesce(F.sum("_past").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    higher = F.coalesce(F.sum("_past").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    crossed = grid.select(*by, (F.col("_rows") * (lower - higher)).alias("_gain"))
+    sizes = counted.unionByName(crossed, allowMissingColumns=True).groupBy(*by).agg(
+        F.sum("_rows").alias("_n"),
+        F.sum("_gain").alias("_gained"),
+        F.sum("_tie_variance").alias("_tie_variance"),
+        F.sum("_tie_pairs").alias("_tie_pairs"),
     )
     n = F.col("_n")
     pairs = n * (n - 1) / 2
-    s = F.coalesce(F.col("_gained"), F.lit(0))
-    table = sizes.join(score, by, "left").select(
+    table = sizes.select(
         *by,
         "_n",
-        s.alias("_s"),
+        F.col("_gained").alias("_s"),
         ((n * (n - 1) * (2 * n + 5) - F.col("_tie_variance")) / 18).alias("_variance"),
         F.sqrt(pairs * (pairs - F.col("_tie_pairs"))).alias("_tau_scale"),
     )

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from emberfall.workspace import materialise
 from emberfall.operators import bootstrap, trend
 from test_functions import student_by_integration
 
@@ -66,20 +67,45 @@ def test_mann_kendall_against_pairs(spark, seed):
     assert (row.S, row.varS) == (s, pytest.approx(variance))
 
 
-def test_mann_kendall_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(trend, "BLOCK_ROWS", 7)
-    rng = random.Random(9)
-    values = [rng.choice([1, 5, rng.randint(0, 40)]) for _ in range(120)]
-    row = trend.mann_kendall(series(spark, values), "v", "year", ["season"]).first()
-    s, variance = kendall_by_pairs(values)
-    assert (row.S, row.varS) == (s, pytest.approx(variance))
+@pytest.fixture
+def many_ranges(spark):
+    """Small ranges stay apart."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
 
 
-def test_mann_kendall_of_one_long_group(spark):
+def test_mann_kendall_in_blocks(spark, many_ranges):
+    rng = random.Random(9)
+    groups = {"a": [rng.choice([1, 5, rng.randint(0, 40)]) for _ in range(120)], "b": [4, 4, 2], None: [1, 2, 2, 9, 0]}
+    groups["c"] = [rng.random() for _ in range(70)]
+    rows = [(g, t, float(v)) for g, values in groups.items() for t, v in enumerate(values)]
+    df = spark.createDataFrame(rows + [("a", 500, None), ("a", None, 1.0)], "season string, year int, v double")
+    got = {r.season: r for r in trend.mann_kendall(df, "v", "year", ["season"]).collect()}
+    for g, values in groups.items():
+        s, variance = kendall_by_pairs(values)
+        assert (got[g].n, got[g].S, got[g].varS) == (len(values), s, pytest.approx(variance))
+
+
+def test_rows_move_once_for_either_cut(spark, many_ranges):
+    """Shuffled rows are at most twice the values, and a few for each pair of ranges."""
+    n = 20_000
+    df = materialise(spark.range(n).selectExpr("'a' AS g", "id AS t", "CAST(id * 7919 % 20011 AS double) AS v"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    last = max([s.stageId() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))], default=-1)
+    trend.mann_kendall(df, "v", "t", ["g"]).collect()
+    stages = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    written = sum(s.shuffleWriteRecords() for s in stages if s.stageId() > last)
+    assert 2 * n <= written < 2 * n + 2000
+
+
+def test_mann_kendall_of_one_long_group(spark, many_ranges):
     df = spark.range(200_000).selectExpr("'a' AS g", "id AS t", "CAST(id * 7919 % 200003 AS double) AS v")
     found = trend.mann_kendall(df, "v", "t", ["g"])
     windows = re.findall(r"windowspecdefinition\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
-    assert windows and all("_part" in w for w in windows)
+    assert windows and all("_block" in w or "_at" in w for w in windows)
     values = [i * 7919 % 200003 for i in range(200_000)]
     tree, s = [0] * 200_004, 0
     for n, v in enumerate(values):
