@@ -2,9 +2,11 @@
 
 A byte goes if it lies in a string of ``WINDOW`` bytes that also starts in a document with
 a smaller id: where the longest previous factor of a position, counted in earlier
-documents, is ``WINDOW`` or more. Suffixes are compared in their order, cut after
-``WINDOW`` bytes: in a run of equal ones (a common prefix of full length) sorted by id, a
-suffix has a previous smaller position exactly if the run starts with a smaller id.
+documents, is ``WINDOW`` or more. Suffixes are put in order, with the lengths of the common
+prefixes of neighbours. Of a suffix, the nearest one before it and the nearest one after it
+that belong to a smaller id are the places where its longest earlier match can start: the
+shortest common prefix on the way to either is the length shared with it, and the longer
+of both is the factor. Later copies go, the first stays.
 
 Sorting all suffixes of a corpus would move ``WINDOW`` times its bytes. So only suffixes
 that can have a partner are sorted:
@@ -40,8 +42,11 @@ from emberfall.workspace import materialise
 
 WINDOW = 50
 GRAM = 24
+# A window eight bytes at a time; the last ones overlap the ones before.
+WORD_AT = (*range(0, WINDOW - 7, 8), WINDOW - 8)
 SLICE_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
+MOST_TASKS = 20_000
 HOT_SHARE = 100_000
 HOT_LEAST = 1000
 PLACE_BITS = 17
@@ -413,12 +418,61 @@ def spans_to_slices(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, end: n
     ]
 
 
+def common_prefixes(words: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix in ``order`` shares with the one before it; 0 for the first.
+
+    ``words``: the bytes as big-endian numbers at the places of ``WORD_AT``.
+    """
+    shared = np.full(len(order), WINDOW, np.int64)
+    open_ = np.arange(1, len(order))
+    for at, word in zip(WORD_AT, words):
+        differ = word[order[open_]] ^ word[order[open_ - 1]]
+        apart = differ != 0
+        some, differ = open_[apart], differ[apart]
+        equal = sum((differ < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+        shared[some] = at + equal
+        open_ = open_[~apart]
+    shared[:1] = 0
+    return shared
+
+
+def nearest_smaller(ids: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix shares with the nearest one before it of a smaller id; 0 if none.
+
+    Each looks at the suffix before it; while that one's id is not smaller, it goes on to
+    where that one has got to, all at once, and keeps the shortest common prefix.
+    """
+    n = len(ids)
+    # One place before all others, of an id smaller than all.
+    ids = np.append(ids, np.iinfo(np.int64).min)
+    to, least = np.append(np.arange(-1, n - 1), n), np.append(shared, 0)
+    to[:1] = n
+    open_ = np.flatnonzero((to[:n] < n) & (ids[to[:n]] >= ids[:n]))
+    while len(open_):
+        over = to[open_]
+        least[open_] = np.minimum(least[open_], least[over])
+        to[open_] = to[over]
+        open_ = open_[ids[to[open_]] >= ids[open_]]
+    return np.where(to[:n] < n, least[:n], 0)
+
+
+def longest_previous_factors(words: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """For suffixes cut after a window, how many bytes each shares at most with one of a
+    smaller id: by the previous and the next such suffix in order."""
+    order = np.lexsort(words[::-1])
+    shared, ids = common_prefixes(words, order), ids[order]
+    before = nearest_smaller(ids, shared)
+    # Seen from the other end, a suffix shares with its neighbour what that one shares with it.
+    after = nearest_smaller(ids[::-1], np.append(shared[1:], 0)[::-1])[::-1]
+    factors = np.zeros(len(ids), np.int64)
+    factors[order] = np.maximum(before, after)
+    return factors
+
+
 def previous_factors(words: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """Whether each suffix, cut after a window, has an equal one of a smaller id.
+    """Whether the longest previous factor of each suffix is a window.
 
-    ``words``: the bytes as big-endian numbers, first bytes first. In suffix order, ties
-    by id, a run of equal suffixes starts with its smallest id: the previous smaller place
-    within the run's common prefix. Suffixes whose hash is alone are not sorted.
+    A suffix whose hash is alone has none of that length and is left out of the order.
     """
     found = np.zeros(len(ids), bool)
     mark = words[0] * _MIX
@@ -427,18 +481,8 @@ def previous_factors(words: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
         mark += word * _power(i)
     by_mark = np.argsort(mark)
     equal = mark[by_mark][1:] == mark[by_mark][:-1]
-    partner = np.append(equal, False) | np.append(False, equal)
-    some = by_mark[partner]
-    words, ids = [w[some] for w in words], ids[some]
-    order = np.lexsort((ids, *words[::-1]))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = False
-    for word in words:
-        ordered = word[order]
-        fresh[1:] |= ordered[1:] != ordered[:-1]
-    ids = ids[order]
-    if len(ids):
-        found[some[order]] = ids[fresh][np.cumsum(fresh) - 1] < ids
+    some = by_mark[np.append(equal, False) | np.append(False, equal)]
+    found[some] = longest_previous_factors([w[some] for w in words], ids[some]) >= WINDOW
     return found
 
 
@@ -465,8 +509,7 @@ def answer_windows(cells: pa.Table, slices: int) -> pa.Table:
     first = begin[of_entry] + offset
     raw = data.tobytes()
     eight = np.ndarray((max(len(raw) - 7, 0),), ">u8", raw, 0, (1,))
-    # Eight bytes at a time; the last ones overlap the ones before.
-    words = [eight[first + c].astype(np.uint64) for c in (*range(0, WINDOW - 7, 8), WINDOW - 8)]
+    words = [eight[first + c].astype(np.uint64) for c in WORD_AT]
     repeated = previous_factors(words, owners[of_entry])
     hit = np.flatnonzero(repeated)
     if not len(hit):
@@ -557,6 +600,8 @@ def remove_repeats(
     slices, buckets = max(1, -(-total // slice_bytes)), max(1, -(-total // bucket_bytes))
     hot_least = max(HOT_LEAST, total // HOT_SHARE) if hot_from is None else hot_from
     schema = "kind int, part long, cell binary"
+    # As many tasks as slices and buckets, so that a task's share does not follow the input.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(slices + buckets, MOST_TASKS))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
@@ -569,9 +614,8 @@ def remove_repeats(
     def answered(cells: pa.Table) -> pa.Table:
         return answer_grams(cells, slices, hot_least)
 
-    grams = materialise(
-        texts.mapInArrow(asked, schema).groupBy("kind", "part").applyInArrow(answered, schema), "shared-grams"
-    )
+    grams = texts.mapInArrow(asked, schema).repartition(tasks, "kind", "part").groupBy("kind", "part")
+    grams = materialise(grams.applyInArrow(answered, schema), "shared-grams")
     # Bounded: a common gram has at least total / HOT_SHARE places.
     hot = {r.part: blobs.unpack(bytes(r.cell))[0] for r in grams.filter("kind = 2").collect()}
 
@@ -581,15 +625,16 @@ def remove_repeats(
     def matched(cells: pa.Table) -> pa.Table:
         return answer_windows(cells, slices)
 
-    by_slice = texts.mapInArrow(packed, schema).groupBy("part")
+    by_slice = texts.mapInArrow(packed, schema).repartition(tasks, "part").groupBy("part")
     spans = (
-        by_slice.cogroup(grams.filter("kind = 1").groupBy("part"))
+        by_slice.cogroup(grams.filter("kind = 1").repartition(tasks, "part").groupBy("part"))
         .applyInArrow(strings, schema)
+        .repartition(tasks, "kind", "part")
         .groupBy("kind", "part")
         .applyInArrow(matched, schema)
     )
     spans = materialise(spans, "repeated-spans")
-    cut = by_slice.cogroup(spans.groupBy("part")).applyInArrow(
+    cut = by_slice.cogroup(spans.repartition(tasks, "part").groupBy("part")).applyInArrow(
         cut_texts, "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
     )
     return cut.withColumnRenamed("id", id_col)

@@ -78,6 +78,24 @@ def test_hashes_do_not_depend_on_the_place():
     assert grams[2] == grams[10] == grams[163] != grams[3]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_longest_previous_factors(seed):
+    """Lengths against a plain search over all pairs, ids repeated and in any order."""
+    rng = np.random.default_rng(seed)
+    letters = rng.integers(97, 97 + [1, 2, 2, 3, 26][seed], 400, dtype=np.uint8)
+    letters[200:330] = letters[20:150]
+    raw = letters.tobytes()
+    starts = np.arange(len(raw) - repeated_spans.WINDOW + 1)
+    eight = np.ndarray((len(raw) - 7,), ">u8", raw, 0, (1,))
+    words = [eight[starts + c].astype(np.uint64) for c in repeated_spans.WORD_AT]
+    ids = rng.integers(-3, 9, len(starts))
+    suffixes = [raw[s : s + repeated_spans.WINDOW] for s in starts]
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    want = [max((shared(s, t) for t, j in zip(suffixes, ids) if j < i), default=0) for s, i in zip(suffixes, ids)]
+    assert repeated_spans.longest_previous_factors(words, ids).tolist() == want
+    assert repeated_spans.previous_factors(words, ids).tolist() == [w == repeated_spans.WINDOW for w in want]
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 0, 0, hashlib.sha256(b"").hexdigest())]
