@@ -1,13 +1,15 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-Pivots are taken from a bounded sample of the vectors. Queries are grouped by their
-nearest pivot. A query q of a group with pivot p lies within the group's radius u of p, so
-for a vector o its score differs from <p, o> by at most u |o|. A first pass over the
-vectors summarises, per task and group, the best guaranteed scores <p, o> - u |o|; the
-k-th best of them over all tasks bounds from below what a query of the group must
-reach. A second pass sends a vector to a group only if <p, o> + u |o| reaches that bound.
-Each task then solves one block of queries against one slice of vectors, and the tops of
-the slices are merged.
+Pivots are taken from a bounded sample of the vectors. Queries and vectors are grouped by
+their nearest pivot: queries into groups, vectors into cells. A query q of a group with
+pivot p lies within the group's radius u of p, so for a vector o its score differs from
+<p, o> by at most u |o|. A first pass over the vectors summarises each cell (its radius and
+its longest vector) and, per task and group, the best guaranteed scores <p, o> - u |o|; the
+k-th best of them over all tasks bounds from below what a query of the group must reach. A
+cell whose summary cannot reach a group's bound is not looked at for it; of the other
+cells a vector is sent to the group only if <p, o> + u |o| reaches the bound. Each task
+then solves one block of queries against one slice of vectors, and the tops of the slices
+are merged.
 
 Blocks and slices are dealt by hash of the id and bounded in rows, so neither a crowded
 cell nor a common vector gathers. Scores are whole numbers: they are computed in
@@ -132,27 +134,15 @@ def solve(cells: pa.Table, k: int, width: int) -> pa.Table:
     return pa.concat_tables(found)
 
 
-def top_k(
-    vectors: DataFrame,
-    queries: Column,
-    k: int = 5,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    pivots: int = PIVOTS,
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of every row that ``queries`` selects.
-
-    Candidates are all rows but those with the query's own id; fewer than k are returned if
-    there are fewer. Ties go to the smaller id. An id that repeats counts once: the best
-    score among its rows, on either side. Void vectors (see ``whole_vectors``) take no
-    part; components that a shorter vector lacks count as zero, so an empty vector scores
-    zero. Empty tables give no rows. Other columns are not carried.
-    """
-    spark = vectors.sparkSession
+def routed(
+    vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS
+) -> tuple[DataFrame, int] | None:
+    """(grp, block, slice, side, cell) of queries (side 0) and of the vectors that can be among
+    the k best of a group (side 1), and the width of a vector; None without queries."""
     rows = materialise(whole_vectors(vectors, id_col, vector_col).withColumn("asks", queries), "whole-vectors")
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return None
     width = max(width, 1)
     sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PIVOT_SAMPLE).select("v").toPandas()
     points = choose_pivots(matrix(sample["v"], width), pivots)
@@ -167,7 +157,7 @@ def top_k(
         asking.select("v").mapInPandas(cells, "grp int, gap double").groupBy("grp").agg(F.count("*"), F.max("gap")).collect()
     )  # at most one row per pivot
     if not groups:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return None
     held = np.array([g[0] for g in groups])
     blocks = np.array([-(-g[1] // QUERIES_IN_BLOCK) for g in groups])
     reach = np.array([g[2] for g in groups])
@@ -182,21 +172,31 @@ def top_k(
 
     def summaries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, dict[int, float]] = {g: {} for g in range(len(held))}
+        radius, norm = np.full(len(points), -1.0), np.zeros(len(points))
         for part in parts:
-            low, _ = bounds(matrix(part["v"], width))
+            values = matrix(part["v"], width)
+            low, _ = bounds(values)
             ids = part["vec_id"].to_numpy()
+            cell, gap = nearest(values, points)
+            np.maximum.at(radius, cell, gap)
+            np.maximum.at(norm, cell, np.sqrt((values**2).sum(axis=1)))
             for g, tops in best.items():
                 for i in best_of(ids, low[:, g], k + 1):
                     tops[ids[i]] = max(tops.get(ids[i], -np.inf), low[i, g])
                 if len(tops) > k + 1:
                     best[g] = dict(sorted(tops.items(), key=lambda x: (-x[1], x[0]))[: k + 1])
         for g, tops in best.items():
-            yield pd.DataFrame({"g": g, "vec_id": list(tops), "low": list(tops.values())})
+            yield pd.DataFrame({"g": g, "vec_id": list(tops), "low": list(tops.values()), "cell": -1, "norm": 0.0})
+        seen = np.flatnonzero(radius >= 0)
+        yield pd.DataFrame({"g": -1, "vec_id": 0, "low": radius[seen], "cell": seen, "norm": norm[seen]})
 
     by_group = Window.partitionBy("g").orderBy(F.desc("low"), "vec_id")
+    summary = materialise(
+        rows.select("vec_id", "v").mapInPandas(summaries, "g int, vec_id long, low double, cell int, norm double"), "summaries"
+    )
+    cell_rows = summary.filter("g < 0").groupBy("cell").agg(F.max("low").alias("radius"), F.max("norm").alias("norm")).collect()
     lowest = (
-        rows.select("vec_id", "v")
-        .mapInPandas(summaries, "g int, vec_id long, low double")
+        summary.filter("g >= 0")
         .groupBy("g", "vec_id")
         .agg(F.max("low").alias("low"))
         .withColumn("rank", F.row_number().over(by_group))
@@ -209,42 +209,74 @@ def top_k(
     for r in lowest:
         if r.n > k:
             needed[r.g] = r.low
+    # Cells that can reach a group's bound: by the distance between pivots' products, the
+    # cell's radius and its longest vector. One row per pivot, one column per group.
+    reaching = np.zeros((len(points), len(held)), bool)
+    for r in cell_rows:
+        middle = centres @ points[r.cell]
+        slack = np.sqrt((centres**2).sum(axis=1)) * r.radius + reach * r.norm
+        reaching[r.cell] = middle + slack + 1e-9 * (np.abs(middle) + slack) + 1e-6 >= needed
     slices = max(1, -(-n // ROWS_IN_SLICE))
 
     def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group_of = {p: g for g, p in enumerate(held.tolist())}
         for part in parts:
+            # In order of slice, so that each group's share of a slice is one stretch.
+            part = part.iloc[np.argsort(part["deal"].to_numpy() // 1024 % slices, kind="stable")]
             values, ids = matrix(part["v"], width), part["vec_id"].to_numpy()
             asks, deal = part["asks"].to_numpy(), part["deal"].to_numpy()
-            _, high = bounds(values)
+            slice_of = deal // 1024 % slices
             out = []
 
-            def send(g: int, block: int, slice_: int, side: int, rows: np.ndarray) -> None:
-                out.append((g, block, slice_, side, blobs.pack(ids[rows], values[rows].ravel())))
+            def stretches(where: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
+                for at in np.split(where, np.flatnonzero(np.diff(key[where])) + 1):
+                    if len(at):
+                        yield int(key[at[0]]), blobs.pack(ids[at], values[at].ravel())
 
-            group_of = {p: g for g, p in enumerate(held.tolist())}
             cell, _ = nearest(values, points)
+            _, high = bounds(values)
             for g in range(len(held)):
-                for slice_ in range(slices):
-                    sent = np.flatnonzero((high[:, g] >= needed[g]) & (deal // 1024 % slices == slice_))
-                    if len(sent):
-                        for block in range(blocks[g]):
-                            send(g, block, slice_, 1, sent)
+                sent = np.flatnonzero(reaching[cell, g] & (high[:, g] >= needed[g]))
+                for slice_, packed in stretches(sent, slice_of):
+                    out += [(g, block, slice_, 1, packed) for block in range(blocks[g])]
             for p in np.unique(cell[asks]):
                 g = group_of[int(p)]
-                for block in range(blocks[g]):
-                    mine = np.flatnonzero(asks & (cell == p) & (deal % blocks[g] == block))
-                    if len(mine):
-                        for slice_ in range(slices):
-                            send(g, block, slice_, 0, mine)
+                mine = np.flatnonzero(asks & (cell == p))
+                mine = mine[np.argsort(deal[mine] % blocks[g], kind="stable")]
+                for block, packed in stretches(mine, deal % blocks[g]):
+                    out += [(g, block, slice_, 0, packed) for slice_ in range(slices)]
             yield pd.DataFrame(out, columns=["grp", "block", "slice", "side", "cell"])
 
+    deal = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    return rows.withColumn("deal", deal).mapInPandas(dealt, "grp int, block int, slice int, side int, cell binary"), width
+
+
+def top_k(
+    vectors: DataFrame,
+    queries: Column,
+    k: int = 5,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of every row that ``queries`` selects.
+
+    Candidates are all rows but those with the query's own id; fewer than k are returned if
+    there are fewer. Ties go to the smaller id. An id that repeats counts once: the best
+    score among its rows, on either side. Void vectors (see ``whole_vectors``) take no
+    part; components that a shorter vector lacks count as zero, so an empty vector scores
+    zero. Empty tables give no rows. Other columns are not carried.
+    """
+    routes = routed(vectors, queries, k, id_col, vector_col, pivots)
+    if routes is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells, width = routes
+
     def solved(met: pa.Table) -> pa.Table:
         return solve(met, k, width)
 
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
     tops = (
-        rows.withColumn("deal", deal)
-        .mapInPandas(dealt, "grp int, block int, slice int, side int, cell binary")
+        cells
         .groupBy("grp", "block", "slice")
         .applyInArrow(solved, "query_id long, vec_id long, score long")
         .groupBy("query_id", "vec_id")

@@ -43,6 +43,25 @@ def test_against_brute_force(spark, kw, monkeypatch):
     assert run(spark, rows, **kw) == plain(rows, 5, lambda i: i % 7 == 0)
 
 
+def sent_share(spark, rows, k=5):
+    """Of all pairs of a vector and a group of queries, how many are sent."""
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells, _ = voronoi_topk.routed(frame, F.col("vec_id") % 7 == 0, k)
+    cells = cells.filter("block = 0").collect()
+    sent = sum(len(voronoi_topk.blobs.unpack(c.cell)[0]) for c in cells if c.side == 1)
+    return sent / (len(rows) * len({c.grp for c in cells if c.side == 0}))
+
+
+def test_clustered_vectors_are_pruned(spark):
+    """Less than half of all vectors reach a group where vectors lie in clusters, and the
+    result is that of all."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(24, 32))
+    rows = [(i, (centres[i % 24] + 0.05 * rng.normal(size=32)).tolist()) for i in range(1500)]
+    assert sent_share(spark, rows) < 0.5
+    assert run(spark, rows[:400]) == plain(rows[:400], 5, lambda i: i % 7 == 0)
+
+
 def test_few_rows_large_values_and_none(spark):
     rows = [(0, [1e15, 1.0]), (1, [1e15, -1.0]), (2, [3.0, 4.0])]
     got = run(spark, rows)
