@@ -27,6 +27,9 @@ from emberfall.llm.words import bound_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
 CACHED_WORDS = 200_000
+#: Longer words are worked out anew each time, so that the cache is bounded in bytes too.
+CACHED_LETTERS = 256
+CACHED_PAIRS = 1_000_000
 TEXT_AT_ONCE = 500_000
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -71,6 +74,7 @@ class Codec:
         #: ids of each word, comma-joined
         self.words: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.long: list[str] = []
         #: what the ids of a word decode to, where that is not the word
         self.odd: dict[str, str] = {}
         self.cut = regex.compile(WORD_PATTERN).findall
@@ -143,6 +147,8 @@ class Codec:
         pairs, where = np.unique(keys[inside], return_inverse=True)
         fits = np.ones(len(pairs), bool)
         known = self.pair_fits
+        if len(known) > CACHED_PAIRS:
+            known.clear()
         for i, key in enumerate(pairs.tolist()):
             if (fit := known.get(key)) is None:
                 a, b = divmod(key, self.size)
@@ -179,7 +185,11 @@ class Codec:
 
     def _know(self, cut: list[list[str]]) -> None:
         """See to it that the cache holds every word of ``cut``."""
+        for w in self.long:
+            self.words.pop(w, None)
+            self.odd.pop(w, None)
         fresh = {w for words in cut for w in words if w not in self.words}
+        self.long = [w for w in fresh if len(w) > CACHED_LETTERS]
         if len(self.words) + len(fresh) > CACHED_WORDS and self.words:
             self.older, self.words = self.words, {}
             fresh = {w for words in cut for w in words}
