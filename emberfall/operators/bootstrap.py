@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfall.functions.measures import is_finite
@@ -120,9 +120,8 @@ def bootstrap_ci(
     usable = df.select(*by, F.when(is_finite(F.col(value)), F.col(value)).alias("_value"))
     positions = value_positions(usable, "_value", by)
     sizes = positions.groupBy(*by).agg(F.max("n_group").alias("_n")).filter(F.col("_n") >= min_n)
-    # One row per group, not per value.
-    numbering = Window.partitionBy(F.lit(0)).orderBy(*by)
-    groups = materialise(sizes.withColumn("_group", F.row_number().over(numbering)), "groups")
+    # Any number that is a group's own, written down before it is used twice.
+    groups = materialise(sizes.withColumn("_group", F.monotonically_increasing_id()), "groups")
     copies = positions.join(groups.select(*by, "_group"), by)
     copies = copies.withColumn("_block", F.explode(_blocks(F.col("n_equal"), BLOCK)))
     copies = copies.withColumn("_copy", F.explode(_items(F.col("n_equal"), F.col("_block"), BLOCK)))
