@@ -1,8 +1,9 @@
 """Ranks and exact quantiles of large groups.
 
-Neither gathers a group. Equal values are counted first, the distinct values are
-range-partitioned into blocks, each block is cumulated on its own and shifted by
-the totals of the blocks before it.
+Neither gathers a group. Equal values are counted first. For ranks, the distinct values
+are range-partitioned into blocks, each block is cumulated on its own and shifted by
+the totals of the blocks before it. For quantiles they are cut at a sketch, and only the
+cuts that hold a wanted rank are put in order.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from emberfall.workspace import materialise
 # so at most HOT_SHARE - 1 values are ever broadcast that way.
 HOT_SHARE = 1000
 SPREAD = 1024
+# Cuts of a group's distinct values, of which a quantile needs one or two.
+CUTS = 256
 
 
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -165,20 +168,42 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``quantiles``.
 
-    Also returns the number of values of the group, named ``size_as``.
+    Also returns the number of values of the group, named ``size_as``. Distinct values are
+    counted and cut at a sketch of their quantiles; how many values lie in each cut is counted
+    exactly, and only the cuts that hold a wanted rank are put in order.
     """
     by = list(by)
-    positions = value_positions(df, value, by)
-    size = F.max("n_group").alias(size_as)
-    picks = [size]
+    counts = df.filter(F.col(value).isNotNull())
+    keys = by or ["_all"]
+    if not by:
+        counts = counts.withColumn("_all", F.lit(0))
+    counts = materialise(counts.groupBy(*keys, value).agg(F.count("*").alias("n_equal")), "counts")
+    shares = [i / CUTS for i in range(1, CUTS)]
+    edges = counts.groupBy(*keys).agg(
+        F.percentile_approx(value, shares, 100 * CUTS).alias("_edges"), F.sum("n_equal").alias("n_group")
+    )
+    cut = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    placed = counts.join(edges, keys).select(*keys, value, "n_equal", "n_group", cut.alias("_cut"))
+    along = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_cut", "n_group").agg(F.sum("n_equal").alias("_held"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_held").over(along), F.lit(0)))
+    targets = {}
     for name, q in quantiles.items():
         rank = (F.col("n_group") - 1) * q
-        for suffix, target in (("low", F.floor(rank)), ("high", F.floor(rank) + 1)):
-            covers = (F.col("n_less") <= target) & (
-                target < F.col("n_less") + F.col("n_equal")
-            )
-            picks.append(F.max(F.when(covers, F.col(value))).alias(f"{name}_{suffix}"))
-    found = positions.groupBy(*by).agg(*picks)
+        targets |= {f"{name}_low": F.floor(rank), f"{name}_high": F.floor(rank) + 1}
+    wanted = F.lit(False)
+    for target in targets.values():
+        wanted = wanted | ((F.col("_before") <= target) & (target < F.col("_before") + F.col("_held")))
+    wanted = totals.filter(wanted).select(*keys, "_cut", "_before")
+    inside = Window.partitionBy(*keys, "_cut").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    positions = placed.join(wanted, [*keys, "_cut"]).withColumn(
+        "n_less", F.col("_before") + F.coalesce(F.sum("n_equal").over(inside), F.lit(0))
+    )
+    picks = [F.max("n_group").alias(size_as)]
+    for name, target in targets.items():
+        covers = (F.col("n_less") <= target) & (target < F.col("n_less") + F.col("n_equal"))
+        picks.append(F.max(F.when(covers, F.col(value))).alias(name))
+    found = positions.groupBy(*keys).agg(*picks)
     columns = [F.col(c) for c in by]
     for name, q in quantiles.items():
         rank = (F.col(size_as) - 1) * q

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -75,3 +76,41 @@ def test_exact_quantiles_against_numpy(spark, n):
     for name, p in probs.items():
         assert got["a"][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
         assert got["b"][name] == 1.0
+
+
+@pytest.mark.parametrize("cuts", [4, 256])
+def test_quantiles_of_many_shapes_equal_numpy(spark, cuts, monkeypatch):
+    """Bit-equal whatever the cuts: spread values, hot ones, outliers, single ones."""
+    monkeypatch.setattr(ranks, "CUTS", cuts)
+    rng = np.random.default_rng(4)
+    groups = {
+        "spread": rng.normal(size=700),
+        "hot": np.concatenate([np.zeros(900), rng.exponential(size=60), [1e12, -1e12]]),
+        "whole": rng.integers(0, 5, 333).astype(float),
+        "one": np.array([3.5]),
+        "two": np.array([1.0, 2.0]),
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("hot", None), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    wanted = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.9, "f": 1.0}
+    got = {r.g: r for r in ranks.exact_quantiles(df, "v", wanted, ["g"]).collect()}
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        ordered = np.sort(values)
+        for name, q in wanted.items():
+            rank = (len(values) - 1) * q
+            low = ordered[int(rank)]
+            high = ordered[min(int(rank) + 1, len(values) - 1)]
+            assert got[g][name] == low + (rank - int(rank)) * (high - low)
+        assert got[g].n == len(values)
+    pooled = ranks.exact_quantiles(df, "v", {"m": 0.5}).collect()
+    everything = np.concatenate(list(groups.values()))
+    assert len(pooled) == 1 and pooled[0].n == len(everything) and pooled[0].m == pytest.approx(np.median(everything))
+
+
+def test_quantiles_sort_no_group(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS g", "CAST(id AS double) AS v")
+    text = ranks.exact_quantiles(df, "v", {"m": 0.5}, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text
+    for keys in re.findall(r"windowspecdefinition\(([^)]*)\)", text):
+        assert "_cut" in keys
