@@ -79,3 +79,9 @@ def test_clashing_names(spark):
     bench = spark.createDataFrame([(1, "q r s t")], "item_id long, text string")
     kept = decontamination.keep_clean(docs, bench)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, "word " * 200_000 + item + " word" * 50_000), (2, "word " * 200_000)]
+    assert run(spark, docs, [(7, item)])[0] == [(1, 250_012, 12, ["7"]), (2, 200_000, 0, [])]

@@ -59,3 +59,51 @@ def test_long_tokens_count_to_their_end():
     assert set(quality.features(ends[0])) != set(quality.features(ends[1]))
     assert quality.pieces(ends[0])[0] == "漢字1、漢字1、漢字1" and "".join(quality.pieces(ends[0])) == ends[0]
     assert quality.pieces("Ab12cd!!") == ["Ab12cd!!"] and quality.tokens_of("a b,c,d,e,f,g") == ["a", "b,c,d,e,", "f,g"]
+
+
+def plain_svm(texts, labels, cost=quality.COST):
+    """Naive Bayes ratios and the hinge loss by plain cyclic dual coordinate descent, over dicts."""
+    from math import log, sqrt
+
+    found = [set(quality.features(t).tolist()) for t in texts]
+    size = {c: labels.count(c) for c in (0, 1)}
+    share = lambda f, c: (sum(f in x for x, y in zip(found, labels) if y == c) + 1) / (size[c] + 2)
+    ratio = {f: log(share(f, 1) / share(f, 0)) for f in set().union(*found)}
+    rows = [{f: ratio[f] / sqrt(len(x)) for f in x} for x in found]
+    most = [cost * len(rows) / (2 * size[y]) for y in labels]
+    w, b, alpha = dict.fromkeys(ratio, 0.0), 0.0, [0.0] * len(rows)
+    for _ in range(400):
+        for i, (x, y) in enumerate(zip(rows, labels)):
+            sign = 1 if y else -1
+            gradient = sign * (sum(w[f] * v for f, v in x.items()) + b) - 1
+            new = min(max(alpha[i] - gradient / (sum(v * v for v in x.values()) + 1), 0), most[i])
+            step, alpha[i] = (new - alpha[i]) * sign, new
+            b += step
+            for f, v in x.items():
+                w[f] += step * v
+    return ratio, rows, most, w, b
+
+
+def test_against_a_plain_solver(monkeypatch):
+    """The same ratios, and the same least loss, as a plain version finds."""
+    monkeypatch.setattr(quality, "DRAWN", 1.0)
+    monkeypatch.setattr(quality, "EPOCHS", 400)
+    rows, labels = corpus(40)
+    rng = random.Random(2)
+    texts = [" ".join(rng.sample(t.split(), min(6, len(t.split()))) + [rng.choice(["a", "B!!"])]) for _, t in rows]
+    marks = [q for _, q, _ in labels]
+    ratio, scaled, most, w, b = plain_svm(texts, marks)
+    found = [quality.features(t) for t in texts]
+    ratios = quality.log_count_ratios(found, np.array(marks) == 1)
+    assert all(abs(ratios[f] - r) < 1e-12 for f, r in ratio.items())
+    model = quality.fit_rows(found, marks)
+
+    def loss(weight, bias):
+        margins = [(1 if y else -1) * (sum(weight[f] * v for f, v in x.items()) + bias) for x, y in zip(scaled, marks)]
+        return (sum(v * v for v in weight.values()) + bias * bias) / 2 + sum(c * max(0, 1 - m) for c, m in zip(most, margins))
+
+    mine = {f: model.weights[f] / ratios[f] if ratios[f] else 0.0 for f in ratio}
+    assert loss(mine, model.bias) <= loss(w, b) * 1.001 + 1e-9
+    for x, f in zip(scaled, found):
+        plain = 1 / (1 + np.exp(-quality.STEEPNESS * (sum(w[k] * v for k, v in x.items()) + b)))
+        assert abs(plain - model.score(f)) < 0.01

@@ -54,3 +54,8 @@ def test_tree_is_best_fit():
         room, found = tree.tightest(size)
         assert found == shard
         tree.put(room - size, found)
+
+
+def test_long_text(spark):
+    rows = [(1, "long ä " * 400_000), (2, "b"), (3, None), (4, "long ä " * 400_000)] + [(10 + i, "x" * i) for i in range(90)]
+    check(rows, sharding.shard_documents(texts_frame(spark, rows)).collect())
